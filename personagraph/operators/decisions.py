@@ -206,7 +206,7 @@ def tag(state: State, handles: DataFrame, as_of: Column) -> State:
     barred = (F.col("state") == "removed") & (F.col("detail") == "suppressed")
     due = cut_lineage(states.filter(~idle & ~F.coalesce(barred, F.lit(False))).select("handle"))
     refs = due.select(
-        F.xxhash64("handle").alias("seq"),
+        F.col("handle").alias("seq"),
         F.lit("twitter").alias("platform"),
         F.lit(None).cast("string").alias("native_id"),
         "handle",

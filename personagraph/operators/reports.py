@@ -396,12 +396,11 @@ def tag_counts(state: State) -> DataFrame:
 
 
 def link_check_queue(state: State, as_of: Column, recheck_days: int = 30, limit: int = 300,
-                     never: tuple[str, ...] = ()) -> DataFrame:
+                     never: list[str] | None = None) -> DataFrame:
     """Profiles to probe: listed ones first, never checked before oldest."""
     due = F.col("link_checked_at").isNull() | (F.col("link_checked_at") < as_of - F.expr(f"interval {recheck_days} days"))
     rows = state.accounts.filter((F.col("status") != "deleted") & F.col("profile_url").isNotNull() & due)
-    if never:
-        rows = rows.filter(~F.col("platform").isin(*never))
+    rows = rows.filter(~F.col("platform").isin(policy.NEVER_PROBED if never is None else never))
     active = state.artists.filter("status = 'active'").select("artist_id")
     member = ev.live(state.memberships).join(active, "artist_id", "left_semi").select("account_id").distinct()
     rows = rows.join(member.withColumn("listed", F.lit(True)), "account_id", "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import policy
 from .spread import HOT_ROWS, first_per_key, lookup, running
 
+# ``seq`` may be of any orderable type; it says which reference came first.
 ACCOUNT_REFS = (
     "seq bigint, platform string, native_id string, handle string, display_name string, "
     "profile_url string, status string, followers_count bigint, last_post_at timestamp, "

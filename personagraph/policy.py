@@ -51,13 +51,15 @@ PARTIAL_SNAPSHOT_SOURCES = [
 ]
 
 # --- enumerated values of the state tables ---
-ACCOUNT_STATUSES = ["active", "unknown", "deleted", "suspended", "hidden"]
+ACCOUNT_STATUSES = ["active", "suspended", "deleted", "deactivated", "unknown", "hidden"]
 VISIBLE_STATUSES = ["active", "unknown"]
 EVIDENCE_TYPES = ["bio_link", "link_hub", "profile_field", "pinned_post", "same_handle", "bio_mention"]
 EDGE_STATUSES = ["present", "stale", "retracted", "dismissed"]
 CLAIMS = ["same_person", "related"]
 CONFIDENCES = ["near_proof", "strong", "weak"]
 
+NEVER_PROBED = ["twitter", "instagram", "bluesky", "discord", "telegram"]
+
 # --- region ---
 EAST_PLATFORMS = [
     "skeb", "pixiv", "fanbox", "fantia", "booth", "dlsite", "nijie", "skima", "coconala",
