@@ -1,6 +1,6 @@
 """All registered queries. Importing a module registers what it holds."""
 
-from . import graph  # noqa: F401
+from . import directory, graph  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import policy
 from ..functions.scalars import slugify
 from ..schemas import State
-from ..session import cut_lineage
+from ..session import cut_lineage, is_cut
 from . import evidence as ev
 from .components import components, mutual_pairs, resolve_chains
 from .spread import first_per_key, lookup, running, top_per_key
@@ -123,7 +123,7 @@ def unique_slugs(rows: DataFrame, taken: DataFrame, order: str = "account_id") -
         done = won if done is None else done.unionByName(won)
         todo = named.join(won.select(order), order, "left_anti").drop("public_slug")
         todo = cut_lineage(todo)
-        if not todo.limit(1).count():
+        if todo.isEmpty():
             return done
         taken = taken.select("public_slug").unionByName(won.select("public_slug"))
 
@@ -257,10 +257,12 @@ def combined_fullest(pairs: DataFrame, counts: DataFrame, extra: DataFrame | Non
 
 
 def pick_merges(pairs: DataFrame) -> DataFrame:
-    """A set of pairs in which no artist appears twice: pairs that are each other's first choice."""
-    sides = pairs.select(F.col("low").alias("a"), F.struct("low", "high").alias("p")).unionByName(
-        pairs.select(F.col("high").alias("a"), F.struct("low", "high").alias("p"))
-    )
+    """A set of pairs in which no artist appears twice: pairs that are each other's first choice.
+
+    Preference is a hash of the pair, so many pairs agree at once and few rounds are needed.
+    """
+    pair = F.struct(F.xxhash64("low", "high").alias("h"), "low", "high")
+    sides = pairs.select(F.explode(F.array("low", "high")).alias("a"), pair.alias("p"))
     choice = sides.groupBy("a").agg(F.min("p").alias("p"))
     twice = choice.groupBy("p").count().filter("count = 2")
     return twice.select(F.col("p.low").alias("low"), F.col("p.high").alias("high"))
@@ -301,7 +303,7 @@ def build_components(state: State, facts: DataFrame, edges: DataFrame, as_of: Co
     # A merge can bring two further components together, so this repeats until no pair is left.
     while True:
         merging = cut_lineage(pick_merges(_mergeable(state, about.filter(~giant), parts, facts)))
-        if not merging.limit(1).count():
+        if merging.isEmpty():
             break
         mapping = merging.select(F.col("high").alias("loser"), F.col("low").alias("keeper"))
         state = merge_artists(state, mapping, PIPELINE, as_of)
@@ -634,7 +636,7 @@ def merge_reciprocal_artists(state: State, facts: DataFrame, as_of: Column) -> S
         full = combined_fullest(pairs, ev.platform_counts(state.memberships, facts))
         fits = full.filter(F.col("fullest") <= policy.MAX_SAME_PLATFORM).select("low", "high")
         merging = cut_lineage(pick_merges(fits))
-        if not merging.limit(1).count():
+        if merging.isEmpty():
             return state
         wires = artist_claims(flipped, state.memberships)
         wires = wires.withColumns(
@@ -709,6 +711,7 @@ def restore_flipped(state: State, facts: DataFrame, edges: DataFrame, shared: Da
 
 
 def settle(state: State) -> State:
-    """Cut the lineage of the tables clustering rewrites."""
+    """Cut the lineage of the tables a stage rewrote; the others already stand on their own."""
     names = ("edges", "artists", "memberships", "events", "reviews")
-    return state.with_(**{n: cut_lineage(getattr(state, n)) for n in names})
+    rewritten = {n: getattr(state, n) for n in names if not is_cut(getattr(state, n))}
+    return state.with_(**{n: cut_lineage(df) for n, df in rewritten.items()})

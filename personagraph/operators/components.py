@@ -58,7 +58,7 @@ def _fingerprint(links: DataFrame) -> tuple:
 def components(pairs: DataFrame, left: str = "low", right: str = "high", hot_rows: int = HOT_ROWS) -> DataFrame:
     """(node, component) of every node in ``pairs``; a component is named by its smallest node.
 
-    Each round is checkpointed; the number of rounds grows with the logarithm of the graph, and the loop
+    Each round is written out; the number of rounds grows with the logarithm of the graph, and the loop
     ends when a round changes nothing.
     """
     links = pairs.select(F.col(left).alias("u"), F.col(right).alias("v")).filter("u <> v").distinct()
@@ -88,9 +88,9 @@ def resolve_chains(pointers: DataFrame, node: str = "node", target: str = "targe
             F.col("onward").isNotNull().alias("_moved"),
         )
         jumped = cut_lineage(jumped)
-        if jumped.filter((F.col("node") == F.col("target"))).limit(1).count():
+        if not jumped.filter(F.col("node") == F.col("target")).isEmpty():
             raise ValueError("merge pointers form a cycle")
-        moved = jumped.filter("_moved").limit(1).count()
+        done = jumped.filter("_moved").isEmpty()
         links = jumped.drop("_moved")
-        if not moved:
+        if done:
             return links.select(F.col("node").alias(node), F.col("target").alias(target))

@@ -22,21 +22,18 @@ def lookup(
     keys: list[str],
     how: str = "inner",
     hot: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Equi-join of many fact rows to a dimension, hot keys salted.
+    """Equi-join of many fact rows to a dimension.
 
-    Only the dimension rows of hot keys are repeated, so its size hardly changes; everything is exact.
+    Where the caller knows the hot keys (``hot``, a bounded list), their rows are salted and only their
+    dimension rows repeated: exact, and the dimension hardly grows. Otherwise adaptive execution splits
+    skewed partitions at run time, which costs no extra pass over the facts.
     """
     if hot is None:
-        hot = hot_keys(facts, keys, hot_rows)
-    flagged = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    # Null keys match nothing; they are spread as well, or an outer join would send them to one task.
-    loose = F.col("_hot")
-    for key in keys:
-        loose = loose | F.col(key).isNull()
-    spread = F.when(loose, F.pmod(F.xxhash64(*facts.columns), F.lit(salts))).otherwise(F.lit(0))
+        return facts.join(dim, keys, how)
+    flagged = F.broadcast(hot.select(*keys).distinct().withColumn("_hot", F.lit(True)))
+    spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(*facts.columns), F.lit(salts))).otherwise(F.lit(0))
     salted = facts.join(flagged, keys, "left").withColumn("_salt", spread.cast("int")).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     repeated = dim.join(flagged, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")

@@ -48,5 +48,5 @@ def attach_one_directional(state: State, facts, shared, now) -> State:
         edges = ev.strong_edges(state.edges, state.accounts)
         decisions = cut_lineage(c.one_directional_ladder(edges, state, facts, shared))
         state = c.settle(c.apply_ladder(state, decisions, now))
-        if not decisions.filter("decision = 'attach'").limit(1).count():
+        if decisions.filter("decision = 'attach'").isEmpty():
             return state

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,18 +27,32 @@ def build_session(app: str = "personagraph", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; fall back to a fresh folder only where none is named."""
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names; a fresh folder only where none is named, as in tests."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
-    if named is None and not sc.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors can reach")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="personagraph-ckpt-"))
+    named = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
+    if named is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors can reach")
+        named = tempfile.mkdtemp(prefix="personagraph-")
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors, unlike a local one."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a frame to the shared folder and read it back.
+
+    Lost executors cost nothing that was cut, and the next joins are planned on true sizes: a frame is
+    broadcast only when its files are small enough. (Row estimates of a checkpointed frame multiply with
+    every join before it, which loops cannot afford.)
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.is_cut = True
+    return stored
+
+
+def is_cut(df: DataFrame) -> bool:
+    return getattr(df, "is_cut", False) is True
