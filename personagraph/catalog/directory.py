@@ -580,7 +580,7 @@ def reclassified_accounts(spark, d):
     misfiled = F.concat(F.lit("misskey.io/@"), F.replace("display_name", F.lit(" "), F.lit("_")))
     sites = accounts.withColumn("handle", F.when(F.col("platform") == "website", misfiled).otherwise(F.col("handle")))
     was = accounts.filter("platform = 'website'").select("account_id")
-    done = hygiene.reclassify_all(sites).filter("platform = 'misskey'")
+    done = hygiene.reclassify_websites(sites).filter("platform = 'misskey'")
     return done.join(was, "account_id", "left_semi").select("account_id", "handle")
 
 
@@ -710,7 +710,9 @@ SELECT account_id, CASE WHEN state = 'due' AND discovered_via IN ('bio_link', 'b
   CASE WHEN state = 'due' AND status IN ('hidden', 'deleted') THEN CASE WHEN last_hydrated IS NULL THEN 'unknown' ELSE 'active' END ELSE status END AS status FROM j"""))
 def decision_tag(spark, d):
     s = w.state(spark, d)
-    asked = reports.clean_handles(s.accounts.filter(f"platform = 'twitter' and account_id in (select account_id from values (-1) t(account_id)) or (platform = 'twitter' and display_name like '% %' and display_name not like '% illustration' and display_name <> upper(split(display_name, ' ')[0]) || ' ' || upper(split(display_name, ' ')[1]))"), limit=None)
+    cars = w.table(spark, d, "customer").filter("c_mktsegment = 'AUTOMOBILE'").select(F.col("c_custkey").alias("account_id"))
+    mine = s.accounts.filter("platform = 'twitter'").join(cars, "account_id", "left_semi")
+    asked = reports.clean_handles(mine, limit=None)
     done = dec.tag(s, asked, w.as_of())
     rows = done.accounts.filter("platform = 'twitter'").withColumn("h", F.lower("handle"))
     return rows.join(asked.withColumnRenamed("handle", "h"), "h", "left_semi").select("account_id", "discovered_via", "status")

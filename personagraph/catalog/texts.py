@@ -1,0 +1,333 @@
+"""Queries over texts: whole documents and pages, with composed bios where the samples hold no links."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import functions as F
+
+from ..functions import html as H, links as L, patterns as P, scalars as S, similarity, text as T
+from ..operators import classify, upsert as up
+from ..sources import hubs
+from ..streaming import snapshots as st, spend
+from . import world as w
+from .registry import query, stamp
+from .world import oracle
+
+
+def documents(spark, d):
+    return w.table(spark, d, "documents")
+
+
+@query("email_extract", r"""
+SELECT doc_id, lower(regexp_extract(text, '(?i)[A-Za-z0-9][\p{L}\p{N}_.+-]*@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)*?\.(?:co\.jp|ne\.jp|or\.jp|co\.uk|com|net|org|jp|io|me|art|xyz|moe|cc|dev|info|gg|us|uk|ca|de|fr|es|it|nl|br|tw|kr|studio|design|online|site|email|pro|club)')) AS email
+FROM documents WHERE email <> ''""")
+def email_extract(spark, d):
+    return documents(spark, d).select("doc_id", T.email(F.col("text")).alias("email")).filter("email is not null")
+
+
+@query("language_script", """
+SELECT doc_id, CASE WHEN regexp_matches(text, '[぀-ヿ]') THEN 'ja' WHEN regexp_matches(text, '[가-힯]') THEN 'ko' WHEN regexp_matches(text, '[一-鿿]') THEN 'zh' WHEN regexp_matches(text, '[ก-๛]{2}') THEN 'th'
+  WHEN regexp_matches(text, '[Ѐ-ӿ]{4,}') THEN 'ru' WHEN regexp_matches(text, '[؀-ۿ]{2}') THEN 'ar' WHEN regexp_matches(text, '[A-Za-z]') THEN 'en' ELSE 'unknown' END AS language FROM documents""")
+def language_script(spark, d):
+    return documents(spark, d).select("doc_id", T.language(F.col("text")).alias("language"))
+
+
+@query("region_score", """
+WITH s AS (SELECT doc_id, CASE lang WHEN 'de' THEN 'ja' WHEN 'fr' THEN 'zh' ELSE lang END AS language, quality, toxic FROM documents JOIN labels USING (doc_id)),
+e AS (SELECT doc_id, CASE WHEN language IN ('ja', 'ko') THEN 2.0 WHEN language = 'zh' THEN 1.5 ELSE 0 END + least(quality, 3) AS e, CASE WHEN language = 'en' THEN 1.0 ELSE 0 END + least(toxic * 4, 3) AS w FROM s)
+SELECT doc_id, CASE WHEN abs(e - w) < 0.75 THEN 'unknown' WHEN e > w THEN 'eastern' ELSE 'western' END AS region, CAST(CASE WHEN abs(e - w) < 0.75 THEN 0 ELSE round(least(abs(e - w) / 4, 1.0), 2) END AS DOUBLE) AS confidence FROM e""")
+def region_score(spark, d):
+    language = F.when(F.col("lang") == "de", "ja").when(F.col("lang") == "fr", "zh").otherwise(F.col("lang"))
+    rows = documents(spark, d).select("doc_id", language.alias("language")).join(w.table(spark, d, "labels"), "doc_id")
+    scored = rows.select("doc_id", classify.region_score(F.col("language"), F.col("quality"), F.col("toxic") * 4).alias("s"))
+    return scored.select("doc_id", "s.region", "s.confidence")
+
+
+SAID = """CASE lang WHEN 'en' THEN 'commissions: open #NoAI_art' WHEN 'de' THEN 'comms closed 無断AI学習禁止 Nightshade' WHEN 'fr' THEN 'not taking commissions, glazed #no-genai' ELSE 'skeb 募集中 / comm waitlist' END"""
+
+
+def bios(spark, d):
+    """Whole documents with a statement per language behind them."""
+    lang = F.col("lang")
+    said = (
+        F.when(lang == "en", "commissions: open #NoAI_art")
+        .when(lang == "de", "comms closed 無断AI学習禁止 Nightshade")
+        .when(lang == "fr", "not taking commissions, glazed #no-genai")
+        .otherwise("skeb 募集中 / comm waitlist")
+    )
+    return documents(spark, d).select("doc_id", "lang", F.concat_ws(" ", "text", said).alias("bio"))
+
+
+@query("attestations", rf"""
+WITH b AS (SELECT doc_id, text || ' ' || {SAID} AS bio FROM documents),
+f AS (
+  SELECT doc_id, 'bio_tag' AS signal, unnest(regexp_extract_all(bio, '(?i)#no[_-]?(?:gen)?[_-]?ai[\p{{L}}\p{{N}}_]*')) AS matched_text FROM b
+  UNION ALL SELECT doc_id, 'bio_tag', p FROM b, (SELECT unnest(['無断AI学習禁止', 'AI学習禁止', 'AI使用禁止', 'AI生成禁止', '生成AI禁止', '生成AI不使用', 'AI学習・利用禁止']) AS p) WHERE contains(bio, p)
+  UNION ALL SELECT doc_id, 'glaze_mention', regexp_extract(bio, '(?i)\bglazed?\b') FROM b WHERE regexp_matches(bio, '(?i)\bglazed?\b')
+  UNION ALL SELECT doc_id, 'nightshade_mention', regexp_extract(bio, '(?i)\bnightshaded?\b') FROM b WHERE regexp_matches(bio, '(?i)\bnightshaded?\b'))
+SELECT DISTINCT doc_id, signal, matched_text FROM f""")
+def attestations(spark, d):
+    rows = bios(spark, d).select("doc_id", F.explode(T.attestations(F.col("bio"))).alias("s"))
+    return rows.select("doc_id", "s.signal", "s.matched_text")
+
+
+@query("commission_status", rf"""
+WITH b AS (SELECT doc_id, text || ' ' || {SAID} AS bio FROM documents),
+p AS (SELECT * FROM (VALUES
+  (0, '(?i)comm?(?:ission)?s?\s*(?:status)?\s*(?:are|:|-|–|—)?\s*open', 'open', 0.9), (1, '(?i)open\s+(?:for\s+)?comm?(?:ission)?s', 'open', 0.85),
+  (2, '(?i)taking\s+comm?(?:ission)?s', 'open', 0.8), (3, '(?i)comm?(?:ission)?s?\s*(?:status)?\s*(?:are|:|-|–|—)?\s*closed?\b', 'closed', 0.9),
+  (4, '(?i)closed?\s+(?:for\s+)?comm?(?:ission)?s', 'closed', 0.85), (5, '(?i)not\s+taking\s+comm?(?:ission)?s', 'closed', 0.85),
+  (6, '(?i)comm?(?:ission)?s?\s*(?::|-|–|—)?\s*waitlist', 'waitlist', 0.8), (7, '依頼\s*受付中|コミッション\s*(?:受付中|募集中)|お仕事(?:依頼)?\s*受付中', 'open', 0.85),
+  (8, '依頼\s*(?:停止中|受付停止|募集停止)|コミッション\s*(?:停止|休止)中?', 'closed', 0.85), (9, '(?i)skeb\s*(?:募集中|受付中)', 'open', 0.7)) t(i, pat, status, conf)),
+m AS (SELECT doc_id, i, status, conf, trim(regexp_extract(bio, pat)) AS detail FROM b, p WHERE regexp_matches(bio, pat))
+SELECT doc_id, first(status ORDER BY conf DESC, status = 'closed' DESC, i) AS status, CAST(max(conf) AS DOUBLE) AS confidence, first(detail ORDER BY conf DESC, status = 'closed' DESC, i) AS detail FROM m GROUP BY 1""")
+def commission_status(spark, d):
+    rows = bios(spark, d).select("doc_id", T.commission_status(F.col("bio")).alias("c")).filter("c is not null")
+    return rows.select("doc_id", "c.status", "c.confidence", "c.detail")
+
+
+@query("adult_markers", """
+WITH n AS (SELECT doc_id, lang FROM documents)
+SELECT doc_id, unnest(CASE lang WHEN 'en' THEN ['nsfw', 'R-18', '18+'] WHEN 'de' THEN ['MDNI'] WHEN 'fr' THEN ['🔞'] ELSE [] END) AS matched_text FROM n""")
+def adult_markers(spark, d):
+    """Markers behind whole documents; every language also holds negated ones that must not count."""
+    lang = F.col("lang")
+    said = (
+        F.when(lang == "en", "no NSFW here, but nsfw alt / R-18+ zone")
+        .when(lang == "de", "non-nsfw. SFW only, nsfw? MDNI")
+        .when(lang == "fr", "not r18 🔞")
+        .otherwise("no r-18g, sfw  only 18+")
+    )
+    rows = documents(spark, d).select("doc_id", F.explode(T.adult_markers(F.concat_ws(" ~ ", "text", said))).alias("s"))
+    return rows.select("doc_id", "s.matched_text")
+
+
+@query("evidence_words", r"""
+SELECT doc_id, regexp_matches(text, '(?i)illustrat|artist|art\b|draw|paint|sketch|doodle|fanart|commission|comm\b|comms\b|oc\b|vtuber|design|animat|pixiv|skeb|vgen') AS artist,
+  regexp_matches(text, '(?i)\b(?:fan)?zines?\b|\bbig\s?bangs?\b|antholog|\bcharity\s+(?:project|event|zine)\b|\bfan\s?events?\b|\bart\s+servers?\b|\bcollab\s+(?:server|group)\b') AS project FROM documents WHERE lang = 'en'""")
+def evidence_words(spark, d):
+    rows = documents(spark, d).filter("lang = 'en'")
+    return rows.select("doc_id", T.looks_like_artist(F.col("text")).alias("artist"), T.looks_like_project(F.col("text")).alias("project"))
+
+
+@query("mentions", oracle("""
+, t AS (SELECT doc_id, handle, lang FROM documents JOIN accounts ON account_id = doc_id)
+SELECT doc_id, 'Main_' || doc_id AS handle, 'same_person' AS claim, 'main' AS relation_hint FROM t
+UNION ALL SELECT doc_id, 'pal' || doc_id, 'related', CASE lang WHEN 'en' THEN 'partner' END FROM t"""))
+def mentions(spark, d):
+    key = F.col("doc_id").cast("string")
+    rows = documents(spark, d).join(w.accounts(spark, d).select("account_id"), F.col("doc_id") == F.col("account_id"))
+    pal = F.concat(F.when(F.col("lang") == "en", "my partner @pal").otherwise("see also @pal"), key, F.lit(" "))
+    bio = F.concat(F.col("text"), F.lit(" mail me at x@pal.example, main: @Main_"), key, F.lit(" .................................. "), pal, F.lit("@main_"), key)
+    found = rows.select("doc_id", F.explode(T.mentions(bio, F.lit("twitter"))).alias("m"))
+    return found.select("doc_id", "m.handle", "m.claim", "m.relation_hint")
+
+
+LINKED = """(SELECT doc_id, replace(p_name, ' ', '') || doc_id AS h FROM documents JOIN part ON p_partkey = doc_id)"""
+
+
+def link_bios(spark, d):
+    """Whole documents with profile links behind them, one per form of address."""
+    part = w.table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.replace("p_name", F.lit(" "), F.lit("")).alias("word"))
+    rows = documents(spark, d).join(part, "doc_id").withColumn("h", F.concat("word", F.col("doc_id").cast("string")))
+    h, key = F.col("h"), F.col("doc_id").cast("string")
+    return rows.select(
+        "doc_id",
+        F.concat_ws(
+            " ", "text", F.concat(F.lit("https://x.com/"), F.substring("h", 1, 15)), F.concat(F.lit("www.pixiv.net/en/users/"), key),
+            F.concat(h, F.lit(".bsky.social")), F.concat(F.lit("("), h, F.lit(".carrd.co)")), F.concat(F.lit("https://ko-fi.com/"), h, F.lit("…")),
+            F.concat(F.lit("instagram.com/"), h, F.lit("...")), F.concat(F.lit("youtube.com/channel/UC"), h, F.lit("__________")),
+            F.lit("vgen.co/uploads 64.media.tumblr.com"), F.concat(F.lit("https://"), h, F.lit(".example.org/Me/?q=1")), F.concat(F.lit("X.com/"), F.upper(F.substring("h", 1, 15))),
+        ).alias("bio"),
+    )
+
+
+@query("platform_links", f"""
+WITH b AS (SELECT * FROM {LINKED})
+SELECT doc_id, 'twitter' AS platform, left(h, 15) AS handle, NULL AS native_id, 'https://x.com/' || left(h, 15) AS url FROM b
+UNION ALL SELECT doc_id, 'pixiv', NULL, CAST(doc_id AS VARCHAR), 'https://pixiv.net/en/users/' || doc_id FROM b
+UNION ALL SELECT doc_id, 'bluesky', h || '.bsky.social', NULL, 'https://' || h || '.bsky.social' FROM b
+UNION ALL SELECT doc_id, 'carrd', h, NULL, 'https://' || h || '.carrd.co' FROM b
+UNION ALL SELECT doc_id, 'youtube', NULL, 'UC' || h || '__________', 'https://youtube.com/channel/UC' || h || '__________' FROM b""")
+def platform_links(spark, d):
+    found = L.with_platform_links(link_bios(spark, d), "bio").select("doc_id", F.col("platform_links").alias("links"))
+    return L.explode_links(found).select("doc_id", "platform", "handle", "native_id", "url")
+
+
+@query("website_links", r"""
+WITH p AS (SELECT page_id, regexp_replace(url, '[.,;:!?)»」】]+$', '') AS url FROM pages),
+s AS (SELECT page_id, url, lower(regexp_extract(url, '(?i)^(?:https?://)?(?:www\.)?([A-Za-z0-9.-]+)', 1)) AS domain, rtrim(regexp_replace(regexp_replace(url, '^(?:https?://)?(?:www\.)?', ''), '[?#].*$', ''), '/') AS bare FROM p)
+SELECT page_id, left(lower(bare), 80) AS handle, url FROM s
+WHERE contains(domain, '.') AND NOT regexp_matches(bare, '(?i)\.(?:js|mjs|css|json|xml|png|jpe?g|gif|webp|avif|svg|ico|bmp|woff2?|ttf|otf|eot|mp[34]|webm|mov|wav|ogg|pdf|zip|rar|7z)$')""")
+def website_links(spark, d):
+    found = L.with_website_links(w.table(spark, d, "pages").select("page_id", F.col("url").alias("address")), "address")
+    rows = found.select("page_id", F.col("website_links").alias("links"))
+    return L.explode_links(rows).select("page_id", "handle", "url")
+
+
+@query("short_links", """
+SELECT page_id, unnest(['https://t.co/a' || page_id, 'http://bit.ly/b' || page_id, 'https://vm.tiktok.com/c' || page_id]) AS short_url FROM pages""")
+def short_links(spark, d):
+    key = F.col("page_id").cast("string")
+    text = F.concat(F.col("html"), F.lit(" t.co/a"), key, F.lit(" http://bit.ly/b"), key, F.lit(" artist.co/x newsonl.tw/y vm.tiktok.com/c"), key, F.lit(" https://t.co/a"), key)
+    return w.table(spark, d, "pages").select("page_id", F.explode(L.short_links(text)).alias("short_url"))
+
+
+@query("short_links_resolved", """
+SELECT page_id, CASE WHEN url LIKE 'https%' THEN url END AS final_url FROM pages""")
+def short_links_resolved(spark, d):
+    """Every page behind a short link; plain http pages resolve to the shortener itself, which is no result."""
+    pages = w.table(spark, d, "pages")
+    short = F.concat(F.lit("https://t.co/p"), F.col("page_id").cast("string"))
+    table = pages.select(short.alias("short_url"), F.when(F.col("url").startswith("https"), F.col("url")).otherwise(F.concat(short, F.lit("/gone"))).alias("final_url"))
+    return hubs.resolve_short_links(pages.select("page_id", short.alias("short_url")), table).select("page_id", "final_url")
+
+
+@query("strip_html", r"""
+SELECT page_id, regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>|<[^>]+>', ' ', 'g') AS plain FROM pages""")
+def strip_html(spark, d):
+    return w.table(spark, d, "pages").select("page_id", H.strip_tags(F.col("html")).alias("plain"))
+
+
+@query("html_bio", r"""
+WITH a AS (SELECT page_id, regexp_replace(html, '(?i)<a\b[^>]*\bhref\s*=\s*["'']([^"'']+)["''][^>]*>', ' \1 ', 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(t, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>|<[^>]+>', ' ', 'g') AS t FROM a),
+c AS (SELECT page_id, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM b)
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n\s*\n\s*\n+', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS bio FROM c""")
+def html_bio(spark, d):
+    return w.table(spark, d, "pages").select("page_id", H.bio_from_html(F.col("html")).alias("bio"))
+
+
+@query("open_graph", """
+SELECT page_id, url AS title, 'https://img.example/' || page_id AS image, NULL AS description FROM pages""")
+def open_graph(spark, d):
+    key = F.col("page_id").cast("string")
+    head = F.concat(
+        F.lit('<meta property="og:title" content=" '), "url", F.lit('"><meta content="later" property="og:title"><meta content="https://img.example/'),
+        key, F.lit('" property="og:image">'), "html",
+    )
+    return w.table(spark, d, "pages").select("page_id", H.open_graph(head).alias("g")).select("page_id", "g.title", "g.image", "g.description")
+
+
+@query("name_norm", r"""
+SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || '_' || p_partkey || '.bsky.social'), '\.(?:bsky\.social|carrd\.co|tumblr\.com|fanbox\.cc|booth\.pm)$', ''), '[^a-z0-9]', '', 'g') AS name FROM part""")
+def name_norm(spark, d):
+    name = F.concat("p_name", F.lit("_"), F.col("p_partkey").cast("string"), F.lit(".bsky.social"))
+    return w.table(spark, d, "part").select("p_partkey", S.normal_name(name).alias("name"))
+
+
+@query("name_similarity")
+def name_similarity(spark, d):
+    """Part name against its brand and type, every part."""
+    pairs = w.table(spark, d, "part").select(
+        "p_partkey", S.normal_name(F.col("p_name")).alias("a"), S.normal_name(F.concat("p_type", "p_name")).alias("b"), S.normal_name(F.col("p_brand")).alias("c")
+    )
+    return pairs.select("p_partkey", similarity.name_score(F.col("a"), F.col("b")).alias("own"), F.round(similarity.name_score(F.col("a"), F.col("c")), 4).alias("brand"))
+
+
+@query("slugs", r"""
+SELECT c_custkey, trim(regexp_replace(regexp_replace(lower(c_name || '!'), '[^a-z0-9-]+', '-', 'g'), '-+', '-', 'g'), '-') AS slug FROM customer""")
+def slugs(spark, d):
+    rows = w.table(spark, d, "customer")
+    return rows.select("c_custkey", S.slugify(F.concat("c_name", F.lit("!")), F.lit("pixiv"), F.col("c_custkey")).alias("slug"))
+
+
+@query("snowflake_times", """
+SELECT o_orderkey, strftime(make_timestamp(((o_orderkey * 1000000000000) // 4194304 + 1288834974657) * 1000), '%Y-%m-%d %H:%M:%S') AS moment FROM orders""")
+def snowflake_times(spark, d):
+    post = (F.col("o_orderkey") * 1_000_000_000_000).cast("string")
+    millis = F.unix_millis(S.snowflake_time(post))
+    # UTC text, whatever the session's zone.
+    utc = F.expr("timestampadd(SECOND, cast(floor(ms / 1000) as int), timestamp_ntz'1970-01-01 00:00:00')")
+    rows = w.table(spark, d, "orders").select("o_orderkey", millis.alias("ms"))
+    return rows.select("o_orderkey", stamp(utc).alias("moment"))
+
+
+@query("age_labels", """
+SELECT event_id, CASE WHEN s < 3600 THEN greatest(1, s // 60) || 'm' WHEN s < 86400 THEN greatest(1, s // 3600) || 'h' WHEN s < 604800 THEN greatest(1, s // 86400) || 'd' ELSE (s // 604800) || 'w' END AS age
+FROM (SELECT event_id, CAST(floor(epoch(TIMESTAMP '2024-02-01')) - floor(epoch(ts)) AS BIGINT) AS s FROM events)""")
+def age_labels(spark, d):
+    as_of = F.lit("2024-02-01").cast("timestamp")
+    return w.table(spark, d, "events").select("event_id", S.age_label(F.col("ts").cast("timestamp"), as_of).alias("age"))
+
+
+@query("account_labels", oracle("""
+SELECT account_id, CASE WHEN platform IN ('pixiv', 'youtube') AND coalesce(display_name, '') <> '' THEN display_name ELSE handle END AS label FROM accounts"""))
+def account_labels(spark, d):
+    return w.accounts(spark, d).select("account_id", S.account_label(F.col("platform"), F.col("handle"), F.col("display_name")).alias("label"))
+
+
+# --- hub pages ---
+
+
+def hub_payloads(spark, d):
+    """Every page as a hub page: its markup plus a few profile links, credits and sites."""
+    pages = w.table(spark, d, "pages")
+    key = F.col("page_id").cast("string")
+    extra = F.concat(
+        F.lit('<a href="https://x.com/u'), key, F.lit('"></a><a href="https:\\/\\/skeb.jp\\/@u'), key,
+        F.lit('"></a><p>ko-fi.com/a'), key, F.lit(" ko-fi.com/b"), key, F.lit(" ko-fi.com/c"), key,
+        F.lit('</p><a href="https://x.com/linktr_ee"></a><a href="'), "url", F.lit('"></a><script src="https://cdn.example.org/x.js"></script> Commissions: OPEN'),
+    )
+    return pages.select("page_id", F.lit("potofu").alias("platform"), F.concat(F.lit("hub"), key).alias("handle"), H.hub_markup(F.concat("html", extra)).alias("markup"))
+
+
+@query("hub_links", r"""
+WITH u AS (SELECT page_id, regexp_replace(url, '[.,;:!?)]+$', '') AS url, rtrim(regexp_replace(regexp_replace(url, '^(?:https?://)?(?:www\.)?', ''), '[?#].*$', ''), '/') AS bare FROM pages)
+SELECT page_id, 'twitter' AS platform, 'u' || page_id AS handle, 'same_person' AS claim, NULL AS relation_hint FROM pages
+UNION ALL SELECT page_id, 'skeb', 'u' || page_id, 'same_person', NULL FROM pages
+UNION ALL SELECT page_id, 'kofi', x || page_id, 'related', 'hub_credits' FROM pages, (SELECT unnest(['a', 'b', 'c']) AS x)
+UNION ALL SELECT page_id, 'website', left(lower(bare), 80), 'related', 'website' FROM u""")
+def hub_links(spark, d):
+    rows = hubs.page_links(hub_payloads(spark, d), ["page_id"])
+    return rows.select("page_id", "platform", "handle", "claim", "relation_hint")
+
+
+@query("hub_signals", """
+SELECT page_id, 'open' AS status, 0.59 AS confidence, 'Commissions: OPEN' AS detail FROM pages""".replace("0.59", "CAST(0.59 AS DOUBLE)"))
+def hub_signals(spark, d):
+    rows = hub_payloads(spark, d).select("page_id", T.commission_status(H.strip_tags(F.col("markup")), 0.65).alias("c"))
+    return rows.select("page_id", "c.status", "c.confidence", "c.detail")
+
+
+@query("mention_dumps", """
+WITH l AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), n AS (SELECT o_custkey, count(DISTINCT o_orderkey) AS n FROM orders GROUP BY 1)
+SELECT o_custkey AS page, o_orderkey AS link FROM orders JOIN n USING (o_custkey) WHERE n <= 5""")
+def mention_dumps(spark, d):
+    """Orders as mentions on their customer's page."""
+    orders = w.table(spark, d, "orders")
+    links = orders.select(
+        F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("link"), F.lit("deviantart").alias("platform"),
+        F.concat(F.lit("d"), F.col("o_orderkey").cast("string")).alias("handle"), F.lit("me").alias("own_handle"),
+    )
+    return up.drop_mention_dumps(links, ["page"], "deviantart").select("page", "link")
+
+
+# --- streams ---
+
+
+def _folder(prefix: str) -> str:
+    return tempfile.mkdtemp(prefix=f"personagraph-{prefix}-")
+
+
+@query("snapshot_stream", oracle("""
+SELECT account_id, snapshot_id FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY captured_at DESC, snapshot_id DESC) AS rn FROM snapshots) WHERE rn = 1"""))
+def snapshot_stream(spark, d):
+    """All snapshots arrive as files; the newest per account is kept over the micro batches."""
+    from ..session import shared_folder
+
+    base = f"{shared_folder(spark)}/{_folder('stream').rsplit('/', 1)[-1]}"
+    w.snapshots(spark, d).repartition(4, "snapshot_id").write.parquet(f"{base}/in")
+    stream = st.snapshot_stream(spark, f"{base}/in", files_per_trigger=2)
+    run = st.run_available(stream, f"{base}/ckpt", st.keep_latest(f"{base}/out"))
+    last = max(p["batchId"] for p in run.recentProgress if p["numInputRows"] > 0)
+    rows = spark.read.schema(st.SNAPSHOTS).parquet(f"{base}/out/v{last}")
+    return rows.select("account_id", "snapshot_id")
+
+
+@query("spend_windows", oracle("""
+SELECT service, strftime(date_trunc('hour', occurred_at), '%Y-%m-%d %H:%M:%S') AS window_start, CAST(sum(est_cost_cents) AS BIGINT) AS cents, CAST(sum(units) AS BIGINT) AS units FROM usage GROUP BY service, date_trunc('hour', occurred_at)"""))
+def spend_windows(spark, d):
+    rows = spend.spend_per_window(w.usage(spark, d))
+    return rows.select("service", stamp("window_start").alias("window_start"), "cents", "units")

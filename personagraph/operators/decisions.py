@@ -185,7 +185,7 @@ def decide(state: State, decisions: DataFrame, as_of: Column) -> State:
 
     # All live artists of an approved merge fold into the smallest of them.
     named = approved.filter("kind = 'cluster_merge'").select(
-        "item_id", F.explode(F.split("review_key", ",")).cast("bigint").alias("artist_id")
+        "item_id", F.explode(F.transform(F.split("review_key", ","), lambda x: x.cast("bigint"))).alias("artist_id")
     )
     alive = named.join(state.artists.filter("merged_into is null").select("artist_id"), "artist_id", "left_semi")
     keepers = alive.groupBy("item_id").agg(F.min("artist_id").alias("keeper"))

@@ -104,29 +104,6 @@ def cull_low_followers(accounts: DataFrame) -> DataFrame:
     return accounts.withColumn("status", F.when(small, F.lit("hidden")).otherwise(F.col("status")))
 
 
-def reclassify_websites(accounts: DataFrame, platform: str, pattern: str, url: str | None = None,
-                        as_native: bool = False) -> DataFrame:
-    """Move misfiled website accounts to their platform, one per handle, skipping handles already there."""
-    key = F.regexp_extract(F.coalesce("handle", F.lit("")), pattern, 1)
-    found = accounts.filter(F.col("platform") == "website").select("account_id", key.alias("_key")).filter("_key <> ''")
-    one = first_per_key(found, ["_key"], [F.col("account_id")])
-    held = F.col("native_id") if as_native else F.lower("handle")
-    there = accounts.filter(F.col("platform") == platform).select(held.alias("_held")).distinct()
-    wanted = F.col("_key") if as_native else F.lower("_key")
-    moves = one.join(there, wanted == F.col("_held"), "left_anti")
-    joined = accounts.join(moves, "account_id", "left")
-    hit = F.col("_key").isNotNull()
-    changes = {
-        "platform": F.when(hit, F.lit(platform)).otherwise(F.col("platform")),
-        "handle": F.coalesce("_key", "handle"),
-    }
-    if as_native:
-        changes["native_id"] = F.coalesce("_key", "native_id")
-    if url:
-        changes["profile_url"] = F.when(hit, F.concat(F.lit(url), F.col("_key"))).otherwise(F.col("profile_url"))
-    return joined.withColumns(changes).select(*accounts.columns)
-
-
 # Misfiled forms: platform, pattern, address prefix, key is a native id.
 MISFILED = [
     ("misskey", r"(?i)misskey\.(?:io|design|art)/@([A-Za-z0-9_]+)", "https://misskey.io/@", False),
@@ -140,10 +117,32 @@ MISFILED = [
 ]
 
 
-def reclassify_all(accounts: DataFrame) -> DataFrame:
-    for platform, pattern, url, as_native in MISFILED:
-        accounts = reclassify_websites(accounts, platform, pattern, url, as_native)
-    return accounts
+def reclassify_websites(accounts: DataFrame, forms: list[tuple] | None = None) -> DataFrame:
+    """Move misfiled website accounts to their platform, one per handle, skipping names already taken there."""
+    none = F.lit(None).cast("struct<platform:string,key:string,url:string,native:boolean>")
+    target = none
+    for platform, pattern, url, native in reversed(MISFILED if forms is None else forms):
+        key = F.regexp_extract("handle", pattern, 1)
+        made = F.struct(
+            F.lit(platform).alias("platform"), key.alias("key"), F.concat(F.lit(url), key).alias("url"),
+            F.lit(native).alias("native"),
+        )
+        target = F.when(key != "", made).otherwise(target)
+    found = accounts.filter("platform = 'website'").select("account_id", target.alias("t")).filter("t is not null")
+    found = found.select("account_id", "t", F.col("t.platform").alias("_platform"), F.lower("t.key").alias("_key"))
+    one = first_per_key(found, ["_platform", "_key"], [F.col("account_id")])
+    names = F.array_compact(F.array(F.lower("handle"), F.lower("native_id")))
+    held = accounts.filter("platform <> 'website'").select(F.col("platform").alias("_platform"), F.explode(names).alias("_key"))
+    moves = one.join(held.distinct(), ["_platform", "_key"], "left_anti").select("account_id", "t")
+    joined = accounts.join(moves, "account_id", "left")
+    return joined.withColumns(
+        {
+            "platform": F.coalesce("t.platform", "platform"),
+            "handle": F.coalesce("t.key", "handle"),
+            "native_id": F.when(F.col("t.native"), F.col("t.key")).otherwise(F.col("native_id")),
+            "profile_url": F.coalesce("t.url", "profile_url"),
+        }
+    ).select(*accounts.columns)
 
 
 def retract_mention_dumps(edges: DataFrame, accounts: DataFrame, platform: str = "deviantart") -> DataFrame:
