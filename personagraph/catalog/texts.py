@@ -68,7 +68,7 @@ f AS (
   UNION ALL SELECT doc_id, 'nightshade_mention', regexp_extract(bio, '(?i)\bnightshaded?\b') FROM b WHERE regexp_matches(bio, '(?i)\bnightshaded?\b'))
 SELECT DISTINCT doc_id, signal, matched_text FROM f""")
 def attestations(spark, d):
-    rows = bios(spark, d).select("doc_id", F.explode(T.attestations(F.col("bio"))).alias("s"))
+    rows = T.explode_rows(bios(spark, d), T.attestations(F.col("bio")), "s")
     return rows.select("doc_id", "s.signal", "s.matched_text")
 
 
@@ -99,7 +99,7 @@ def adult_markers(spark, d):
         .when(lang == "fr", "not r18 🔞")
         .otherwise("no r-18g, sfw  only 18+")
     )
-    rows = documents(spark, d).select("doc_id", F.explode(T.adult_markers(F.concat_ws(" ~ ", "text", said))).alias("s"))
+    rows = T.explode_rows(documents(spark, d), T.adult_markers(F.concat_ws(" ~ ", "text", said)), "s")
     return rows.select("doc_id", "s.matched_text")
 
 
@@ -120,7 +120,7 @@ def mentions(spark, d):
     rows = documents(spark, d).join(w.accounts(spark, d).select("account_id"), F.col("doc_id") == F.col("account_id"))
     pal = F.concat(F.when(F.col("lang") == "en", "my partner @pal").otherwise("see also @pal"), key, F.lit(" "))
     bio = F.concat(F.col("text"), F.lit(" mail me at x@pal.example, main: @Main_"), key, F.lit(" .................................. "), pal, F.lit("@main_"), key)
-    found = rows.select("doc_id", F.explode(T.mentions(bio, F.lit("twitter"))).alias("m"))
+    found = T.explode_rows(rows, T.mentions(bio, F.lit("twitter")), "m")
     return found.select("doc_id", "m.handle", "m.claim", "m.relation_hint")
 
 
@@ -171,7 +171,7 @@ SELECT page_id, unnest(['https://t.co/a' || page_id, 'http://bit.ly/b' || page_i
 def short_links(spark, d):
     key = F.col("page_id").cast("string")
     text = F.concat(F.col("html"), F.lit(" t.co/a"), key, F.lit(" http://bit.ly/b"), key, F.lit(" artist.co/x newsonl.tw/y vm.tiktok.com/c"), key, F.lit(" https://t.co/a"), key)
-    return w.table(spark, d, "pages").select("page_id", F.explode(L.short_links(text)).alias("short_url"))
+    return T.explode_rows(w.table(spark, d, "pages"), L.short_links(text), "short_url").select("page_id", "short_url")
 
 
 @query("short_links_resolved", """

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .text import all_matches
+from .text import all_matches, explode_rows
 
 LINK = "struct<platform:string,handle:string,native_id:string,url:string>"
 LINKS = f"array<{LINK}>"
@@ -26,25 +26,26 @@ def on_blocked_domain(domain: Column) -> Column:
     return domain.rlike(rf"(?i)(?:^|\.)(?:{_alternatives(P.NON_WEBSITE_DOMAINS)})$")
 
 
-def _matches_of(text: Column, low: Column, platform: str, field: str, literal: str, pattern: str) -> Column:
-    """All links of one pattern; the literal test spares texts that cannot match from the regex."""
-    cut = f"{pattern}((?:{P.ELLIPSIS})?)"
-    rows = F.arrays_zip(
-        all_matches(text, cut, 0).alias("url"),
-        all_matches(text, cut, 1).alias("value"),
-        all_matches(text, cut, 2).alias("cut"),
-    )
-    kept = F.filter(rows, lambda m: m["cut"] == "")
-    named = F.transform(
-        kept,
-        lambda m: F.struct(
-            F.lit(platform).alias("platform"),
-            (m["value"] if field == "handle" else F.lit(None).cast("string")).alias("handle"),
-            (m["value"] if field == "native_id" else F.lit(None).cast("string")).alias("native_id"),
-            with_scheme(m["url"]).alias("url"),
-        ),
-    )
-    return F.when(F.contains(low, F.lit(literal)), named).otherwise(F.array().cast(LINKS))
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _matches_of(text: str, low: str, platform: str, field: str, literal: str, pattern: str) -> str:
+    """SQL for all links of one pattern; the literal test spares texts that cannot match from the regex.
+
+    A match that runs into an ellipsis was cut off by the platform and is dropped.
+    """
+    cut = _sql_text(f"{pattern}((?:{P.ELLIPSIS})?)")
+    groups = [f"regexp_extract_all({text}, {cut}, {n})" for n in range(3)]
+    value = {"handle": "null", "native_id": "null", field: "m.value"}
+    return f"""
+      CASE WHEN contains({low}, {_sql_text(literal)}) THEN transform(
+        filter(zip_with({groups[0]}, arrays_zip({groups[1]}, {groups[2]}),
+          (url, g) -> named_struct('url', url, 'value', g['0'], 'cut', g['1'])), m -> m.cut = ''),
+        m -> named_struct('platform', '{platform}', 'handle', cast({value['handle']} AS string),
+          'native_id', cast({value['native_id']} AS string),
+          'url', if(startswith(m.url, 'http'), m.url, concat('https://', ltrim('/', m.url)))))
+      ELSE cast(array() AS {LINKS}) END"""
 
 
 def is_account_handle(platform: Column, handle: Column) -> Column:
@@ -88,13 +89,13 @@ def with_platform_links(df: DataFrame, text: str, out: str = "platform_links") -
     """Add the platform links of a text column as an array of structs."""
     low = f"_{out}_low"
     source = F.coalesce(F.col(text), F.lit(""))
-    parts = [_matches_of(source, F.col(low), *spec) for spec in P.PLATFORM_LINKS]
-    found = F.filter(F.concat(*parts), lambda l: is_account_handle(l["platform"], l["handle"]))
+    parts = ", ".join(_matches_of(f"_{out}_text", low, *spec) for spec in P.PLATFORM_LINKS)
+    found = F.filter(F.expr(f"concat({parts})"), lambda l: is_account_handle(l["platform"], l["handle"]))
     # Texts without any of the literals skip all patterns at once.
     literals = sorted({spec[2] for spec in P.PLATFORM_LINKS})
     maybe = F.col(low).rlike(_alternatives(literals))
-    tagged = df.withColumn(low, F.lower(source))
-    tagged = tagged.withColumn(out, F.when(maybe, found).otherwise(F.array().cast(LINKS))).drop(low)
+    tagged = df.withColumns({f"_{out}_text": source, low: F.lower(source)})
+    tagged = tagged.withColumn(out, F.when(maybe, found).otherwise(F.array().cast(LINKS))).drop(low, f"_{out}_text")
     return first_links(tagged, out)
 
 
@@ -140,7 +141,7 @@ def with_links(df: DataFrame, text: str, out: str = "links") -> DataFrame:
 def explode_links(df: DataFrame, column: str = "links") -> DataFrame:
     """One row per link with its position, the array column replaced by the link fields."""
     rest = [c for c in df.columns if c != column]
-    rows = df.select(*rest, F.posexplode(column).alias("link_pos", "_link"))
+    rows = explode_rows(df, column, "_link", "link_pos")
     return rows.select(*rest, "link_pos", "_link.platform", "_link.handle", "_link.native_id", "_link.url")
 
 

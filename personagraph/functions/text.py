@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import patterns as P
@@ -26,6 +26,16 @@ def first_match(text: Column, pattern: str, group: int = 0) -> Column:
     return non_empty(F.regexp_extract(text, pattern, group))
 
 
+def explode_rows(df: DataFrame, items: Column | str, out: str, position: str = "_pos") -> DataFrame:
+    """One row per element of an array.
+
+    The outer form with a filter behind it: the plain form makes the optimizer test the array's size
+    first, which would evaluate an extraction twice.
+    """
+    rows = df.select("*", F.posexplode_outer(items).alias(position, out))
+    return rows.filter(F.col(position).isNotNull())
+
+
 def _signal(name: str, matched: Column) -> Column:
     return F.struct(F.lit(name).alias("signal"), matched.alias("matched_text"))
 
@@ -66,7 +76,8 @@ def _not_negated() -> str:
 def adult_markers(text: Column) -> Column:
     """Ordered distinct adult self-labels, minus the negated ones."""
     guard = _not_negated()
-    found = F.concat(*[all_matches(text, f"{P.IC}{guard}(?:{marker})") for marker in P.ADULT_MARKERS])
+    # The marker is looked for first; the costly look-behind runs only where one stands.
+    found = F.concat(*[all_matches(text, f"{P.IC}(?={marker}){guard}(?:{marker})") for marker in P.ADULT_MARKERS])
     return F.transform(F.array_distinct(found), lambda m: _signal("bio_marker", m))
 
 
@@ -79,30 +90,43 @@ COMMISSION = "struct<status:string,confidence:double,detail:string>"
 
 def commission_status(text: Column, multiplier: float = 1.0) -> Column:
     """Best reading of the text: highest score, a closed reading wins ties, then the earlier pattern."""
-    readings = []
-    for order, (pattern, status, confidence) in enumerate(P.COMMISSIONS):
-        matched = first_match(text, pattern)
-        readings.append(
-            F.when(
-                matched.isNotNull(),
-                F.struct(
-                    F.lit(confidence * multiplier).alias("score"),
-                    F.lit(int(status == "closed")).alias("closed"),
-                    F.lit(-order).alias("order"),
-                    F.lit(status).alias("status"),
-                    matched.alias("matched"),
-                ),
+    matched = F.array(*[F.regexp_extract(text, pattern, 0) for pattern, _, _ in P.COMMISSIONS])
+    rules = F.array(
+        *[
+            F.struct(
+                F.lit(confidence * multiplier).alias("score"),
+                F.lit(int(status == "closed")).alias("closed"),
+                F.lit(-order).alias("order"),
+                F.lit(status).alias("status"),
             )
-        )
-    best = F.greatest(*readings)
-    return F.when(
-        best.isNotNull(),
-        F.struct(
-            best["status"].alias("status"),
-            F.round(best["score"], 2).alias("confidence"),
-            strip_space(best["matched"]).alias("detail"),
+            for order, (_, status, confidence) in enumerate(P.COMMISSIONS)
+        ]
+    )
+    readings = F.zip_with(
+        rules,
+        matched,
+        lambda r, m: F.struct(r["score"], r["closed"], r["order"], r["status"], m.alias("matched")),
+    )
+    hits = F.filter(readings, lambda r: F.coalesce(r["matched"], F.lit("")) != "")
+    # One element at most, so the winner is named once.
+    best = F.transform(
+        F.slice(F.array_sort(hits, _best_first), 1, 1),
+        lambda r: F.struct(
+            r["status"].alias("status"),
+            F.round(r["score"], 2).alias("confidence"),
+            strip_space(r["matched"]).alias("detail"),
         ),
     )
+    return F.get(best, F.lit(0))
+
+
+def _best_first(a: Column, b: Column) -> Column:
+    """Order of readings: score, closed, earlier pattern."""
+
+    def key(r: Column) -> Column:
+        return F.struct(r["score"].alias("s"), r["closed"].alias("c"), r["order"].alias("o"))
+
+    return F.when(key(a) > key(b), -1).when(key(a) < key(b), 1).otherwise(0)
 
 
 def looks_like_artist(text: Column) -> Column:
@@ -121,6 +145,20 @@ def project_account(handle: Column, name: Column, bio: Column) -> Column:
     return hit
 
 
+def _around_signs(text: Column) -> Column:
+    """The text with long stretches between two @ signs shortened in their middle.
+
+    A handle is shorter than the head that stays and a context shorter than the tail, so no mention
+    changes, and the pattern below never walks through prose that is far from any sign.
+    """
+    head, tail = 300, P.MENTION_CONTEXT + 1
+    short = F.transform(
+        F.split(text, "@", -1),
+        lambda p: F.when(F.length(p) > head + tail, F.concat_ws(" ", F.left(p, F.lit(head)), F.right(p, F.lit(tail)))).otherwise(p),
+    )
+    return F.when(F.contains(text, F.lit("@")), F.array_join(short, "@"))
+
+
 def mentions(text: Column, platform: Column) -> Column:
     """One struct per mentioned handle, the first mention of a handle wins.
 
@@ -128,11 +166,12 @@ def mentions(text: Column, platform: Column) -> Column:
     previous match ended, which is the context rule itself, so no match offsets are needed.
     """
     empty = F.array().cast("array<struct<handle:string,claim:string,relation_hint:string,matched_text:string>>")
+    near = _around_signs(text)
     by_platform = F.lit(None).cast("array<string>")
     for slug, pattern in P.MENTIONS.items():
         flags, body = pattern[: pattern.index(")") + 1], pattern[pattern.index(")") + 1 :]
         context = f"(?s){flags}.{{0,{P.MENTION_CONTEXT}}}?{body}"
-        by_platform = F.when(platform == slug, all_matches(text, context)).otherwise(by_platform)
+        by_platform = F.when(platform == slug, all_matches(near, context)).otherwise(by_platform)
 
     def read(context: Column) -> Column:
         low = F.lower(context)

@@ -140,13 +140,14 @@ def text_links(
 
 def mention_links(rows: DataFrame, order: int = 9) -> DataFrame:
     """Mentions in the bio as link rows to accounts of the same platform."""
-    said = rows.select(
+    own = rows.select(
         F.col("platform").alias("own_platform"),
         F.col("native_id").alias("own_native_id"),
         F.col("handle").alias("own_handle"),
         "platform",
-        F.posexplode(T.mentions(F.col("bio_text"), F.col("platform"))).alias("link_pos", "m"),
+        "bio_text",
     )
+    said = T.explode_rows(own, T.mentions(F.col("bio_text"), F.col("platform")), "m", "link_pos")
     address = {"twitter": "https://x.com/", "bluesky": "https://bsky.app/profile/"}
     prefix = F.create_map(*[F.lit(x) for pair in address.items() for x in pair])[F.col("platform")]
     none = F.lit(None).cast("string")

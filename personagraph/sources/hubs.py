@@ -86,11 +86,8 @@ def crawl(state: State, payloads: DataFrame, as_of: Column) -> State:
     evidence = snaps.select("account_id", F.col("snapshot_id").alias("evidence_snapshot_id"))
 
     said = signals.join(evidence, "account_id")
-    statements = said.select("account_id", "evidence_snapshot_id", F.explode(T.attestations(F.col("og_text"))).alias("s"))
-    markers = said.select(
-        "account_id", "evidence_snapshot_id",
-        F.explode(T.adult_markers(F.coalesce("og_text", F.lit("")))).alias("s"),
-    )
+    statements = T.explode_rows(said, T.attestations(F.col("og_text")), "s")
+    markers = T.explode_rows(said, T.adult_markers(F.coalesce("og_text", F.lit(""))), "s")
     accounts = up.mark_deleted(state.accounts, lost, as_of)
     seen = signals.select("account_id", *[F.col(x).alias(f"_{x}") for x in ("og_name", "image", "commission", "email")])
     joined = accounts.join(seen.withColumn("_seen", F.lit(True)), "account_id", "left")
@@ -142,7 +139,8 @@ def short_link_rows(state: State) -> DataFrame:
     rows = newest.join(state.accounts.select("account_id", "platform", "handle"), "account_id")
     barred = ev.suppressed_accounts(state.suppressions, state.memberships)
     rows = rows.join(barred, "account_id", "left_anti")
-    found = rows.select("account_id", "snapshot_id", "platform", "handle", F.explode(short_links(F.col("scan"))).alias("short_url"))
+    found = T.explode_rows(rows, short_links(F.col("scan")), "short_url")
+    found = found.select("account_id", "snapshot_id", "platform", "handle", "short_url")
     # X wraps its own links; those arrive expanded with the profile.
     wrapped = (F.col("platform") == "twitter") & F.col("short_url").startswith("https://t.co/")
     return found.filter(~wrapped)
