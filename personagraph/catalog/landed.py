@@ -312,7 +312,7 @@ def about_pages(spark, d):
     state = F.concat(
         F.lit('{"profileOwner":{"user":{"id":"'), "key", F.lit('"},"stats":{"watchers":'), F.col("p_size").cast("string"), F.lit('},"tagline":"say \\"hi\\" "},"@@entities":{"user":{"'), "key",
         F.lit('":{"userId":"'), "key", F.lit('","username":"'), F.upper("h"), F.lit('","usericon":"https://img.example/'), "key",
-        F.lit('"}}},"x":[{"about":{"website":"https://'), "h", F.lit('.example.org","textContent":{"excerpt":"me");","html":{"markup":"m"}}},"socialLinks":[{"value":"instagram.com/'), "h", F.lit('"}]}]}'),
+        F.lit('"}}},"x":[{"about":{"website":"https://'), "h", F.lit('.example.org","textContent":{"excerpt":"me\\");","html":{"markup":"m"}}},"socialLinks":[{"value":"instagram.com/'), "h", F.lit('"}]}]}'),
     )
     literal = F.replace(F.replace(state, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     page = F.concat(F.lit('<script>window.__INITIAL_STATE__ = JSON.parse("'), literal, F.lit('");</script>'))

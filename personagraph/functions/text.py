@@ -145,6 +145,9 @@ def project_account(handle: Column, name: Column, bio: Column) -> Column:
     return hit
 
 
+MENTION = "struct<handle:string,claim:string,relation_hint:string,matched_text:string>"
+
+
 def _around_signs(text: Column) -> Column:
     """The text with long stretches between two @ signs shortened in their middle.
 
@@ -165,7 +168,7 @@ def mentions(text: Column, platform: Column) -> Column:
     Every match carries its own context: the lazy run of up to 24 characters in front starts where the
     previous match ended, which is the context rule itself, so no match offsets are needed.
     """
-    empty = F.array().cast("array<struct<handle:string,claim:string,relation_hint:string,matched_text:string>>")
+    empty = F.array().cast(f"array<{MENTION}>")
     near = _around_signs(text)
     by_platform = F.lit(None).cast("array<string>")
     for slug, pattern in P.MENTIONS.items():
@@ -188,26 +191,30 @@ def mentions(text: Column, platform: Column) -> Column:
         )
 
     found = F.transform(by_platform, read)
-    return F.coalesce(first_of_each(found, lambda m: F.lower(m["handle"])), empty)
+    return F.coalesce(first_of_each(found, lambda m: F.lower(m["handle"]), MENTION), empty)
+
 
+def first_of_each(items: Column, key, kind: str) -> Column:
+    """Keep the first element of every key, in order; ``kind`` is the element type.
 
-def first_of_each(items: Column, key) -> Column:
-    """Keep the first element of every key, in order. Sorting makes this n log n inside one row."""
+    Sorting makes this n log n inside one row, and ``items`` is evaluated once.
+    """
     tagged = F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x")))
-    ordered = F.array_sort(tagged)
+    start = F.struct(
+        F.lit(None).cast("string").alias("last"), F.array().cast(f"array<struct<i:int,x:{kind}>>").alias("kept")
+    )
     firsts = F.aggregate(
-        ordered,
-        F.struct(
-            F.lit(None).cast("string").alias("last"),
-            F.array().cast("array<int>").alias("at"),
-        ),
+        F.array_sort(tagged),
+        start,
         lambda acc, t: F.struct(
             t["k"].alias("last"),
-            F.when(acc["last"].eqNullSafe(t["k"]), acc["at"]).otherwise(F.array_append(acc["at"], t["i"])).alias("at"),
+            F.when(acc["last"].eqNullSafe(t["k"]), acc["kept"])
+            .otherwise(F.array_append(acc["kept"], F.struct(t["i"].alias("i"), t["x"].alias("x"))))
+            .alias("kept"),
         ),
-        lambda acc: acc["at"],
+        lambda acc: acc["kept"],
     )
-    return F.transform(F.array_sort(firsts), lambda i: F.element_at(items, i + 1))
+    return F.transform(F.array_sort(firsts), lambda t: t["x"])
 
 
 def language(text: Column) -> Column:

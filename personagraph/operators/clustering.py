@@ -618,16 +618,29 @@ def reciprocal_artists(claims: DataFrame) -> DataFrame:
     return both.filter("_x <> _y").select("low", "high")
 
 
-def merge_reciprocal_artists(state: State, facts: DataFrame, as_of: Column) -> State:
+def personal(edges: DataFrame, shared: DataFrame) -> DataFrame:
+    """One-way edges that name somebody: shared targets are left out unless the platform verified the link."""
+    flagged = shared.select(F.col("account_id").alias("target_account_id"), F.lit(True).alias("_shared"))
+    marked = one_way(edges).join(flagged, "target_account_id", "left")
+    kept = F.col("_shared").isNull() | F.col("relation_hint").eqNullSafe(F.lit("oauth"))
+    return marked.filter(kept).drop("_shared")
+
+
+def merge_reciprocal_artists(state: State, facts: DataFrame, shared: DataFrame, as_of: Column) -> State:
     """Merge artists that reference each other, round by round, until no pair qualifies.
 
+    A pair comes up through a one-way or a flipped edge; all edges between the two count as claims.
     Every merge of a keeper adds members under a per-platform cap, so rounds are few.
     """
     while True:
         same = ev.strong_edges(state.edges, state.accounts)
         flipped = ev.flipped_edges(state.edges, state.accounts)
         claims = artist_claims(same.unionByName(flipped), state.memberships)
-        pairs = reciprocal_artists(claims)
+        raised = personal(same, shared).select(same.columns).unionByName(flipped)
+        raised = artist_claims(raised, state.memberships).select(
+            F.least("from_artist", "to_artist").alias("low"), F.greatest("from_artist", "to_artist").alias("high")
+        )
+        pairs = reciprocal_artists(claims).join(raised, ["low", "high"], "left_semi")
         barred = ev.suppressed_artists(state.suppressions)
         for side in ("low", "high"):
             pairs = pairs.join(barred.withColumnRenamed("artist_id", side), side, "left_anti")
@@ -654,10 +667,7 @@ def merge_reciprocal_artists(state: State, facts: DataFrame, as_of: Column) -> S
 
 def ask_conflicts(state: State, shared: DataFrame, as_of: Column) -> State:
     """One question per pair of artists that a one-way same-person edge still connects."""
-    edges = one_way(ev.strong_edges(state.edges, state.accounts))
-    flagged = shared.select(F.col("account_id").alias("target_account_id"), F.lit(True).alias("_shared"))
-    edges = edges.join(flagged, "target_account_id", "left")
-    edges = edges.filter(F.col("_shared").isNull() | F.col("relation_hint").eqNullSafe(F.lit("oauth")))
+    edges = personal(ev.strong_edges(state.edges, state.accounts), shared)
     claims = artist_claims(edges, state.memberships)
     items = claims.select(
         F.lit("cluster_merge").alias("kind"),
@@ -712,6 +722,6 @@ def restore_flipped(state: State, facts: DataFrame, edges: DataFrame, shared: Da
 
 def settle(state: State) -> State:
     """Cut the lineage of the tables a stage rewrote; the others already stand on their own."""
-    names = ("edges", "artists", "memberships", "events", "reviews")
+    names = ("accounts", "edges", "artists", "memberships", "events", "reviews", "suppressions")
     rewritten = {n: getattr(state, n) for n in names if not is_cut(getattr(state, n))}
     return state.with_(**{n: cut_lineage(df) for n, df in rewritten.items()})

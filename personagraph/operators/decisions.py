@@ -10,8 +10,8 @@ from ..functions.links import with_platform_links, with_website_links
 from ..schemas import State
 from ..session import cut_lineage
 from . import evidence as ev
-from .clustering import answer_merges, create_artists, log_events, merge_artists, set_edges
-from .reports import handle_states
+from .clustering import answer_merges, create_artists, log_events, merge_artists, set_edges, settle
+from .reports import clean_handles, handle_states
 from .spread import first_per_key
 from .upsert import append, close_memberships, resolve_reviews, upsert_accounts
 
@@ -263,17 +263,22 @@ def untag(state: State, handles: DataFrame, as_of: Column) -> State:
 
 
 def apply_decisions(state: State, decisions: DataFrame, as_of: Column) -> State:
-    """All recorded decisions of one batch, kind by kind."""
-    state = detach(state, of_kind(decisions, "detach"), as_of)
-    state = dismiss(state, of_kind(decisions, "dismiss"), as_of)
-    state = confirm(state, of_kind(decisions, "confirm"), as_of)
-    state = add_account(state, of_kind(decisions, "add_account"), as_of)
-    state = suppress(state, of_kind(decisions, "suppress"), as_of)
-    state = unsuppress(state, of_kind(decisions, "unsuppress"), as_of)
-    state = restore(state, of_kind(decisions, "restore"), as_of)
-    state = unhide(state, of_kind(decisions, "unhide"))
-    state = decide(state, decisions, as_of)
-    handles = of_kind(decisions, "tag").select(F.col("payload").alias("handle"))
-    state = tag(state, handles, as_of)
-    handles = of_kind(decisions, "untag").select(F.col("payload").alias("handle"))
-    return untag(state, handles, as_of)
+    """All recorded decisions of one batch, kind by kind; kinds nobody decided are skipped."""
+    present = {row["kind"] for row in decisions.select("kind").distinct().collect()}
+    steps = [
+        ({"detach"}, lambda s, d: detach(s, d, as_of)),
+        ({"dismiss"}, lambda s, d: dismiss(s, d, as_of)),
+        ({"confirm"}, lambda s, d: confirm(s, d, as_of)),
+        ({"add_account"}, lambda s, d: add_account(s, d, as_of)),
+        ({"suppress"}, lambda s, d: suppress(s, d, as_of)),
+        ({"unsuppress"}, lambda s, d: unsuppress(s, d, as_of)),
+        ({"restore"}, lambda s, d: restore(s, d, as_of)),
+        ({"unhide"}, lambda s, d: unhide(s, d)),
+        ({"approve", "reject"}, lambda s, d: decide(s, d, as_of)),
+        ({"tag"}, lambda s, d: tag(s, clean_handles(d, "payload", limit=None), as_of)),
+        ({"untag"}, lambda s, d: untag(s, clean_handles(d, "payload", limit=None), as_of)),
+    ]
+    for kinds, step in steps:
+        if kinds & present:
+            state = settle(step(state, of_kind(decisions, *kinds)))
+    return state

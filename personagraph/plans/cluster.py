@@ -21,7 +21,6 @@ def cluster(state: State, as_of: datetime) -> State:
     state = hygiene.purge_junk(state, now)
     state = hygiene.drop_duplicate_channels(state, now)
     state = c.settle(hygiene.flag_projects(state, now))
-    state = state.with_(accounts=cut_lineage(state.accounts))
 
     facts = cut_lineage(ev.account_facts(state.accounts, state.snapshots))
     edges = cut_lineage(ev.strong_edges(state.edges, state.accounts))
@@ -33,7 +32,7 @@ def cluster(state: State, as_of: datetime) -> State:
     shared = cut_lineage(c.shared_targets(edges, state.memberships))
     state = c.settle(c.detach_shared(state, shared, now))
     state = attach_one_directional(state, facts, shared, now)
-    state = c.merge_reciprocal_artists(state, facts, now)
+    state = c.merge_reciprocal_artists(state, facts, shared, now)
     state = c.settle(c.ask_conflicts(state, shared, now))
     state = c.settle(c.restore_flipped(state, facts, edges, shared, now))
     return c.settle(flag_anomalies(state, now))
