@@ -100,7 +100,7 @@ def add_account(state: State, decisions: DataFrame, as_of: Column) -> State:
     """Attach the account a pasted address names, unless another artist already holds it."""
     parsed = with_website_links(with_platform_links(decisions, "payload"), "payload")
     first = F.coalesce(F.get("platform_links", F.lit(0)), F.get("website_links", F.lit(0)))
-    links = parsed.withColumn("_l", first).filter("_l is not null")
+    links = cut_lineage(parsed.select("decision_id", "artist_id", first.alias("_l"))).filter("_l is not null")
     refs = links.select(
         F.col("decision_id").alias("seq"),
         "artist_id",
