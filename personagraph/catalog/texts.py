@@ -104,10 +104,10 @@ def adult_markers(spark, d):
 
 
 @query("evidence_words", r"""
-SELECT doc_id, regexp_matches(text, '(?i)illustrat|artist|art\b|draw|paint|sketch|doodle|fanart|commission|comm\b|comms\b|oc\b|vtuber|design|animat|pixiv|skeb|vgen') AS artist,
-  regexp_matches(text, '(?i)\b(?:fan)?zines?\b|\bbig\s?bangs?\b|antholog|\bcharity\s+(?:project|event|zine)\b|\bfan\s?events?\b|\bart\s+servers?\b|\bcollab\s+(?:server|group)\b') AS project FROM documents WHERE lang = 'en'""")
+SELECT doc_id, regexp_matches(text, '(?i)illustrat|artist|draw|paint|sketch|doodle|fanart|commission|vtuber|design|animat|pixiv|skeb|vgen|絵|イラスト|落書き|らくがき|依頼|創作|同人|(?:art|comm|comms|oc)(?:[^\p{L}\p{M}\p{N}_]|$)') AS artist,
+  regexp_matches(text, '(?i)antholog|合同誌|アンソロ|(?:^|[^\p{L}\p{M}\p{N}_])(?:(?:fan)?zines?|big\s?bangs?|charity\s+(?:project|event|zine)|fan\s?events?|art\s+servers?|collab\s+(?:server|group))(?:[^\p{L}\p{M}\p{N}_]|$)') AS project FROM documents""")
 def evidence_words(spark, d):
-    rows = documents(spark, d).filter("lang = 'en'")
+    rows = documents(spark, d)
     return rows.select("doc_id", T.looks_like_artist(F.col("text")).alias("artist"), T.looks_like_project(F.col("text")).alias("project"))
 
 

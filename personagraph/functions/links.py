@@ -14,6 +14,16 @@ LINK = "struct<platform:string,handle:string,native_id:string,url:string>"
 LINKS = f"array<{LINK}>"
 
 
+def tokens_with(text: Column, pattern: str) -> Column:
+    """The words of a text that hold ``pattern``, in order, one space between them.
+
+    No link pattern spans white space, and none looks further than the next character, so the links of
+    these words are the links of the text; prose never reaches the patterns.
+    """
+    words = F.filter(F.split(text, r"\s+", -1), lambda word: word.rlike(pattern))
+    return F.array_join(words, " ")
+
+
 def with_scheme(url: Column) -> Column:
     return F.when(url.startswith("http"), url).otherwise(F.concat(F.lit("https://"), F.ltrim(url, F.lit("/"))))
 
@@ -88,20 +98,21 @@ def first_links(df: DataFrame, column: str) -> DataFrame:
 def with_platform_links(df: DataFrame, text: str, out: str = "platform_links") -> DataFrame:
     """Add the platform links of a text column as an array of structs."""
     low = f"_{out}_low"
-    source = F.coalesce(F.col(text), F.lit(""))
+    source = tokens_with(F.coalesce(F.col(text), F.lit("")), r"\.\p{L}")
     parts = ", ".join(_matches_of(f"_{out}_text", low, *spec) for spec in P.PLATFORM_LINKS)
     found = F.filter(F.expr(f"concat({parts})"), lambda l: is_account_handle(l["platform"], l["handle"]))
     # Texts without any of the literals skip all patterns at once.
     literals = sorted({spec[2] for spec in P.PLATFORM_LINKS})
     maybe = F.col(low).rlike(_alternatives(literals))
-    tagged = df.withColumns({f"_{out}_text": source, low: F.lower(source)})
+    tagged = df.withColumn(f"_{out}_text", source).withColumn(low, F.lower(f"_{out}_text"))
     tagged = tagged.withColumn(out, F.when(maybe, found).otherwise(F.array().cast(LINKS))).drop(low, f"_{out}_text")
     return first_links(tagged, out)
 
 
 def with_website_links(df: DataFrame, text: str, out: str = "website_links") -> DataFrame:
     """Add links to hosts that are no known platform; the handle is host plus path."""
-    hits = all_matches(F.coalesce(F.col(text), F.lit("")), f"{P.GENERIC_URL}(?:{P.ELLIPSIS})?")
+    words = tokens_with(F.coalesce(F.col(text), F.lit("")), r"(?i)://|www\.")
+    hits = all_matches(words, f"{P.GENERIC_URL}(?:{P.ELLIPSIS})?")
 
     def pieces(hit: Column) -> Column:
         parts = F.filter(F.split(F.regexp_replace(hit, "[…‥]$", ""), r"(?=https?://)"), lambda p: p != "")
