@@ -8,22 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .text import all_matches, explode_rows
+from .text import all_matches, explode_rows, tokens_with
 
 LINK = "struct<platform:string,handle:string,native_id:string,url:string>"
 LINKS = f"array<{LINK}>"
 
 
-def tokens_with(text: Column, pattern: str) -> Column:
-    """The words of a text that hold ``pattern``, in order, one space between them.
-
-    No link pattern spans white space, and none looks further than the next character, so the links of
-    these words are the links of the text; prose never reaches the patterns.
-    """
-    words = F.filter(F.split(text, r"\s+", -1), lambda word: word.rlike(pattern))
-    return F.array_join(words, " ")
-
-
 def with_scheme(url: Column) -> Column:
     return F.when(url.startswith("http"), url).otherwise(F.concat(F.lit("https://"), F.ltrim(url, F.lit("/"))))
 

@@ -26,6 +26,16 @@ def first_match(text: Column, pattern: str, group: int = 0) -> Column:
     return non_empty(F.regexp_extract(text, pattern, group))
 
 
+def tokens_with(text: Column, pattern: str) -> Column:
+    """The words of a text that hold ``pattern``, in order, one space between them.
+
+    Links and addresses never span white space, and their patterns look no further than the next
+    character, so what these words hold is what the text holds; prose never reaches the patterns.
+    """
+    words = F.filter(F.split(text, r"\s+", -1), lambda word: word.rlike(pattern))
+    return F.array_join(words, " ")
+
+
 def explode_rows(df: DataFrame, items: Column | str, out: str, position: str = "_pos") -> DataFrame:
     """One row per element of an array.
 
@@ -82,7 +92,8 @@ def adult_markers(text: Column) -> Column:
 
 
 def email(text: Column) -> Column:
-    return F.lower(first_match(text, P.EMAIL))
+    near = F.when(F.contains(text, F.lit("@")), tokens_with(text, "@"))
+    return F.lower(F.nullif(F.regexp_extract(near, P.EMAIL, 0), F.lit("")))
 
 
 COMMISSION = "struct<status:string,confidence:double,detail:string>"
