@@ -330,9 +330,9 @@ def spend_ledger(spark, d):
 
 @query("recent_spend", oracle("""
 SELECT strftime(occurred_at, '%Y-%m-%d %H:%M:%S') AS occurred_at, CAST(sum(units) AS BIGINT) AS units, CAST(sum(est_cost_cents) AS BIGINT) AS cents
-FROM usage WHERE service = 'x_api' AND note = 'x-tag flush' GROUP BY usage.occurred_at ORDER BY usage.occurred_at DESC LIMIT 8"""))
+FROM usage WHERE service = 'x_api' AND note = 'tag flush' GROUP BY usage.occurred_at ORDER BY usage.occurred_at DESC LIMIT 8"""))
 def recent_spend(spark, d):
-    rows = ledger.recent_spend(w.usage(spark, d), "x_api", "x-tag flush")
+    rows = ledger.recent_spend(w.usage(spark, d), "x_api", "tag flush")
     return rows.select(stamp("occurred_at").alias("occurred_at"), "units", "cents")
 
 
@@ -696,7 +696,7 @@ def decision_untag(spark, d):
     s = w.state(spark, d)
     mine = s.accounts.filter("platform = 'twitter'").filter(F.col("display_name").endswith(" illustration"))
     done = dec.untag(s, reports.clean_handles(mine, limit=None), w.as_of())
-    out = done.suppressions.filter("note = 'x-tag removal'").select(F.lit("suppressed").alias("what"), F.col("artist_id").alias("id"))
+    out = done.suppressions.filter("note = 'tag removal'").select(F.lit("suppressed").alias("what"), F.col("artist_id").alias("id"))
     return out.unionByName(done.accounts.filter("status = 'hidden'").select(F.lit("hidden").alias("what"), F.col("account_id").alias("id")))
 
 

@@ -315,7 +315,7 @@ def usage(spark: SparkSession, d: str) -> DataFrame:
             F.floor("value").alias("units"),
             F.ceil(F.floor("value") * 0.5).alias("est_cost_cents"),
             F.date_trunc("hour", "ts").alias("occurred_at"),
-            F.when(kind == "purchase", "x-tag flush").alias("note"),
+            F.when(kind == "purchase", "tag flush").alias("note"),
         ),
         API_USAGE,
     )
@@ -434,7 +434,7 @@ reviews AS (
 usage AS (
   SELECT CASE WHEN event_type IN ('purchase', 'view') THEN 'x_api' ELSE 'graphtreon' END AS service, event_type AS endpoint,
     CAST(floor(value) AS INT) AS units, CAST(ceil(floor(value) * 0.5) AS INT) AS est_cost_cents,
-    date_trunc('hour', ts) AS occurred_at, CASE WHEN event_type = 'purchase' THEN 'x-tag flush' END AS note
+    date_trunc('hour', ts) AS occurred_at, CASE WHEN event_type = 'purchase' THEN 'tag flush' END AS note
   FROM events),
 strong AS (
   SELECT * FROM edges WHERE status = 'present' AND claim = 'same_person'

@@ -216,7 +216,7 @@ def tag(state: State, handles: DataFrame, as_of: Column) -> State:
         F.lit(None).cast("bigint").alias("followers_count"),
         F.lit(None).cast("timestamp").alias("last_post_at"),
         F.lit("manual_tag").alias("discovered_via"),
-        F.create_map(F.lit("source"), F.lit("x-tag")).alias("discovery_details"),
+        F.create_map(F.lit("source"), F.lit("tag")).alias("discovery_details"),
         F.lit(False).alias("hydrated"),
     )
     accounts, resolved = upsert_accounts(state.accounts, refs, as_of)
@@ -240,9 +240,9 @@ def untag(state: State, handles: DataFrame, as_of: Column) -> State:
     states = cut_lineage(handle_states(handles, state))
     listed = states.filter("state = 'listed'").select("artist_id").distinct()
     made = listed.withColumns(
-        {"reason": F.lit("other"), "note": F.lit("x-tag removal"), "requested_by": F.lit("admin:x-tag"), "created_at": as_of}
+        {"reason": F.lit("other"), "note": F.lit("tag removal"), "requested_by": F.lit("admin:tag"), "created_at": as_of}
     )
-    events = log_events(state.events, listed, "suppressed", "admin:x-tag", as_of, reason="x-tag removal")
+    events = log_events(state.events, listed, "suppressed", "admin:tag", as_of, reason="tag removal")
     going = states.filter(F.col("state").isin("queued", "tracked", "tagged")).select("handle")
     mine = state.accounts.filter("platform = 'twitter'").select(
         "account_id", "discovered_via", F.lower("handle").alias("handle")

@@ -206,12 +206,12 @@ def test_directory_on_the_smoke_fixture(spark):
     state = build(
         spark,
         accounts=[
-            account(1, followers=52000, handle="inkwitch", display_name="Ink Witch"),
-            account(2, "pixiv", 30000, handle="inkwitch_px", display_name="インク魔女", via="pixiv_ranking"),
-            account(3, "instagram", None, handle="inkwitch.ig", display_name=None, status="unknown", via="bio_link"),
+            account(1, followers=52000, handle="seawitch", display_name="Sea Witch"),
+            account(2, "pixiv", 30000, handle="seawitch_px", display_name="海の魔女", via="pixiv_ranking"),
+            account(3, "instagram", None, handle="seawitch.ig", display_name=None, status="unknown", via="bio_link"),
             account(4, followers=90000, handle="brushlord"),
         ],
-        artists=[artist(1, public_slug="inkwitch", region="eastern"), artist(2, public_slug="brushlord")],
+        artists=[artist(1, public_slug="seawitch", region="eastern"), artist(2, public_slug="brushlord")],
         memberships=[member(1, 1), member(1, 2), member(1, 3, "strong"), member(2, 4)],
         snapshots=[dict(snapshot_id=1, account_id=1, captured_at=NOW, bio_text="#NoAI", fetch_source="x:users/by")],
         attestations=[dict(account_id=1, signal="bio_tag", matched_text="#NoAI", evidence_snapshot_id=1, active=True)],
@@ -219,7 +219,7 @@ def test_directory_on_the_smoke_fixture(spark):
         suppressions=[dict(artist_id=2, reason="opt_out", created_at=NOW)],
     )
     shown = directory.directory(state, as_of).collect()
-    assert [(r.public_slug, r.no_ai_attested, r.nsfw, r.display_name) for r in shown] == [("inkwitch", True, True, "Ink Witch")]
+    assert [(r.public_slug, r.no_ai_attested, r.nsfw, r.display_name) for r in shown] == [("seawitch", True, True, "Sea Witch")]
     assert shown[0].sources == ["pixiv", "twitter"] and shown[0].dormant is False
     named = [r.platform for r in directory.directory_accounts(state).orderBy("position").collect()]
     assert named == ["twitter", "pixiv", "instagram"]
