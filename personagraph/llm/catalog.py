@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, html_blocks, license_diagonals, quality_votes, simhash_trie, spaced_seeds, token_columns
+from . import curriculum, gzip_members, html_blocks, license_diagonals, quality_votes, simhash_trie, spaced_seeds, token_columns
 from .common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,31 @@ def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "items", "n_items", "first_word", "last_word", "similarity")
 
 
+@_query
+def op8_gzip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    gzip_members.write_monolithic(table(spark, sf_dir, "pages"), f"{path}/monolithic")
+    gzip_members.normalise(spark, f"{path}/monolithic", path)
+    return gzip_members.read_records(spark, path)
+
+
+ORACLES["op8_gzip_members"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS x
+  FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p
+)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + ((('0x' || substr(x, 1 + 10 * (k // 8), 10))::BIGINT >> (35 - 5 * (k % 8))) & 31)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM f
+"""
+
+
 @_query
 def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.in_order(curriculum.plan(table(spark, sf_dir, "documents"))).select(
