@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, gzip_members, html_blocks, license_diagonals, quality_votes, simhash_trie, spaced_seeds, token_columns
+from . import curriculum, gzip_members, html_blocks, license_diagonals, line_edit_join, quality_votes, simhash_trie, spaced_seeds, token_columns
 from .common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,11 @@ FROM f
 """
 
 
+@_query
+def op9_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_edit_join.repeated(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.in_order(curriculum.plan(table(spark, sf_dir, "documents"))).select(
