@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, gzip_members, html_blocks, license_diagonals, line_edit_join, quality_votes, simhash_trie, spaced_seeds, token_columns
+from . import curriculum, gzip_members, html_blocks, license_diagonals, line_edit_join, quality_votes, simhash_trie, spaced_seeds, surrogates, token_columns
 from .common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,11 @@ def op5_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_replaced")
+
+
 @_query
 def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spaced_seeds.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
