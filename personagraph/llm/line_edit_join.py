@@ -6,8 +6,10 @@ indexed under its own segments, and probes the indexes of its own and up to EDIT
 that can match there; equal keys give candidates. What is left of them after the common start and end is verified by
 bit-parallel edit distance over a band of 2 * EDITS + 1 diagonals (Hyyro, 2003), the state of a step being two words.
 
-Where many lines share one key, as those of near copies do, pairs are not made: what remains of a line without the
-shared segment is segmented again within the key, twice at most, so that lines meet only where most of them is equal.
+Where many lines share one key, as those of near copies do, what remains of a line without the shared segment is
+segmented again within the key, so that lines meet only where most of them is equal. Pairs under a key are
+made only if a 64-bit mark of their neighbouring characters allows so few edits; what neither step tells apart is
+compared, however many lines there are.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ EDITS = 2
 LEAST_CHARS = 40
 #: Rows under one key from which on the rest of the lines is segmented again, and how often at most.
 CROWD = 64
-DEPTH = 2
+DEPTH = 1
 
 _WHITE = " \t\r\x0b\x0c"
 
@@ -83,32 +85,56 @@ def _shared(rows: DataFrame) -> DataFrame:
     )
 
 
-def _pairs(shared: DataFrame) -> DataFrame:
-    """(low, high) ids under one key, of which one is indexed there."""
-    left = shared.filter(~F.col("probe")).select("key", F.col("id").alias("a"))
-    right = shared.select("key", F.col("id").alias("b"), "probe")
+def _marks(line: Column) -> Column:
+    """64 bits, each the parity of how often the pairs of neighbouring characters of one class occur."""
+    chars = _chars(F.concat(F.lit("\n"), line, F.lit("\n")))
+    bits = F.zip_with(
+        F.slice(chars, 1, F.size(chars) - 1), F.slice(chars, 2, F.size(chars) - 1), lambda a, b: _bit(F.xxhash64(a, b))
+    )
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+
+
+def _bit(number: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(number, F.lit(64)).cast("int"))
+
+
+def _pairs(shared: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """(low, high) ids under one key, of which one is indexed there, and whose marks allow so many edits: an edit ends
+    two pairs of neighbours at most and makes two."""
+    marked = shared.join(texts.select("id", "marks"), "id")
+    left = marked.filter(~F.col("probe")).select("key", F.col("id").alias("a"), F.col("marks").alias("a_marks"))
+    right = marked.select("key", F.col("id").alias("b"), "probe", F.col("marks").alias("b_marks"))
     met = left.join(right, "key").filter((F.col("a") != F.col("b")) & (F.col("probe") | (F.col("a") < F.col("b"))))
+    met = met.filter(F.bit_count(F.col("a_marks").bitwiseXOR(F.col("b_marks"))) <= 4 * edits)
     return met.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct()
 
 
-def candidates(lines: DataFrame, edits: int = EDITS, crowd: int = CROWD, depth: int = DEPTH) -> DataFrame:
-    """(low, high) ids of ``lines`` (id, line) that may be within ``edits``; none that is within is missing."""
+def _near(lines: DataFrame, edits: int, crowd: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Candidates (low, high), and (id, line, marks) of all lines that share a key with another."""
     frame = lines.select(F.lit(0).cast("long").alias("block"), "id", F.col("line").alias("rest"))
-    found = None
+    found = texts = None
     for level in range(depth + 1):
         shared = cut(_shared(_keys(frame, edits)))
+        if texts is None:
+            texts = cut(lines.select("id", "line").join(shared.select("id").distinct(), "id", "left_semi").withColumn("marks", _marks(F.col("line"))))
         crowded = F.col("n") > (crowd if level < depth else F.lit(1 << 62))
-        pairs = _pairs(shared.filter(~crowded))
+        pairs = _pairs(shared.filter(~crowded), texts, edits)
         found = pairs if found is None else found.unionByName(pairs)
         if level == depth or shared.filter(crowded).isEmpty():
             break
         # Of the crowded lines, the same keys are made again, now with what remains beside the shared segment.
         hot = shared.filter(crowded).select("key", "id").distinct()
-        again = _keys(frame.join(hot.select("id").distinct(), "id", "left_semi"), edits)
+        base = texts.select(F.lit(0).cast("long").alias("block"), "id", F.col("line").alias("rest")) if level == 0 else frame
+        again = _keys(base.join(hot.select("id").distinct(), "id", "left_semi"), edits)
         rest = F.concat(F.substring("rest", F.lit(1), F.col("at")), F.expr("substring(rest, at + size + 1)"))
         # A line may be under one key by several places; each leaves another rest.
         frame = cut(again.join(hot, ["key", "id"], "left_semi").select(F.col("key").alias("block"), "id", rest.alias("rest")).distinct())
-    return found.distinct()
+    return found.distinct(), texts
+
+
+def candidates(lines: DataFrame, edits: int = EDITS, crowd: int = CROWD, depth: int = DEPTH) -> DataFrame:
+    """(low, high) ids of ``lines`` (id, line) that may be within ``edits``; none that is within is missing."""
+    return _near(lines, edits, crowd, depth)[0]
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -171,9 +197,7 @@ def _distance(long: Column, short: Column, edits: int) -> Column:
 
 def links(lines: DataFrame, edits: int = EDITS, crowd: int = CROWD, depth: int = DEPTH) -> DataFrame:
     """(low, high) ids of different ``lines`` (id, line) whose edit distance is at most ``edits``."""
-    pairs = cut(candidates(lines, edits, crowd, depth))
-    needed = pairs.select(F.explode(F.array("low", "high")).alias("id")).distinct()
-    texts = cut(lines.select("id", "line").join(needed, "id", "left_semi"))
+    pairs, texts = _near(lines, edits, crowd, depth)
     met = pairs.join(texts.select(F.col("id").alias("low"), F.col("line").alias("a")), "low").join(
         texts.select(F.col("id").alias("high"), F.col("line").alias("b")), "high"
     )

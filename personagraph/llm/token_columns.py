@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 import sys
 import zlib
-from itertools import chain
+from itertools import repeat
 from types import ModuleType
 
 import numpy as np
@@ -30,12 +30,24 @@ PAGE_BYTES = 256 * 1024
 PAGE_ROWS = 2_000
 DICTIONARY_BYTES = 512 * 1024
 #: Words that a worker remembers the ids of.
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 400_000
 END_ID = 0
 
 ENCODED = "doc_id long, file int, at long, n_tokens long, tokens array<int>"
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write visible Latin-1 bytes as they are, and the others as letters from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_BYTES = _byte_letters()
+#: Marks that can follow a word; an apostrophe can begin a piece of its own.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library; words seen before are not encoded again.
 
@@ -51,81 +63,118 @@ class Encoder:
         # Strings of special tokens in a text are ordinary text.
         self.library.encode_special_tokens = True
         self.known_words = known_words
-        self.break_id = self._whole(["\n"])[0]
+        self.break_piece = None
         # The cuts above hold for byte-level pieces without normalisation; other vocabularies get whole texts.
-        self.cuts = len(self.break_id) == 1 and self.library.normalizer is None and "ByteLevel" in repr(self.library.pre_tokenizer)
-        self._forget()
-
-    def _forget(self) -> None:
+        self.cuts = self.library.normalizer is None and repr(self.library.pre_tokenizer).startswith("ByteLevel(add_prefix_space=False")
+        if self.cuts:
+            ((self.break_piece, _),) = self.library.pre_tokenizer.pre_tokenize_str("\n")
         self.known: dict[str, int] = {}
-        self.starts = np.zeros(0, np.int64)
         self.counts = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        """Many words go to the library as one text with line feeds between; words of odd white space go alone."""
-        plain = [w for w in new if w.strip(" ").split() == [w.strip(" ")]]
-        odd = [w for w in new if w.strip(" ").split() != [w.strip(" ")]]
-        ids = [self.ids]
-        counts = [self.counts]
-        words: list[str] = []
-        groups = [plain[k : k + 1000] for k in range(0, len(plain), 1000)]
-        for some, e in zip(groups, self.library.encode_batch(["\n".join(g) for g in groups], add_special_tokens=False)):
-            got = np.array(e.ids, np.int32)
-            breaks = np.flatnonzero(got == self.break_id[0])
-            if len(breaks) != len(some) - 1:
+    def _alone(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words in some order, their numbers of ids, and all ids; the library's model encodes each distinct piece.
+
+        Letters with marks behind them are two pieces; other words are cut by the library, a thousand at a time with
+        line feeds between; words with line feeds of their own are encoded as texts.
+        """
+        order, odd, done, counts, ids = [], [], [], [], []
+        cut, model = self.library.pre_tokenizer.pre_tokenize_str, self.library.model.tokenize
+        pieces: dict[str, list[int]] = {}
+        for w in words:
+            letters = w.rstrip(_MARKS)
+            first = letters[1:] if letters[:1] == " " else letters
+            if first.isalpha():
+                text = letters[1:] if letters[0] == " " else f" {letters}"
+                got = pieces.get(text)
+                if got is None:
+                    got = pieces[text] = [t.id for t in model(text.encode().decode("latin-1").translate(_BYTES))]
+                marks = w[len(letters) :]
+                if marks:
+                    more = pieces.get(marks)
+                    if more is None:
+                        more = pieces[marks] = [t.id for t in model(marks)]
+                    got = got + more
+                done.append(w)
+                counts.append(len(got))
+                ids += got
+            elif w[-1] == "\n":
+                odd.append(w)
+            else:
+                order.append(w)
+        pieces = {}
+        for k in range(0, len(order), 1000):
+            some = order[k : k + 1000]
+            parts = [p for p, _ in cut("\n".join([w[1:] if w[0] == " " else f" {w}" for w in some]))]
+            if parts.count(self.break_piece) != len(some) - 1:
                 odd += some
                 continue
-            words += some
-            counts.append(np.diff(np.concatenate([[-1], breaks, [len(got)]])) - 1)
-            ids.append(np.delete(got, breaks))
-        for w, got in zip(odd, self._whole(odd)):
-            words.append(w)
-            counts.append(np.array([len(got)]))
-            ids.append(got)
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
-        self.counts = np.concatenate(counts)
-        self.ids = np.concatenate(ids)
-        self.starts = np.cumsum(self.counts) - self.counts
+            n = 0
+            for part in parts:
+                if part == self.break_piece:
+                    counts.append(n)
+                    n = 0
+                    continue
+                got = pieces.get(part)
+                if got is None:
+                    got = pieces[part] = [t.id for t in model(part)]
+                ids += got
+                n += len(got)
+            counts.append(n)
+            done += some
+        for w, got in zip(odd, self._whole([w[1:] if w[0] == " " else f" {w}" for w in odd])):
+            done.append(w)
+            counts.append(len(got))
+            ids += got.tolist()
+        return done, np.array(counts, np.int64), np.array(ids, np.int32)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [k for k, text in enumerate(texts) if self.cuts and _cuttable(text)]
-        pieces = [_pieces(texts[k]) for k in cut]
-        distinct = set(chain.from_iterable(pieces))
-        new = distinct - self.known.keys()
-        if len(self.known) + len(new) > self.known_words:
-            self._forget()
-            new = distinct
-        if new:
-            self._learn(sorted(new))
-        sizes = [len(p) for p in pieces]
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(pieces)), np.int64, sum(sizes))
-        counts = self.counts[at]
-        ends = np.cumsum(counts)
-        flat = self.ids[np.repeat(self.starts[at] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.concatenate([[0], ends])[np.cumsum([0, *sizes])]
+        words: list[str] = []
+        ends = [0]
+        for k in cut:
+            _pieces(texts[k], words)
+            ends.append(len(words))
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        counts, ids = self.counts, self.ids
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            new, n, got = self._alone(list({words[k] for k in missing}))
+            here = dict(zip(new, range(len(counts), len(counts) + len(new))))
+            at[missing] = [here[words[k]] for k in missing]
+            counts, ids = np.concatenate([counts, n]), np.concatenate([ids, got])
+            # Words that come later than the memory holds are rare ones; they are encoded where they occur.
+            if len(counts) <= self.known_words:
+                self.known |= here
+                self.counts, self.ids = counts, ids
+        starts = np.cumsum(counts) - counts
+        sizes = counts[at]
+        stops = np.cumsum(sizes)
+        flat = ids[np.repeat(starts[at] - (stops - sizes), sizes) + np.arange(stops[-1] if len(stops) else 0)]
+        bounds = np.concatenate([[0], stops])[ends]
         out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
         for n, k in enumerate(cut):
             out[k] = flat[bounds[n] : bounds[n + 1]]
         rest = sorted(set(range(len(texts))) - set(cut))
-        for k, ids in zip(rest, self._whole([texts[k] for k in rest])):
-            out[k] = ids
+        for k, got in zip(rest, self._whole([texts[k] for k in rest])):
+            out[k] = got
         return out
 
 
-#: White space other than line feeds and single spaces between words.
-_ODD_SPACE = re.compile(r"[^\S \n]| [ \n]|\n | \Z")
+_ODD_SPACE = re.compile(r"[^\S \n]")
 
 
 def _cuttable(text: str) -> bool:
-    return _ODD_SPACE.search(text) is None
+    """No white space but line feeds and single spaces between words."""
+    return not ("  " in text or " \n" in text or "\n " in text or text[-1:] == " " or _ODD_SPACE.search(text))
 
 
-def _pieces(text: str) -> list[str]:
-    out: list[str] = []
+def _pieces(text: str, out: list[str]) -> None:
+    """Append the pieces of a cuttable text. A word stands for itself after a space; what follows no space (the first
+    word of a line, line feeds) is marked by a space before it, which no word holds."""
     blank = 0
     for k, line in enumerate(text.split("\n")):
         blank += k > 0
@@ -133,15 +182,14 @@ def _pieces(text: str) -> list[str]:
             if blank:
                 # All but the last of several line feeds are one piece, the last one is another.
                 if blank > 1:
-                    out.append("\n" * (blank - 1))
-                out.append("\n")
+                    out.append(" " + "\n" * (blank - 1))
+                out.append(" \n")
                 blank = 0
-            first, *rest = line.split(" ")
-            out.append(first)
-            out += [" " + w for w in rest]
+            at = len(out)
+            out += line.split(" ")
+            out[at] = " " + out[at]
     if blank:
-        out.append("\n" * blank)
-    return out
+        out.append(" " + "\n" * blank)
 
 
 def encoder(path: str) -> Encoder:
