@@ -229,7 +229,7 @@ def state_lookup(spark, d):
     names = w.table(spark, d, "part").select(
         F.concat(F.lit(" @"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_partkey").cast("string")).alias("handle")
     )
-    requested = reports.clean_handles(names, limit=None)
+    requested = reports.clean_handles(names)
     return reports.handle_states(requested, w.state(spark, d)).select("handle", "state", "artist_id", "public_slug")
 
 
@@ -695,7 +695,7 @@ UNION SELECT 'hidden', j.account_id FROM j JOIN accounts a USING (account_id) WH
 def decision_untag(spark, d):
     s = w.state(spark, d)
     mine = s.accounts.filter("platform = 'twitter'").filter(F.col("display_name").endswith(" illustration"))
-    done = dec.untag(s, reports.clean_handles(mine, limit=None), w.as_of())
+    done = dec.untag(s, reports.clean_handles(mine), w.as_of())
     out = done.suppressions.filter("note = 'tag removal'").select(F.lit("suppressed").alias("what"), F.col("artist_id").alias("id"))
     return out.unionByName(done.accounts.filter("status = 'hidden'").select(F.lit("hidden").alias("what"), F.col("account_id").alias("id")))
 
@@ -712,7 +712,7 @@ def decision_tag(spark, d):
     s = w.state(spark, d)
     cars = w.table(spark, d, "customer").filter("c_mktsegment = 'AUTOMOBILE'").select(F.col("c_custkey").alias("account_id"))
     mine = s.accounts.filter("platform = 'twitter'").join(cars, "account_id", "left_semi")
-    asked = reports.clean_handles(mine, limit=None)
+    asked = reports.clean_handles(mine)
     done = dec.tag(s, asked, w.as_of())
     rows = done.accounts.filter("platform = 'twitter'").withColumn("h", F.lower("handle"))
     return rows.join(asked.withColumnRenamed("handle", "h"), "h", "left_semi").select("account_id", "discovered_via", "status")

@@ -438,7 +438,7 @@ def fediverse_profiles(spark, d):
         F.array(F.struct(F.lit("Admin").alias("name")), F.struct(F.lit("Artist").alias("name"))).alias("roles"),
     ))
     found, links = misskey.normalize(payload(rows, "misskey:user", F.concat(F.lit("https://Misskey.io/@"), "h"), body))
-    linked = links.select(F.col("own_native_id").alias("native_id"), F.substring("url", 9, 100).alias("linked"), "evidence_type")
+    linked = links.select(F.col("own_native_id").alias("native_id"), F.regexp_replace("url", "^https://", "").alias("linked"), "evidence_type")
     return found.select("native_id", "handle", "followers_count", F.try_element_at("stats", F.lit("misskey_roles")).alias("roles")).join(linked, "native_id")
 
 

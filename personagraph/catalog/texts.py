@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -158,7 +158,7 @@ def platform_links(spark, d):
 @query("website_links", r"""
 WITH p AS (SELECT page_id, regexp_replace(url, '[.,;:!?)»」】]+$', '') AS url FROM pages),
 s AS (SELECT page_id, url, lower(regexp_extract(url, '(?i)^(?:https?://)?(?:www\.)?([A-Za-z0-9.-]+)', 1)) AS domain, rtrim(regexp_replace(regexp_replace(url, '^(?:https?://)?(?:www\.)?', ''), '[?#].*$', ''), '/') AS bare FROM p)
-SELECT page_id, left(lower(bare), 80) AS handle, url FROM s
+SELECT page_id, lower(bare) AS handle, url FROM s
 WHERE contains(domain, '.') AND NOT regexp_matches(bare, '(?i)\.(?:js|mjs|css|json|xml|png|jpe?g|gif|webp|avif|svg|ico|bmp|woff2?|ttf|otf|eot|mp[34]|webm|mov|wav|ogg|pdf|zip|rar|7z)$')""")
 def website_links(spark, d):
     found = L.with_website_links(w.table(spark, d, "pages").select("page_id", F.col("url").alias("address")), "address")
@@ -193,7 +193,7 @@ def strip_html(spark, d):
 @query("html_bio", r"""
 WITH a AS (SELECT page_id, regexp_replace(html, '(?i)<a\b[^>]*\bhref\s*=\s*["'']([^"'']+)["''][^>]*>', ' \1 ', 'g') AS t FROM pages),
 b AS (SELECT page_id, regexp_replace(t, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>|<[^>]+>', ' ', 'g') AS t FROM a),
-c AS (SELECT page_id, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM b)
+c AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g') AS t FROM b)
 SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n\s*\n\s*\n+', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS bio FROM c""")
 def html_bio(spark, d):
     return w.table(spark, d, "pages").select("page_id", H.bio_from_html(F.col("html")).alias("bio"))
@@ -307,17 +307,13 @@ def mention_dumps(spark, d):
 # --- streams ---
 
 
-def _folder(prefix: str) -> str:
-    return tempfile.mkdtemp(prefix=f"personagraph-{prefix}-")
-
-
 @query("snapshot_stream", oracle("""
 SELECT account_id, snapshot_id FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY captured_at DESC, snapshot_id DESC) AS rn FROM snapshots) WHERE rn = 1"""))
 def snapshot_stream(spark, d):
     """All snapshots arrive as files; the newest per account is kept over the micro batches."""
     from ..session import shared_folder
 
-    base = f"{shared_folder(spark)}/{_folder('stream').rsplit('/', 1)[-1]}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     w.snapshots(spark, d).repartition(4, "snapshot_id").write.parquet(f"{base}/in")
     stream = st.snapshot_stream(spark, f"{base}/in", files_per_trigger=2)
     run = st.run_available(stream, f"{base}/ckpt", st.keep_latest(f"{base}/out"))

@@ -13,13 +13,12 @@ _STATE = re.compile(r'window\.__INITIAL_STATE__\s*=\s*JSON\.parse\("((?:[^"\\]|\
 _ESCAPE = re.compile(r"\\(.)", re.S)
 _LD = re.compile(r'<script[^>]*type="application/ld\+json"[^>]*>\s*(.*?)\s*</script>', re.S)
 _LEFT_OVER = re.compile(r"\\u([0-9a-fA-F]{4})")
-MAX_DEPTH = 16
 
 
 def _valid(text: str | None) -> str | None:
     try:
         json.loads(text)
-    except (TypeError, ValueError):
+    except (TypeError, ValueError, RecursionError):  # nested deeper than the reader goes
         return None
     return text
 
@@ -38,27 +37,26 @@ def page_state(page: pd.Series) -> pd.Series:
     return page.map(_state_text)
 
 
-def _nodes(root, depth: int = 0):
-    """Every object of a document with its depth, parents before children, in document order."""
-    if isinstance(root, dict):
-        yield depth, root
-        children = root.values()
-    elif isinstance(root, list):
-        children = root
-    else:
-        return
-    for child in children:
-        yield from _nodes(child, depth + 1)
+def _nodes(root):
+    """Every object of a document, parents before children, in document order, however deep."""
+    waiting = [root]
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, dict):
+            yield node
+            waiting += reversed(node.values())
+        elif isinstance(node, list):
+            waiting += reversed(node)
 
 
 def find_key(key: str):
-    """Column function: JSON text of the first value stored under ``key`` anywhere in a document."""
+    """Column function: JSON text of the first value other than null stored under ``key`` anywhere in a document."""
 
     def look(text: str | None) -> str | None:
-        if not text:
+        if not text or _valid(text) is None:
             return None
-        for depth, node in _nodes(json.loads(text)):
-            if depth <= MAX_DEPTH and key in node:
+        for node in _nodes(json.loads(text)):
+            if node.get(key) is not None:
                 return json.dumps(node[key], ensure_ascii=False)
         return None
 
@@ -86,7 +84,7 @@ def _linked_data(page: str | None) -> dict:
     found = {"name": None, "description": None, "image": None}
     links: dict[str, None] = {}
     for root in own:
-        for _, node in _nodes(root):
+        for node in _nodes(root):
             for field in ("name", "description"):
                 if found[field] is None and isinstance(node.get(field), str) and node[field]:
                     found[field] = node[field]

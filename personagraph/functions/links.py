@@ -119,7 +119,7 @@ def with_website_links(df: DataFrame, text: str, out: str = "website_links") ->
             bare.alias("bare"),
             F.struct(
                 F.lit("website").alias("platform"),
-                F.substring(F.lower(bare), 1, P.WEBSITE_HANDLE_LENGTH).alias("handle"),
+                F.lower(bare).alias("handle"),
                 F.lit(None).cast("string").alias("native_id"),
                 F.when(url.startswith("http"), url).otherwise(F.concat(F.lit("https://"), url)).alias("url"),
             ).alias("link"),

@@ -219,7 +219,6 @@ ASSET_PATH = (
     r"(?i)\.(?:js|mjs|css|json|xml|png|jpe?g|gif|webp|avif|svg|ico|bmp"
     r"|woff2?|ttf|otf|eot|mp[34]|webm|mov|wav|ogg|pdf|zip|rar|7z)$"
 )
-WEBSITE_HANDLE_LENGTH = 80
 
 # --- scripts, in the order they are tested ---
 LANGUAGE_SCRIPTS = [
@@ -249,4 +248,3 @@ OG_PROPERTY_FIRST = (
 OG_CONTENT_FIRST = (
     r"(?i)<meta[^>]+content=[\"']([^\"']*)[\"'][^>]+property=[\"']og:(title|image|description)[\"']"
 )
-HUB_TEXT_LIMIT = 800_000

@@ -162,14 +162,11 @@ MENTION = "struct<handle:string,claim:string,relation_hint:string,matched_text:s
 def _around_signs(text: Column) -> Column:
     """The text with long stretches between two @ signs shortened in their middle.
 
-    A handle is shorter than the head that stays and a context shorter than the tail, so no mention
-    changes, and the pattern below never walks through prose that is far from any sign.
+    What stays of a stretch is its first run without white space, which holds any handle however long, and the tail
+    that the next sign's context can reach; so no mention changes, and the pattern below never walks through prose.
     """
-    head, tail = 300, P.MENTION_CONTEXT + 1
-    short = F.transform(
-        F.split(text, "@", -1),
-        lambda p: F.when(F.length(p) > head + tail, F.concat_ws(" ", F.left(p, F.lit(head)), F.right(p, F.lit(tail)))).otherwise(p),
-    )
+    stretch = rf"(?s)\A(\S*+)\s.*(.{{{P.MENTION_CONTEXT + 1}}})\z"
+    short = F.transform(F.split(text, "@", -1), lambda p: F.regexp_replace(p, stretch, "$1 $2"))
     return F.when(F.contains(text, F.lit("@")), F.array_join(short, "@"))
 
 

@@ -15,7 +15,7 @@ from ..schemas import State
 from ..session import cut_lineage, is_cut
 from . import evidence as ev
 from .components import components, mutual_pairs, resolve_chains
-from .spread import first_per_key, lookup, running, top_per_key
+from .spread import first_per_key, hot_keys, lookup, running, top_per_key
 from .upsert import append, close_memberships, next_ids, resolve_reviews
 
 PIPELINE = "pipeline"
@@ -163,8 +163,9 @@ def merge_artists(state: State, mapping: DataFrame, actor: str, as_of: Column) -
     """Fold losers into keepers (loser, keeper): members move, pointers collapse, open anomalies end."""
     mapping = resolve_chains(mapping, "loser", "keeper")
     moving = ev.live(state.memberships).select("artist_id", "account_id", "confidence")
-    # One artist may hold a large share of all members, so its pointer is looked up with salt.
-    moving = lookup(moving.withColumnRenamed("artist_id", "loser"), mapping, ["loser"])
+    # One artist may hold a large share of all members, so its rows are salted.
+    moving = moving.withColumnRenamed("artist_id", "loser")
+    moving = lookup(moving, mapping, ["loser"], hot=hot_keys(moving, ["loser"]))
     moving = cut_lineage(moving)
     closing = moving.select(F.col("loser").alias("artist_id"), "account_id")
     closed = close_memberships(state.memberships, closing, as_of)
@@ -259,9 +260,9 @@ def combined_fullest(pairs: DataFrame, counts: DataFrame, extra: DataFrame | Non
 def pick_merges(pairs: DataFrame) -> DataFrame:
     """A set of pairs in which no artist appears twice: pairs that are each other's first choice.
 
-    Preference is a hash of the pair, so many pairs agree at once and few rounds are needed.
+    The smaller pair (low, then high) is preferred; the smallest of all is always taken, and the rest wait a round.
     """
-    pair = F.struct(F.xxhash64("low", "high").alias("h"), "low", "high")
+    pair = F.struct("low", "high")
     sides = pairs.select(F.explode(F.array("low", "high")).alias("a"), pair.alias("p"))
     choice = sides.groupBy("a").agg(F.min("p").alias("p"))
     twice = choice.groupBy("p").count().filter("count = 2")
@@ -535,16 +536,17 @@ def one_directional_ladder(
     links = links.join(shut, ["artist_id", "account_id"], "left").withColumn("closed", F.col("_shut").isNotNull())
     links = cut_lineage(links.drop("_shut"))
 
-    counts = ev.platform_counts(state.memberships, facts)
+    # Used several times below, and small beside the links.
+    counts = cut_lineage(ev.platform_counts(state.memberships, facts))
     by_edge = [F.col("edge_id")]
     open_links = links.filter(~F.col("closed"))
 
     # Verified and stated links: one candidate per account, ranked by tier, then edge.
     strong = first_per_key(open_links.filter("tier < 2"), ["artist_id", "account_id"], [F.col("tier"), *by_edge])
     strong = first_per_key(strong, ["account_id"], [F.col("tier"), *by_edge])
-    taken = slots_left(strong, counts, [F.col("tier"), *by_edge])
+    taken = cut_lineage(slots_left(strong, counts, [F.col("tier"), *by_edge]))
     filled = counts.unionByName(taken.groupBy("artist_id", "platform").agg(F.count("*").alias("members")))
-    used = filled.select("artist_id", "platform").distinct().withColumn("_used", F.lit(True))
+    used = cut_lineage(filled.select("artist_id", "platform").distinct()).withColumn("_used", F.lit(True))
 
     # Other links: the artist must have no account there; prominent targets need shared links.
     plain = open_links.filter("tier = 2").join(taken.select("account_id"), "account_id", "left_anti")
@@ -556,7 +558,7 @@ def one_directional_ladder(
     )
     eligible = plain.filter(proven & F.col("_used").isNull())
     winners = first_per_key(eligible, ["artist_id", "platform"], by_edge)
-    winners = first_per_key(winners, ["account_id"], by_edge)
+    winners = cut_lineage(first_per_key(winners, ["account_id"], by_edge))
 
     picks = taken.select("edge_id").unionByName(winners.select("edge_id")).withColumn("_pick", F.lit(True))
     settled = taken.select("account_id").unionByName(winners.select("account_id")).withColumn("_settled", F.lit(True))

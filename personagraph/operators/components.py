@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .spread import HOT_ROWS, lookup
+from .spread import HOT_ROWS, hot_keys, lookup
 
 
 def mutual_pairs(edges: DataFrame) -> DataFrame:
@@ -24,15 +24,13 @@ def mutual_pairs(edges: DataFrame) -> DataFrame:
     )
 
 
-def _with_smallest(links: DataFrame, smallest: DataFrame, hot_rows: int | None) -> DataFrame:
-    """Bring each node's smallest neighbour to its links; salted unless no node can be hot."""
-    if hot_rows is None:
-        return links.join(smallest.drop("_n"), "u")
+def _with_smallest(links: DataFrame, smallest: DataFrame, hot_rows: int) -> DataFrame:
+    """Bring each node's smallest neighbour to its links; the links of hubs are salted."""
     hot = smallest.filter(F.col("_n") >= hot_rows).select("u")
     return lookup(links, smallest.drop("_n"), ["u"], hot=hot)
 
 
-def _largest_star(links: DataFrame, hot_rows: int | None) -> DataFrame:
+def _largest_star(links: DataFrame, hot_rows: int) -> DataFrame:
     """Every node points its larger neighbours at its smallest neighbour."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     smallest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("_n"))
@@ -40,7 +38,7 @@ def _largest_star(links: DataFrame, hot_rows: int | None) -> DataFrame:
     return linked.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _smallest_star(links: DataFrame, hot_rows: int | None) -> DataFrame:
+def _smallest_star(links: DataFrame, hot_rows: int) -> DataFrame:
     """Every node and its smaller neighbours point at the smallest of them."""
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     smallest = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
@@ -65,8 +63,7 @@ def components(pairs: DataFrame, left: str = "low", right: str = "high", hot_row
     links = cut_lineage(links)
     seen = _fingerprint(links)
     while seen[0]:
-        salt_from = hot_rows if 2 * seen[0] >= hot_rows else None
-        links = cut_lineage(_smallest_star(_largest_star(links, salt_from), salt_from))
+        links = cut_lineage(_smallest_star(_largest_star(links, hot_rows), hot_rows))
         now = _fingerprint(links)
         if now == seen:
             break
@@ -76,21 +73,29 @@ def components(pairs: DataFrame, left: str = "low", right: str = "high", hot_row
     return members.unionByName(roots).distinct()
 
 
-def resolve_chains(pointers: DataFrame, node: str = "node", target: str = "target") -> DataFrame:
-    """Follow pointers to their end by pointer jumping: a chain of length n needs log2(n) joins."""
+def resolve_chains(
+    pointers: DataFrame, node: str = "node", target: str = "target", hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Follow pointers to their end by pointer jumping: a chain of length n needs log2(n) joins.
+
+    After that many rounds every chain has ended, so what still moves is on a cycle, whatever its length.
+    """
     links = cut_lineage(pointers.select(F.col(node).alias("node"), F.col(target).alias("target")))
-    while True:
+    rounds = links.count().bit_length() + 1
+    for _ in range(rounds):
         onward = links.select(F.col("node").alias("target"), F.col("target").alias("onward"))
-        # A popular keeper holds many pointers, so this lookup is salted.
-        jumped = lookup(links, onward, ["target"], "left").select(
+        # A popular keeper holds many pointers, so its rows are salted.
+        popular = hot_keys(links, ["target"], hot_rows)
+        jumped = lookup(links, onward, ["target"], "left", hot=popular).select(
             "node",
             F.coalesce("onward", "target").alias("target"),
             F.col("onward").isNotNull().alias("_moved"),
         )
         jumped = cut_lineage(jumped)
         if not jumped.filter(F.col("node") == F.col("target")).isEmpty():
-            raise ValueError("merge pointers form a cycle")
+            break
         done = jumped.filter("_moved").isEmpty()
         links = jumped.drop("_moved")
         if done:
             return links.select(F.col("node").alias(node), F.col("target").alias(target))
+    raise ValueError("merge pointers form a cycle")

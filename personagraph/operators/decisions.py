@@ -11,6 +11,7 @@ from ..schemas import State
 from ..session import cut_lineage
 from . import evidence as ev
 from .clustering import answer_merges, create_artists, log_events, merge_artists, set_edges, settle
+from .components import components
 from .reports import clean_handles, handle_states
 from .spread import first_per_key
 from .upsert import append, close_memberships, resolve_reviews, upsert_accounts
@@ -54,15 +55,16 @@ def confirm(state: State, decisions: DataFrame, as_of: Column) -> State:
     homes = ev.live(state.memberships).select("account_id", F.col("artist_id").alias("other_artist"))
     pairs = cut_lineage(pairs.join(homes, "account_id", "left"))
     merging = pairs.filter("other_artist is not null and other_artist <> artist_id")
-    merging = first_per_key(merging, ["other_artist"], [F.col("artist_id")])
-    # Two artists confirmed into each other keep the smaller one.
-    reverse = merging.select(F.col("other_artist").alias("artist_id"), F.col("artist_id").alias("other_artist"))
-    crossed = merging.join(reverse, ["artist_id", "other_artist"], "left_semi").filter("artist_id > other_artist")
-    merging = merging.join(crossed, ["artist_id", "other_artist"], "left_anti")
-    mapping = cut_lineage(merging.select(F.col("other_artist").alias("loser"), F.col("artist_id").alias("keeper")))
+    # All artists that a batch links are one; of those that nobody takes in the smallest keeps, in a cycle the smallest.
+    merging = cut_lineage(merging.select("artist_id", "other_artist").distinct())
+    taken = merging.select(F.col("other_artist").alias("node"), F.lit(True).alias("_taken")).distinct()
+    parts = components(merging, "artist_id", "other_artist").join(taken, "node", "left")
+    keepers = parts.groupBy("component").agg(F.min(F.struct(F.col("_taken").isNotNull().alias("t"), "node")).alias("k"))
+    mapping = parts.join(keepers, "component").select(F.col("node").alias("loser"), F.col("k.node").alias("keeper"))
+    mapping = cut_lineage(mapping.filter("loser <> keeper"))
     state = merge_artists(state, mapping, ACTOR, as_of)
-    answered = mapping.select(F.least("loser", "keeper").alias("low"), F.greatest("loser", "keeper").alias("high"))
-    state = state.with_(reviews=answer_merges(state.reviews, answered, ACTOR, as_of))
+    pair = [F.least("artist_id", "other_artist").alias("low"), F.greatest("artist_id", "other_artist").alias("high")]
+    state = state.with_(reviews=answer_merges(state.reviews, merging.select(*pair), ACTOR, as_of))
     free = first_per_key(pairs.filter("other_artist is null"), ["account_id"], [F.col("artist_id")])
     state = _attach(state, free, "manual_confirm_connection", as_of)
     wires = _with_claim(state, connecting_edges(state, pairs), "related").withColumns(
@@ -275,8 +277,8 @@ def apply_decisions(state: State, decisions: DataFrame, as_of: Column) -> State:
         ({"restore"}, lambda s, d: restore(s, d, as_of)),
         ({"unhide"}, lambda s, d: unhide(s, d)),
         ({"approve", "reject"}, lambda s, d: decide(s, d, as_of)),
-        ({"tag"}, lambda s, d: tag(s, clean_handles(d, "payload", limit=None), as_of)),
-        ({"untag"}, lambda s, d: untag(s, clean_handles(d, "payload", limit=None), as_of)),
+        ({"tag"}, lambda s, d: tag(s, clean_handles(d, "payload"), as_of)),
+        ({"untag"}, lambda s, d: untag(s, clean_handles(d, "payload"), as_of)),
     ]
     for kinds, step in steps:
         if kinds & present:

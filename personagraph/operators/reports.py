@@ -66,14 +66,14 @@ def suppressed_account_list(state: State) -> DataFrame:
     )
 
 
-def hidden_list(state: State) -> DataFrame:
-    """Hidden accounts that are not website leftovers, most followed first (a 500-row report)."""
+def hidden_list(state: State, size: int = policy.REMOVED_LIST_SIZE) -> DataFrame:
+    """Hidden accounts that are not website leftovers, most followed first: the first page, of ``size`` rows."""
     rows = state.accounts.filter("status = 'hidden' and platform <> 'website'").select(
         "account_id", "platform", "handle", "display_name", "followers_count", "discovered_via"
     )
     return rows.join(_homes(state), "account_id", "left").orderBy(
         F.col("followers_count").desc_nulls_last(), "account_id"
-    ).limit(policy.REMOVED_LIST_SIZE)
+    ).limit(size)
 
 
 def invisible_accounts(state: State) -> DataFrame:
@@ -276,10 +276,14 @@ def review_queue(state: State) -> DataFrame:
 STATE_RANK = {"listed": 5, "tagged": 4, "queued": 3, "tracked": 2, "removed": 1, "untracked": 0}
 
 
-def clean_handles(raw: DataFrame, column: str = "handle", limit: int | None = policy.MAX_HANDLES_PER_REQUEST) -> DataFrame:
-    """Requested handles: trimmed, without @, lower case, valid, each once. Too many is an error, never a cut."""
-    if limit is not None and raw.limit(limit + 1).count() > limit:
+def check_request(raw: DataFrame, limit: int = policy.MAX_HANDLES_PER_REQUEST) -> None:
+    """A request of too many handles is an error, never a cut; for callers that answer outside requests."""
+    if raw.limit(limit + 1).count() > limit:
         raise ValueError(f"more than {limit} handles in one request")
+
+
+def clean_handles(raw: DataFrame, column: str = "handle") -> DataFrame:
+    """Requested handles: trimmed, without @, lower case, valid, each once."""
     low = F.lower(F.ltrim(F.trim(F.col(column)), F.lit("@")))
     return raw.select(low.alias("handle")).filter(F.col("handle").rlike(P.X_HANDLE)).distinct()
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-HOT_ROWS = 2_000_000
+HOT_ROWS = 100_000
 SALTS = 64
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html import unescape_all
+from ..functions.html import unescape
 from ..functions.jsontree import find_key, page_state
 from ..functions.text import first_match, strip_space
 from ..operators import upsert as up
@@ -31,7 +31,7 @@ def feed_items(payloads: DataFrame, source: str = "deviantart:rss") -> DataFrame
         "fetched_at",
         "key",
         "pos",
-        strip_space(unescape_all(F.get(names, F.lit(0)))).alias("username"),
+        strip_space(unescape(F.get(names, F.lit(0)))).alias("username"),
         F.get(avatars, F.lit(0)).alias("avatar"),
         F.coalesce(strip_space(first_match(F.col("item"), RATING, 1)) == "adult", F.lit(False)).alias("adult"),
     ).filter("username is not null")

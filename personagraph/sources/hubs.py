@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import policy
 from ..functions import text as T
-from ..functions.html import hub_markup, linked_urls, open_graph, strip_tags, unescape_all
+from ..functions.html import hub_markup, linked_urls, open_graph, strip_tags, unescape
 from ..functions.links import (
     SHORT_LINK_SCAN,
     explode_links,
@@ -50,14 +50,14 @@ def page_signals(rows: DataFrame) -> DataFrame:
     """Name, picture, description, commission and e-mail of hub pages."""
     og = open_graph(F.col("markup"))
     read = rows.withColumn("og", F.when(F.col("platform") == "potofu", og))
-    name = F.regexp_replace(strip_space(unescape_all(F.col("og.title"))), r"(?:\s*\|\s*POTOFU)+\s*$", "")
+    name = F.regexp_replace(strip_space(unescape(F.col("og.title"))), r"(?:\s*\|\s*POTOFU)+\s*$", "")
     image = F.col("og.image")
     text = strip_tags(F.col("markup"))
     return read.select(
         "account_id",
         "fetched_at",
         F.nullif(name, F.lit("")).alias("og_name"),
-        F.nullif(strip_space(unescape_all(F.col("og.description"))), F.lit("")).alias("og_text"),
+        F.nullif(strip_space(unescape(F.col("og.description"))), F.lit("")).alias("og_text"),
         F.when(image.startswith("http") & ~F.contains(image, F.lit("default_profile")), image).alias("image"),
         T.commission_status(text, policy.HUB_COMMISSION_MULTIPLIER).alias("commission"),
         T.email(text).alias("email"),

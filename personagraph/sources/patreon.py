@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import policy
 from ..functions import patterns as P
-from ..functions.html import strip_tags, unescape_all
+from ..functions.html import strip_tags, unescape
 from ..functions.jsontree import linked_data
 from ..functions.scalars import category_slug, grouped_int
 from ..functions.text import first_match, strip_space
@@ -41,8 +41,8 @@ def list_rows(pages: DataFrame) -> DataFrame:
         "rank",
         "vanity",
         first_match(F.col("block"), CAMPAIGN, 1).alias("campaign"),
-        unescape_all(first_match(F.col("block"), NAME, 1)).alias("name"),
-        unescape_all(F.regexp_replace(first_match(F.col("block"), BLURB, 1), P.TAGS, "")).alias("blurb"),
+        unescape(first_match(F.col("block"), NAME, 1)).alias("name"),
+        unescape(F.regexp_replace(first_match(F.col("block"), BLURB, 1), P.TAGS, "")).alias("blurb"),
     )
 
 
@@ -76,7 +76,7 @@ def list_stats(pages: DataFrame) -> DataFrame:
 
 def merge_lists(rows: DataFrame, lists: DataFrame) -> DataFrame:
     """One row per creator over all lists (page, metric, category, list_order): the first sighting's details."""
-    seen = rows.join(F.broadcast(lists), "page")
+    seen = rows.join(lists, "page")
     order = F.struct("list_order", "rank")
     detail = F.struct("name", "blurb", "metric", "category", "rank")
     merged = seen.groupBy("vanity").agg(
@@ -125,7 +125,7 @@ def ranking_profiles(creators: DataFrame, stats: DataFrame, fetched_at) -> DataF
 def page_stats(payloads: DataFrame, source: str = "graphtreon:creator") -> DataFrame:
     """(key, category, rank, paid_members, tracked) of statistics pages; a missing page is remembered."""
     text = F.regexp_replace(strip_tags(F.col("body"), scripts=False), r"\s+", " ")
-    found = c.bodies(payloads, source).select("key", unescape_all(text).alias("text"))
+    found = c.bodies(payloads, source).select("key", unescape(text).alias("text"))
     read = found.select(
         "key",
         category_slug(first_match(F.col("text"), CATEGORY, 1)).alias("category"),

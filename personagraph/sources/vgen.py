@@ -123,7 +123,7 @@ def profile_fields(payloads: DataFrame, source: str = "vgen:profile") -> DataFra
 def normalize(payloads: DataFrame, source: str = "vgen:profile") -> tuple[DataFrame, DataFrame]:
     fields = profile_fields(payloads, source)
     status = F.col("services_status")
-    shown = F.nullif(F.array_join(F.slice("tags", 1, 8), ", "), F.lit(""))
+    shown = F.nullif(F.array_join("tags", ", "), F.lit(""))
     rows = c.profiles(
         fields.withColumn("social", F.array_join("socials", "\n")),
         keep=["social"],

@@ -102,8 +102,15 @@ def test_salted_lookup_equals_a_join(spark, how):
 def test_chains_resolve(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 12)] + [(20, 21)], "node long, target long")
     assert {r.node: r.target for r in resolve_chains(links).collect()} == {**{i: 12 for i in range(1, 12)}, 20: 21}
-    with pytest.raises(ValueError):
-        resolve_chains(spark.createDataFrame([(1, 2), (2, 1)], "node long, target long"))
+    for n in (2, 3, 5):
+        ring = [(k, k % n + 1) for k in range(1, n + 1)] + [(100, 101)]
+        with pytest.raises(ValueError):
+            resolve_chains(spark.createDataFrame(ring, "node long, target long"))
+
+
+def test_chains_of_popular_keepers_resolve(spark):
+    links = spark.createDataFrame([(i, 1000) for i in range(400)] + [(1000, 1001)], "node long, target long")
+    assert {r.target for r in resolve_chains(links, hot_rows=50).collect()} == {1001}
 
 
 def test_slugs_avoid_stored_and_new_names(spark):

@@ -137,8 +137,9 @@ def test_decisions(spark):
 def test_request_size_is_an_error_not_a_cut(spark):
     asked = spark.createDataFrame([(f"h{i}",) for i in range(12)], "handle string")
     with pytest.raises(ValueError):
-        reports.clean_handles(asked, limit=10)
-    assert reports.clean_handles(asked, limit=12).count() == 12
+        reports.check_request(asked, limit=10)
+    reports.check_request(asked, limit=12)
+    assert reports.clean_handles(asked).count() == 12
 
 
 def test_budget(spark):

@@ -204,7 +204,7 @@ def test_markup(spark):
     assert one(spark, '<a href="https://x.com/a">me</a> <style>p{}</style>&amp; &lt;3', H.bio_from_html(t)) == "https://x.com/a me & <3"
     og = one(spark, '<meta property="og:title" content="A"><meta content="B" property="og:image">', H.open_graph(t))
     assert (og.title, og.image, og.description) == ("A", "B", None)
-    assert one(spark, "caf&eacute;", H.unescape_all(t)) == "café"
+    assert one(spark, "caf&eacute;", H.unescape(t)) == "café"
 
 
 def test_page_state(spark):
@@ -222,3 +222,28 @@ def test_linked_data_prefers_the_profile(spark):
     )
     found = one(spark, page, jsontree.linked_data(t))
     assert found.name == "Me & you" and found.same_as == ["a", "b"]
+
+
+def test_mentions_of_any_length(spark):
+    handle = "a.b" * 110 + ".bsky.social"
+    text = f"hi @{handle} and " + "word " * 200 + "alt: @second.bsky.social"
+    found = one(spark, text, T.mentions(t, F.lit("bluesky")))
+    assert [(m.handle, m.claim) for m in found] == [(handle, "related"), ("second.bsky.social", "same_person")]
+
+
+def test_references_as_browsers_read_them(spark):
+    import html
+    import random
+
+    rng = random.Random(1)
+    bits = ["&", "amp;", "&amp;", "&#8217;", "&eacute;", "&hellip", "&notit;", "&#x80;", "&#150;", "&#0;", "&#xD800;", "&#x110000;", "&#99999999999999;", "&#x1F600;", "&#1;", "x", " ", "&zz;", "&#;", "\n"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 6))) for _ in range(200)]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", H.unescape(t).alias("u")).collect()
+    assert all(r.u == html.unescape(r.t) for r in rows)
+
+
+def test_find_key_looks_past_null_and_any_depth(spark):
+    assert one(spark, '{"a":{"k":null},"b":{"k":{"x":1}}}', jsontree.find_key("k")(t)) == '{"x": 1}'
+    deep = '{"a":' * 40 + '{"k":7}' + "}" * 40
+    assert one(spark, deep, jsontree.find_key("k")(t)) == "7"
+    assert one(spark, "[" * 5000 + "]" * 5000, jsontree.find_key("k")(t)) is None
