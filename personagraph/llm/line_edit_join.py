@@ -6,10 +6,8 @@ indexed under its own segments, and probes the indexes of its own and up to EDIT
 that can match there; equal keys give candidates. What is left of them after the common start and end is verified by
 bit-parallel edit distance over a band of 2 * EDITS + 1 diagonals (Hyyro, 2003), the state of a step being two words.
 
-Where many lines share one key, as those of near copies do, what remains of a line without the shared segment is
-segmented again within the key, so that lines meet only where most of them is equal. Pairs under a key are
-made only if a 64-bit mark of their neighbouring characters allows so few edits; what neither step tells apart is
-compared, however many lines there are.
+Under a key that many lines share, as near copies do, pairs are made only if a 64-bit mark of their neighbouring
+characters allows so few edits; the rest of them is compared there and goes no further.
 """
 
 from __future__ import annotations
@@ -24,9 +22,8 @@ from .common import cut, free_name, text_of
 EDITS = 2
 #: Lines of fewer characters are one only when equal: a few edits make another line of them.
 LEAST_CHARS = 40
-#: Rows under one key from which on the rest of the lines is segmented again, and how often at most.
-CROWD = 64
-DEPTH = 1
+#: So many ids of lines are sent to all tasks at most; beyond, texts are shuffled to them.
+SENT_IDS = 1_000_000
 
 _WHITE = " \t\r\x0b\x0c"
 
@@ -57,32 +54,27 @@ def _cuts(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _keys(frame: DataFrame, edits: int) -> DataFrame:
-    """key, id, probe, and the place of the substring, of every row of ``frame`` (block, id, rest)."""
-    n = F.length("rest")
+def _keys(lines: DataFrame, edits: int) -> DataFrame:
+    """key, id, probe of every segment and probed substring of ``lines`` (id, line)."""
+    n = F.length("line")
 
     def entry(less: int, k: int, shift: int, probe: bool) -> Column:
         size = n - less
-        start = F.expr(f"(length(rest) - {less}) * {k} div {edits + 1}").cast("int")
-        end = F.expr(f"(length(rest) - {less}) * {k + 1} div {edits + 1}").cast("int")
+        start = F.expr(f"(length(line) - {less}) * {k} div {edits + 1}").cast("int")
+        end = F.expr(f"(length(line) - {less}) * {k + 1} div {edits + 1}").cast("int")
         at = start + shift
-        key = F.xxhash64("block", size, F.lit(k), F.substring("rest", at + 1, end - start))
-        whole = F.struct(key.alias("key"), F.lit(probe).alias("probe"), at.alias("at"), (end - start).alias("size"))
-        return F.when((size >= 0) & (at >= 0) & (at + end - start <= n), whole)
+        key = F.xxhash64(size, F.lit(k), F.substring("line", at + 1, end - start))
+        return F.when((size >= 0) & (at >= 0) & (at + end - start <= n), F.struct(key.alias("key"), F.lit(probe).alias("probe")))
 
     entries = [entry(0, k, 0, False) for k in range(edits + 1)] + [entry(*c, True) for c in _cuts(edits)]
-    return frame.select("block", "id", "rest", F.explode(F.array(*entries)).alias("e")).filter("e is not null").select("block", "id", "rest", "e.*")
+    return lines.select("id", F.explode(F.array(*entries)).alias("e")).filter("e is not null").select("id", "e.key", "e.probe")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Rows (key, id, probe) whose key another line has too, with the number of rows under the key."""
+    """Rows (key, id, probe) whose key another line has too."""
     by = Window.partitionBy("key")
-    return (
-        rows.select("key", "id", "probe")
-        .withColumns({"n": F.count("*").over(by), "_low": F.min("id").over(by), "_high": F.max("id").over(by)})
-        .filter(F.col("_low") != F.col("_high"))
-        .select("key", "id", "probe", "n")
-    )
+    ends = rows.withColumns({"_low": F.min("id").over(by), "_high": F.max("id").over(by)})
+    return ends.filter(F.col("_low") != F.col("_high")).select("key", "id", "probe")
 
 
 def _marks(line: Column) -> Column:
@@ -109,32 +101,19 @@ def _pairs(shared: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     return met.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct()
 
 
-def _near(lines: DataFrame, edits: int, crowd: int, depth: int) -> tuple[DataFrame, DataFrame]:
+def _near(lines: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
     """Candidates (low, high), and (id, line, marks) of all lines that share a key with another."""
-    frame = lines.select(F.lit(0).cast("long").alias("block"), "id", F.col("line").alias("rest"))
-    found = texts = None
-    for level in range(depth + 1):
-        shared = cut(_shared(_keys(frame, edits)))
-        if texts is None:
-            texts = cut(lines.select("id", "line").join(shared.select("id").distinct(), "id", "left_semi").withColumn("marks", _marks(F.col("line"))))
-        crowded = F.col("n") > (crowd if level < depth else F.lit(1 << 62))
-        pairs = _pairs(shared.filter(~crowded), texts, edits)
-        found = pairs if found is None else found.unionByName(pairs)
-        if level == depth or shared.filter(crowded).isEmpty():
-            break
-        # Of the crowded lines, the same keys are made again, now with what remains beside the shared segment.
-        hot = shared.filter(crowded).select("key", "id").distinct()
-        base = texts.select(F.lit(0).cast("long").alias("block"), "id", F.col("line").alias("rest")) if level == 0 else frame
-        again = _keys(base.join(hot.select("id").distinct(), "id", "left_semi"), edits)
-        rest = F.concat(F.substring("rest", F.lit(1), F.col("at")), F.expr("substring(rest, at + size + 1)"))
-        # A line may be under one key by several places; each leaves another rest.
-        frame = cut(again.join(hot, ["key", "id"], "left_semi").select(F.col("key").alias("block"), "id", rest.alias("rest")).distinct())
-    return found.distinct(), texts
-
-
-def candidates(lines: DataFrame, edits: int = EDITS, crowd: int = CROWD, depth: int = DEPTH) -> DataFrame:
+    shared = cut(_shared(_keys(lines, edits)))
+    ids = cut(shared.select("id").distinct())
+    # A few ids spare the texts a shuffle.
+    known = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+    texts = cut(lines.select("id", "line").join(known, "id", "left_semi").withColumn("marks", _marks(F.col("line"))))
+    return _pairs(shared, texts, edits), texts
+
+
+def candidates(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(low, high) ids of ``lines`` (id, line) that may be within ``edits``; none that is within is missing."""
-    return _near(lines, edits, crowd, depth)[0]
+    return _near(lines, edits)[0]
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -195,9 +174,9 @@ def _distance(long: Column, short: Column, edits: int) -> Column:
     return end["low"] - sum(ups[1:], ups[0]) if ups else end["low"]
 
 
-def links(lines: DataFrame, edits: int = EDITS, crowd: int = CROWD, depth: int = DEPTH) -> DataFrame:
+def links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(low, high) ids of different ``lines`` (id, line) whose edit distance is at most ``edits``."""
-    pairs, texts = _near(lines, edits, crowd, depth)
+    pairs, texts = _near(lines, edits)
     met = pairs.join(texts.select(F.col("id").alias("low"), F.col("line").alias("a")), "low").join(
         texts.select(F.col("id").alias("high"), F.col("line").alias("b")), "high"
     )
@@ -215,10 +194,10 @@ def links(lines: DataFrame, edits: int = EDITS, crowd: int = CROWD, depth: int =
     return cut(ordered).withColumn("distance", _distance(F.col("long"), F.col("short"), edits)).filter(F.col("distance") <= edits).select("low", "high")
 
 
-def _grouped(docs: DataFrame, edits: int, least_chars: int, crowd: int, depth: int) -> DataFrame:
+def _grouped(docs: DataFrame, edits: int, least_chars: int) -> DataFrame:
     """Distinct lines with n_links, and the group's id."""
     lines = cut(distinct_lines(docs))
-    found = cut(links(lines.filter(F.length("line") >= least_chars), edits, crowd, depth))
+    found = cut(links(lines.filter(F.length("line") >= least_chars), edits))
     degree = found.select(F.explode(F.array("low", "high")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     named = components(found).withColumnRenamed("node", "id").join(degree, "id")
     return lines.join(named, "id", "left").select(
@@ -226,9 +205,7 @@ def _grouped(docs: DataFrame, edits: int, least_chars: int, crowd: int, depth: i
     )
 
 
-def repeated(
-    docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS, crowd: int = CROWD, depth: int = DEPTH
-) -> DataFrame:
+def repeated(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """One row per distinct line that has copies or near copies: doc_id, line_no, n_chars, n_copies, n_links, group_doc,
     group_line.
 
@@ -238,7 +215,7 @@ def repeated(
     texts have no lines; rows without id come after all others and tell a null doc_id; repeated rows count as copies;
     an empty table gives no rows; columns other than doc_id and text are not read.
     """
-    rows = cut(_grouped(docs, edits, least_chars, crowd, depth).filter("n_copies > 1 or n_links > 0").withColumn("n_chars", F.length("line")).drop("line"))
+    rows = cut(_grouped(docs, edits, least_chars).filter("n_copies > 1 or n_links > 0").withColumn("n_chars", F.length("line")).drop("line"))
     heads = rows.groupBy("group").agg(F.min("first").alias("head"))
     return rows.join(heads, "group").select(
         F.col("first.doc_id").alias("doc_id"),
@@ -251,13 +228,13 @@ def repeated(
     )
 
 
-def clean(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS, crowd: int = CROWD, depth: int = DEPTH) -> DataFrame:
+def clean(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """``docs`` with only the first line of every group left in the texts; blank lines and all rows stay.
 
     Rows that share a doc_id share its lines' places, so all of them keep what the first occurrence keeps. Null texts
     stay null.
     """
-    grouped = _grouped(docs, edits, least_chars, crowd, depth)
+    grouped = _grouped(docs, edits, least_chars)
     heads = cut(grouped.groupBy("group").agg(F.min("first").alias("head")).select("head.doc_id", "head.line_no"))
     line_no, raw, row = (free_name(docs, x) for x in ("line_no", "raw", "row"))
     numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
