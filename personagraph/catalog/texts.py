@@ -34,12 +34,12 @@ def language_script(spark, d):
 
 
 @query("region_score", """
-WITH s AS (SELECT doc_id, CASE lang WHEN 'de' THEN 'ja' WHEN 'fr' THEN 'zh' ELSE lang END AS language, quality, toxic FROM documents JOIN labels USING (doc_id)),
-e AS (SELECT doc_id, CASE WHEN language IN ('ja', 'ko') THEN 2.0 WHEN language = 'zh' THEN 1.5 ELSE 0 END + least(quality, 3) AS e, CASE WHEN language = 'en' THEN 1.0 ELSE 0 END + least(toxic * 4, 3) AS w FROM s)
+WITH s AS (SELECT doc_id, CASE lang WHEN 'de' THEN 'ja' WHEN 'fr' THEN 'zh' ELSE lang END AS language, quality, toxic FROM documents LEFT JOIN (SELECT * FROM labels) USING (doc_id)),
+e AS (SELECT doc_id, CASE WHEN language IN ('ja', 'ko') THEN 2.0 WHEN language = 'zh' THEN 1.5 ELSE 0 END + least(coalesce(quality, 0), 3) AS e, CASE WHEN language = 'en' THEN 1.0 ELSE 0 END + least(coalesce(toxic, 0) * 4, 3) AS w FROM s)
 SELECT doc_id, CASE WHEN abs(e - w) < 0.75 THEN 'unknown' WHEN e > w THEN 'eastern' ELSE 'western' END AS region, CAST(CASE WHEN abs(e - w) < 0.75 THEN 0 ELSE round(least(abs(e - w) / 4, 1.0), 2) END AS DOUBLE) AS confidence FROM e""")
 def region_score(spark, d):
     language = F.when(F.col("lang") == "de", "ja").when(F.col("lang") == "fr", "zh").otherwise(F.col("lang"))
-    rows = documents(spark, d).select("doc_id", language.alias("language")).join(w.table(spark, d, "labels"), "doc_id")
+    rows = documents(spark, d).select("doc_id", language.alias("language")).join(w.table(spark, d, "labels"), "doc_id", "left").fillna(0, ["quality", "toxic"])
     scored = rows.select("doc_id", classify.region_score(F.col("language"), F.col("quality"), F.col("toxic") * 4).alias("s"))
     return scored.select("doc_id", "s.region", "s.confidence")
 

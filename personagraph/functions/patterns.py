@@ -50,6 +50,8 @@ COMMISSIONS = [
     (IC + r"skeb\s*(?:募集中|受付中)", "open", 0.7),
 ]
 
+COMMISSION_SIGNS = IC + "com|skeb|依頼|コミッション|仕事"
+
 # --- person and project evidence ---
 ARTIST_HINTS = (
     IC + r"illustrat|artist|art\b|draw|paint|sketch|doodle|fanart|commission|comm\b|comms\b"

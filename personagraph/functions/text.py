@@ -128,7 +128,8 @@ def commission_status(text: Column, multiplier: float = 1.0) -> Column:
             strip_space(r["matched"]).alias("detail"),
         ),
     )
-    return F.get(best, F.lit(0))
+    # Every pattern needs one of these, so prose is read once.
+    return F.when(text.rlike(P.COMMISSION_SIGNS), F.get(best, F.lit(0)))
 
 
 def _best_first(a: Column, b: Column) -> Column:

@@ -105,6 +105,7 @@ def cull_low_followers(accounts: DataFrame) -> DataFrame:
 
 
 # Misfiled forms: platform, pattern, address prefix, key is a native id.
+#: Platform, address form, address to store, whether the key is a native id. Earlier forms win.
 MISFILED = [
     ("misskey", r"(?i)misskey\.(?:io|design|art)/@([A-Za-z0-9_]+)", "https://misskey.io/@", False),
     ("weibo", r"(?i)weibo\.(?:com|cn)/(?:u/)?(\d{6,})", "https://weibo.com/u/", True),
@@ -114,6 +115,14 @@ MISFILED = [
     ("tiktok", r"(?i)tiktok\.com/@([A-Za-z0-9_.]{2,24})", "https://www.tiktok.com/@", False),
     ("threads", r"(?i)threads\.(?:net|com)/@([a-z0-9._]{1,30})", "https://www.threads.net/@", False),
     ("bilibili", r"(?i)space\.bilibili\.com/(\d+)", "https://space.bilibili.com/", True),
+    ("weibo", r"(?i)weibo\.(?:com|cn)/(?!(?:u|n|p|tv|hot)/|search|login|signup)([a-z][a-z0-9_-]{2,29})", "https://weibo.com/", False),
+    (
+        "facebook",
+        r"(?i)facebook\.com/(?!profile\.php|sharer?|groups|pages|events|watch|marketplace|photos?|permalink|story|hashtag|login"
+        r"|people|reel|gaming|help|policies)([a-z0-9.]{5,50})",
+        "https://www.facebook.com/",
+        False,
+    ),
 ]
 
 
@@ -122,7 +131,8 @@ def reclassify_websites(accounts: DataFrame, forms: list[tuple] | None = None) -
     none = F.lit(None).cast("struct<platform:string,key:string,url:string,native:boolean>")
     target = none
     for platform, pattern, url, native in reversed(MISFILED if forms is None else forms):
-        key = F.regexp_extract("handle", pattern, 1)
+        # The stored address tells the account before its handle does.
+        key = F.coalesce(F.nullif(F.regexp_extract("profile_url", pattern, 1), F.lit("")), F.regexp_extract("handle", pattern, 1))
         made = F.struct(
             F.lit(platform).alias("platform"), key.alias("key"), F.concat(F.lit(url), key).alias("url"),
             F.lit(native).alias("native"),

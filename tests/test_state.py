@@ -208,3 +208,41 @@ def test_spend_stream(spark, tmp_path):
     query.awaitTermination()
     assert sorted(r.cents for r in spark.table("spend").collect()) == [7, 150]
     assert [r.cents for r in spend.over_cap(spark.table("spend"), 100).collect()] == [150]
+
+
+@pytest.mark.parametrize(
+    "said", [[(1, 2), (2, 3), (3, 1)], [(1, 3), (2, 3)], [(2, 1), (3, 2)], [(1, 2), (2, 1)]], ids=["ring", "competing", "chain", "crossed"]
+)
+def test_confirmations_of_one_batch_all_count(spark, said):
+    state = build(
+        spark,
+        accounts=[account(k, p) for k, p in [(1, "twitter"), (2, "pixiv"), (3, "kofi")]],
+        edges=[edge(k, k, k % 3 + 1, claim="related") for k in (1, 2, 3)],
+        artists=[artist(1), artist(2), artist(3)],
+        memberships=[member(k, k) for k in (1, 2, 3)],
+    )
+    done = decisions.confirm(state, made(spark, *[dict(kind="confirm", artist_id=a, account_id=b) for a, b in said]), as_of)
+    at = homes(done)
+    linked = {k for pair in said for k in pair}
+    keeper = 3 if said == [(2, 1), (3, 2)] else 1
+    assert {at[k] for k in linked} == {keeper}
+    merged = {r.artist_id: r.merged_into for r in done.artists.collect()}
+    assert all(merged[k] == (None if k == keeper else keeper) for k in linked)
+
+
+def test_misfiled_websites_move(spark):
+    from personagraph.operators import hygiene
+
+    sites = rows(
+        spark, "accounts",
+        account(1, "website", native_id=None, handle="weibo.com/SomeName"),
+        account(2, "website", native_id=None, handle="weibo.com/u/1234567"),
+        account(3, "website", native_id=None, handle="facebook.com/some.one"),
+        account(4, "website", native_id=None, handle="facebook.com/groups/x12345"),
+        account(5, "website", native_id=None, handle="old", profile_url="https://twpf.jp/newer"),
+    )
+    got = {r.account_id: (r.platform, r.handle, r.native_id) for r in hygiene.reclassify_websites(sites).collect()}
+    assert got == {
+        1: ("weibo", "SomeName", None), 2: ("weibo", "1234567", "1234567"), 3: ("facebook", "some.one", None),
+        4: ("website", "facebook.com/groups/x12345", None), 5: ("twpf", "newer", None),
+    }
