@@ -44,6 +44,46 @@ def op3_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_diagonals.scan(table(spark, sf_dir, "documents"))
 
 
+def _license_sql() -> str:
+    templates = [*license_diagonals.PHRASES, *license_diagonals.PASSAGES]
+    rows = ", ".join(f"({k}, '{t.label}', {t.phrase}, '{t.text}')" for k, t in enumerate(templates))
+    gap, short, long = license_diagonals.GAP, license_diagonals.PHRASE_GRAM, license_diagonals.PASSAGE_GRAM
+    return rf"""
+WITH templates(template, label, phrase, txt) AS (VALUES {rows}),
+places AS (
+  SELECT template, label, phrase, len(w) AS size, k AS spot, list_slice(w, k + 1, k + CASE WHEN phrase THEN {short} ELSE {long} END) AS gram
+  FROM (SELECT *, string_split(txt, ' ') AS w FROM templates), unnest(range(len(w) - CASE WHEN phrase THEN {short - 1} ELSE {long - 1} END)) AS u(k)),
+texts AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+grams AS (SELECT row, k AS word, list_slice(w, k + 1, k + {short}) AS short, list_slice(w, k + 1, k + {long}) AS long FROM texts, unnest(range(len(w))) AS u(k)),
+hits AS (
+  SELECT row, word, p.* FROM grams JOIN places p ON short = gram AND phrase
+  UNION ALL SELECT row, word, p.* FROM grams JOIN places p ON long = gram AND NOT phrase),
+diagonals AS (
+  SELECT row, template, label, phrase, size, word - spot AS diagonal, count(*) AS votes, min(word) AS first, max(word) AS last, list(spot) AS spots
+  FROM hits GROUP BY ALL),
+base AS (SELECT row, label, diagonal AS first, 1.0::DOUBLE AS score FROM diagonals WHERE phrase AND votes = size - {short - 1}),
+marked AS (
+  SELECT *, lag(diagonal) OVER lined IS NULL OR abs(diagonal - lag(diagonal) OVER lined) > {license_diagonals.SHIFT} OR first > lag(last) OVER lined + {gap} AS fresh
+  FROM diagonals WHERE NOT phrase WINDOW lined AS (PARTITION BY row, template ORDER BY first, diagonal)),
+numbered AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY row, template ORDER BY first, diagonal) AS span FROM marked),
+spans AS (
+  SELECT row, label, len(list_distinct(flatten(list_transform(flatten(list(spots)), lambda a: range(a, a + {long}))))) / size::DOUBLE AS score
+  FROM numbered GROUP BY row, template, label, size, span),
+found AS (SELECT row, label, first, score, TRUE AS phrase FROM base UNION ALL SELECT row, label, NULL, score, FALSE FROM spans),
+told AS (
+  SELECT row, count(*) FILTER (phrase) AS n_base, min(first) AS first_word, max(first) AS last_word,
+    array_to_string(list_sort(list(DISTINCT label) FILTER (phrase)), ',') AS base_labels,
+    array_to_string(list_sort(list(DISTINCT label) FILTER (score >= {license_diagonals.COVERED})), ',') AS labels, max(score) AS score
+  FROM found GROUP BY row)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM texts LEFT JOIN told USING (row)"""
+
+
+ORACLES["op3_license_diagonals"] = _license_sql()
+
+
 @_query
 def op4_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_votes.judge(table(spark, sf_dir, "documents")).select(
@@ -69,6 +109,41 @@ def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "items", "n_items", "first_word", "last_word", "similarity")
 
 
+def _leak_sql() -> str:
+    size, flank = spaced_seeds.WINDOW, spaced_seeds.WINDOW - 1 - min(m[-1] for m in spaced_seeds.MASKS)
+    mask = lambda w, at, m: "[" + ", ".join(f"{w}[{at} + {k + 1}]" for k in m) + "]"
+    seeds = " UNION ALL ".join(
+        f"SELECT d.row, i.item, d.k AS word, i.k AS item_word FROM (SELECT row, k, {mask('w', 'k', m)} AS seen FROM dp WHERE k + {m[-1]} < len(w)) d "
+        f"JOIN (SELECT item, k, {mask('w', 'k', m)} AS seen FROM ip WHERE k + {m[-1]} < len(w)) i USING (seen)"
+        for m in spaced_seeds.MASKS
+    )
+    split = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+    return f"""
+WITH items AS (SELECT * FROM (SELECT item_id AS item, {split} AS w FROM benchmark) WHERE len(w) > 0),
+ip AS (SELECT item, w, k FROM items, unnest(range(len(w))) AS u(k) WHERE len(w) >= {size}),
+docs AS (SELECT doc_id, text, row_number() OVER () AS row, {split} AS w FROM documents),
+dp AS (SELECT row, w, k FROM docs, unnest(range(len(w))) AS u(k)),
+hits AS (
+  SELECT doc_id, text, item, word, item_word, d.w AS dw, i.w AS iw
+  FROM (SELECT DISTINCT * FROM ({seeds})) JOIN docs d USING (row) JOIN items i USING (item)),
+windows AS (
+  SELECT doc_id, text, item, word, item_word, s, len(list_filter(range({size}), lambda j: word + s + j >= 0
+    AND coalesce(dw[word + s + j + 1] = iw[item_word + s + j + 1], FALSE))) AS equal
+  FROM hits, unnest(range(-{flank}, 1)) AS u(s) WHERE item_word + s >= 0 AND item_word + s + {size} <= len(iw)),
+best AS (
+  SELECT doc_id, text, item, word, item_word, max(struct_pack(equal := equal, s := s)) AS b FROM windows GROUP BY ALL),
+found AS (
+  SELECT doc_id, text, item, word + b.s AS first, word + b.s + {size - 1} AS last, b.equal / {size}::DOUBLE AS similarity FROM best WHERE b.equal >= {size - spaced_seeds.CHANGED}
+  UNION ALL
+  SELECT doc_id, text, item, k, k + len(i.w) - 1, 1.0 FROM (SELECT * FROM items WHERE len(w) < {size}) i, docs d, unnest(range(len(d.w))) AS u(k)
+  WHERE list_slice(d.w, k + 1, k + len(i.w)) = i.w)
+SELECT doc_id, array_to_string(list_sort(list(DISTINCT item)), ',') AS items, count(DISTINCT item) AS n_items, min(first)::BIGINT AS first_word,
+  max(last)::BIGINT AS last_word, max(similarity) AS similarity FROM found GROUP BY doc_id, text"""
+
+
+ORACLES["op7_spaced_seeds"] = _leak_sql()
+
+
 @_query
 def op8_gzip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
