@@ -28,9 +28,9 @@ from .common import bounded_batches
 #: Bounds of the training sample.
 TRAIN_PAGES = 240
 TRAIN_HTML_CHARS = 40_000
-EPOCHS = 6
+EPOCHS = 8
 HIDDEN = 16
-PATH_DIMS = 32
+PATH_DIMS = 96
 WORD_DIMS = 32
 RATIOS = 8
 DIMS = PATH_DIMS + WORD_DIMS + RATIOS
@@ -309,6 +309,8 @@ EXTRA_ALIASES = {
     "form": ("after", ["newsletter", "signup form", "subscribe", "search form"]),
     "comments": ("after", ["comments", "comment list", "replies", "discussion"]),
 }
+#: What stands within an article but is none of it.
+INSIDE_ALIASES = ["advert", "banner", "sponsored", "promo", "ad", "related", "recommended", "share social", "newsletter", "comments", "aside"]
 
 
 def own_labels(found: list[Block]) -> list[int] | None:
@@ -353,7 +355,16 @@ def rewritten(found: list[Block], labels: list[int], others: list[Block], rng: R
                 leaf = rng.choice([("p",), ("div",), ("li",), ()])
                 extra.append((Block((*base, *leaf), text, float(rng.random() < 0.4 and kind != "comments")), 0))
             (before if side == "before" or side == "either" and rng.random() < 0.5 else after).extend(extra)
-    page = page[:first] + before + page[first:last] + after + page[last:]
+    middle = page[first:last]
+    if middle and rng.random() < 0.4:
+        holder = middle[0][0].path
+        for _ in range(rng.randint(1, 2)):
+            tokens = rng.choice(others).text.split()
+            start = rng.randrange(len(tokens))
+            base = (*holder[: max(1, len(holder) - 1)], rng.choice(["div", "aside", "section"]), *rng.choice(INSIDE_ALIASES).split())
+            extra = Block((*base, *rng.choice([("p",), ()])), " ".join(tokens[start : start + rng.randint(2, 20)]), float(rng.random() < 0.3))
+            middle.insert(rng.randint(1, len(middle)), (extra, 0))
+    page = page[:first] + before + middle + after + page[last:]
     return [b for b, _ in page], [y for _, y in page]
 
 
