@@ -675,9 +675,21 @@ def decision_unhide(spark, d):
     return dec.unhide(w.state(spark, d), _decisions(spark, d, "unhide")).accounts.select("account_id", "status")
 
 
-@query("decision_confirm")
+@query("decision_confirm", oracle("""
+, decided AS (SELECT DISTINCT artist_id, account_id FROM history WHERE l_returnflag = 'R' AND l_quantity = 50),
+linked AS (SELECT DISTINCT d.artist_id AS a, m.artist_id AS b FROM decided d JOIN memberships m USING (account_id) WHERE d.artist_id <> m.artist_id),
+both_ways AS (SELECT a, b FROM linked UNION SELECT b, a FROM linked),
+joined(node, seen) AS (SELECT a, a FROM both_ways UNION SELECT j.node, l.b FROM joined j JOIN both_ways l ON l.a = j.seen),
+part_of AS (SELECT node, min(seen) AS part FROM joined GROUP BY node),
+keeper AS (
+  SELECT part, coalesce(min(node) FILTER (node NOT IN (SELECT b FROM linked)), min(node)) AS artist_id FROM part_of GROUP BY part),
+mapped AS (SELECT node, artist_id AS into_id FROM part_of JOIN keeper USING (part) WHERE node <> artist_id),
+free AS (SELECT min(artist_id) AS artist_id, account_id FROM decided WHERE account_id NOT IN (SELECT account_id FROM memberships) GROUP BY account_id)
+SELECT coalesce(into_id, m.artist_id) AS artist_id, account_id, CASE WHEN into_id IS NULL THEN added_by ELSE 'human' END AS added_by
+FROM memberships m LEFT JOIN mapped ON node = m.artist_id
+UNION ALL SELECT coalesce(into_id, f.artist_id), account_id, 'human' FROM free f LEFT JOIN mapped ON node = f.artist_id"""))
 def decision_confirm(spark, d):
-    """Confirmed contacts: merges and attachments; its rules are tested on small cases."""
+    """Confirmed contacts: merges, also of several artists at once, and attachments."""
     done = dec.confirm(w.state(spark, d), _decisions(spark, d, "confirm"), w.as_of())
     return done.memberships.filter("removed_at is null").select("artist_id", "account_id", "added_by")
 

@@ -66,6 +66,9 @@ def confirm(state: State, decisions: DataFrame, as_of: Column) -> State:
     pair = [F.least("artist_id", "other_artist").alias("low"), F.greatest("artist_id", "other_artist").alias("high")]
     state = state.with_(reviews=answer_merges(state.reviews, merging.select(*pair), ACTOR, as_of))
     free = first_per_key(pairs.filter("other_artist is null"), ["account_id"], [F.col("artist_id")])
+    # An artist that has just been merged hands its new account on.
+    into = mapping.select(F.col("loser").alias("artist_id"), "keeper")
+    free = free.join(into, "artist_id", "left").withColumn("artist_id", F.coalesce("keeper", "artist_id"))
     state = _attach(state, free, "manual_confirm_connection", as_of)
     wires = _with_claim(state, connecting_edges(state, pairs), "related").withColumns(
         {"claim": F.lit("same_person"), "relation_hint": F.lit("manual_confirm")}
