@@ -87,10 +87,63 @@ ORACLES["op3_license_diagonals"] = _license_sql()
 @_query
 def op4_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_votes.judge(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality")
     )
 
 
+def _quality_sql() -> str:
+    """Counts, votes and the estimate; the estimate runs all its rounds, of which the last change no sixth decimal."""
+    stop = ", ".join(f"'{w.decode()}'" for w in sorted(quality_votes.STOP_WORDS))
+    shares = {
+        "chars": "word_chars / n", "signs": "n_symbols / n", "dups": "n_dup_lines / l", "reps": "n_repeat_words / n", "stops": "n_stop / n",
+        "letters": "n_letters / n", "upper": "n_upper / nullif(word_chars, 0)", "loud": "n_loud / n", "ended": "n_ended / l",
+    }
+    rules = [
+        ("chars BETWEEN 2.5 AND 12", "chars < 1.5 OR chars > 25"), ("signs < 0.05", "signs > 0.4"), ("dups < 0.1", "dups > 0.5"),
+        ("reps < 0.1", "reps > 0.4"), ("stops > 0.04", "stops < 0.005 AND n_words >= 30"), ("letters > 0.9", "letters < 0.6"),
+        ("upper < 0.15", "upper > 0.5"), ("loud < 0.02", "loud > 0.2"), ("ended > 0.6", "ended < 0.1 AND n_lines >= 3"),
+        ("n_words >= 100", "n_words < 20"),
+    ]
+    votes = ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END" for good, bad in rules)
+    return rf"""
+WITH RECURSIVE texts AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS text,
+  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+words AS (SELECT row, unnest(w) AS x, unnest(range(len(w))) AS k FROM texts),
+grams AS (SELECT row, k, x || ' ' || lead(x) OVER lined || ' ' || lead(x, 2) OVER lined AS g FROM words WINDOW lined AS (PARTITION BY row ORDER BY k)),
+windows AS (SELECT row, k, count(*) OVER (PARTITION BY row, g) AS times FROM grams WHERE g IS NOT NULL),
+covered AS (SELECT row, count(DISTINCT k + j) AS n_repeat_words FROM windows, unnest(range(3)) AS v(j) WHERE times > 1 GROUP BY row),
+counted AS (
+  SELECT doc_id, row, len(w) AS n_words, len(lines) AS n_lines, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words,
+    len(list_filter(w, lambda x: list_contains([{stop}], translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')))) AS n_stop,
+    len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_letters, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper,
+    (length(text) - length(replace(text, '!!', ''))) / 2 AS n_loud, len(list_filter(lines, lambda x: regexp_matches(x, '[.!?:"''][\x20\x09-\x0D]*$'))) AS n_ended
+  FROM texts LEFT JOIN covered USING (row)),
+shared AS (
+  SELECT *, n_words < {quality_votes.LEAST_WORDS} OR n_repeat_words > {quality_votes.MOST_REPEATED} * n_words AS base_failed, {", ".join(f"{v} AS {k}" for k, v in shares.items())}
+  FROM (SELECT *, nullif(n_words, 0) AS n, nullif(n_lines, 0) AS l FROM counted)),
+voted AS (SELECT *, [{votes}] AS votes FROM shared),
+patterns AS (SELECT votes, count(*) AS times, row_number() OVER (ORDER BY votes) AS p FROM voted WHERE NOT base_failed GROUP BY votes),
+cells AS (SELECT p, times, r, votes[r] AS v FROM patterns, unnest(range(1, {len(rules) + 1})) AS u(r)),
+em(it, p, good) AS (
+  SELECT 0, p, greatest(0.05, least(0.95, 0.5 + 0.45 * list_sum(votes) / greatest(1, len(list_filter(votes, lambda x: x <> 0))))) FROM patterns
+  UNION ALL
+  SELECT it + 1, p, 1 / (1 + exp(-greatest(-500, least(500, any_value(prior) + sum(odds))))) FROM (
+    SELECT it, p, ln((yes + 1) / (no + 1)) AS prior, CASE v WHEN 0 THEN 0 WHEN 1 THEN greatest(0, o) ELSE least(0, o) END AS odds FROM (
+      SELECT *, ln((yes_v + 1) / (yes + 3)) - ln((no_v + 1) / (no + 3)) AS o FROM (
+        SELECT it, p, v, sum(times * good) OVER (PARTITION BY r, v) AS yes_v, sum(times * (1 - good)) OVER (PARTITION BY r, v) AS no_v,
+          sum(times * good) OVER (PARTITION BY r) AS yes, sum(times * (1 - good)) OVER (PARTITION BY r) AS no FROM em JOIN cells USING (p))))
+  WHERE it < {quality_votes.ROUNDS} GROUP BY it, p),
+judged AS (SELECT votes, good FROM em JOIN patterns USING (p) WHERE it = {quality_votes.ROUNDS})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(good, 0) >= {quality_votes.THRESHOLD} AS kept,
+  round(good, 6) AS quality FROM voted LEFT JOIN judged USING (votes)"""
+
+
+ORACLES["op4_quality_votes"] = _quality_sql()
+
+
 @_query
 def op5_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.groups(table(spark, sf_dir, "documents")).select(
@@ -176,6 +229,34 @@ def op9_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum.in_order(curriculum.plan(table(spark, sf_dir, "documents"))).select(
-        "doc_id", "size", "source_size", "target", "taken", "source", "positions"
-    )
+    planned = curriculum.in_order(curriculum.plan(table(spark, sf_dir, "documents")))
+    first = F.round(F.get("positions", F.lit(0)), 9)
+    return planned.select("doc_id", "size", "source_size", "target", "taken", "source", first.alias("first_position"))
+
+
+def _mix_sql() -> str:
+    weights, epochs = list(curriculum.WEIGHTS), curriculum.EPOCHS
+    return rf"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    md5('{curriculum.KEY}/' || coalesce(doc_id::VARCHAR, '') || '/' || md5(coalesce(text, ''))) AS turn FROM documents),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sized GROUP BY source),
+weighted AS (
+  SELECT *, {weights}[place % {len(weights)} + 1] AS weight, source_size * {epochs} AS most,
+    CASE WHEN place % 2 = 0 THEN {curriculum.TILT} ELSE {-curriculum.TILT} END::DOUBLE AS tilt FROM sources),
+leveled AS (
+  SELECT *, row_number() OVER lined AS n, (sum(source_size) OVER () - coalesce(sum(most) OVER (lined ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (lined ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighted WINDOW lined AS (ORDER BY most / weight, source NULLS LAST)),
+targets AS (
+  SELECT source, source_size, tilt, least(coalesce((SELECT level FROM leveled WHERE level * weight <= most ORDER BY n LIMIT 1), 0) * weight, most)::DOUBLE AS target
+  FROM leveled),
+placed AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY turn, doc_id ROWS UNBOUNDED PRECEDING) - size AS start
+  FROM sized JOIN targets USING (source)),
+passes AS (SELECT *, len(list_filter(range({epochs}), lambda e: 2 * (start + e * source_size) + size <= 2 * target AND target > 0)) AS times, (2 * start + size) / (2 * target) AS share FROM placed)
+SELECT doc_id, size, source_size, target, times * size AS taken, source,
+  CASE WHEN times > 0 THEN round(2 * share / (1 - tilt + sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * share)), 9) END AS first_position FROM passes"""
+
+
+ORACLES["op10_curriculum"] = _mix_sql()

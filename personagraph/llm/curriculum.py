@@ -27,7 +27,8 @@ KEY = 20_240
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, twin (a second hash), source, size: words between ASCII white space; 0 for a null text."""
+    """doc_id, text_hash, twin (a second hash), source, size (words between ASCII white space; 0 for a null text), and the
+    digests that the order within a source is made of."""
     id_, text = F.col("doc_id").cast("long"), F.col("text")
     return docs.select(
         id_.alias("doc_id"),
@@ -35,6 +36,7 @@ def sized(docs: DataFrame) -> DataFrame:
         F.hash(id_, text).alias("twin"),
         F.col("source").cast("string").alias("source"),
         F.size(F.array_remove(F.split(text_of("text"), SPACE), "")).cast("long").alias("size"),
+        F.md5(text_of("text")).alias("digest"),
     )
 
 
@@ -94,8 +96,10 @@ def plan(
     """
     rows = cut(sized(docs))
     known = targets(rows, weights, epochs, tilt)
-    order = [F.xxhash64(F.lit(key), "doc_id", "text_hash"), F.col("doc_id"), F.col("text_hash"), F.col("twin")]
-    placed = running(rows, ["source"], order, {"reached": F.col("size")})
+    # Rows that tie here are equal.
+    turn = F.md5(F.concat_ws("/", F.lit(key), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("digest")))
+    rows = rows.withColumn("turn", turn)
+    placed = running(rows, ["source"], [F.col("turn"), F.col("doc_id"), F.col("text_hash")], {"reached": F.col("size")})
     # One row per source, so this side is small or Spark joins by sorting; hot sources are then split at run time.
     joined = placed.join(known.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     start = F.col("reached") - F.col("size")
