@@ -123,24 +123,13 @@ def votes(docs: DataFrame, phrases: list[Template], passages: list[Template]) ->
     )
 
 
-def scan(
-    docs: DataFrame, phrases: list[Template] = PHRASES, passages: list[Template] = PASSAGES, covered: float = COVERED
-) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans for every row of ``docs``.
-
-    n_base, first_word, last_word and base_labels tell of the phrases; labels adds those of the passages; score is the
-    largest part of a template that one span covers; spans lists (label, first, last, score). Null and empty texts have
-    no words, no labels and score 0; each of several rows with one doc_id gets its own row; null ids stay null; an empty
-    table gives no rows; other columns are not read.
-    """
+def _found(hits: DataFrame, phrases: list[Template], passages: list[Template]) -> DataFrame:
+    """row, label, first, last, phrase, score of all spans of ``votes`` rows; a phrase's score is 1."""
     templates = [*phrases, *passages]
-    spark = docs.sparkSession
-    known = spark.createDataFrame(
+    known = hits.sparkSession.createDataFrame(
         [(t, x.label, x.phrase, len(x.text.split())) for t, x in enumerate(templates)],
         "template int, label string, phrase boolean, size int",
     )
-    hits = cut(votes(docs, phrases, passages))
-    own = hits.filter(F.col("template").isNull()).select("doc_id", "row", F.col("word").cast("long").alias("n_words"))
     diagonals = (
         hits.filter(F.col("template").isNotNull())
         .groupBy("row", "template", (F.col("word") - F.col("at")).alias("diagonal"))
@@ -157,7 +146,7 @@ def scan(
         | (F.abs(F.col("diagonal") - F.lag("diagonal").over(by)) > SHIFT)
         | (F.col("first") > F.lag("last").over(by) + GAP)
     )
-    spans = (
+    merged = (
         diagonals.filter(~F.col("phrase"))
         .withColumn("_new", breaks.cast("int"))
         .withColumn("span", F.sum("_new").over(by))
@@ -166,11 +155,38 @@ def scan(
     )
     # Both lists are as long as a template at most.
     under = F.size(F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.lit(PASSAGE_GRAM - 1))))))
-    passage = spans.select(
+    passage = merged.select(
         "row", "label", "first", (F.col("last") + PASSAGE_GRAM - 1).alias("last"), F.lit(False).alias("phrase"), (under / F.col("size")).alias("score")
     )
+    return base.unionByName(passage)
+
+
+def _texts(hits: DataFrame) -> DataFrame:
+    return hits.filter(F.col("template").isNull()).select("doc_id", "row", F.col("word").cast("long").alias("n_words"))
+
+
+def spans(
+    docs: DataFrame, phrases: list[Template] = PHRASES, passages: list[Template] = PASSAGES, covered: float = COVERED
+) -> DataFrame:
+    """doc_id, label, first, last (words, from 0), score: every verified span; special cases as in ``scan``."""
+    hits = cut(votes(docs, phrases, passages))
+    found = _found(hits, phrases, passages).filter(F.col("score") >= covered)
+    return _texts(hits).join(found, "row").select("doc_id", "label", "first", "last", "score")
+
+
+def scan(
+    docs: DataFrame, phrases: list[Template] = PHRASES, passages: list[Template] = PASSAGES, covered: float = COVERED
+) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of ``docs``.
+
+    n_base, first_word, last_word and base_labels tell of the phrases; labels adds those of the passages; score is the
+    largest part of a template that one span covers. Null and empty texts have no words, no labels and score 0; each of
+    several rows with one doc_id gets its own row; null ids stay null; an empty table gives no rows; other columns are
+    not read.
+    """
+    hits = cut(votes(docs, phrases, passages))
     # A span that covers too little still counts for the score.
-    found = base.unionByName(passage).withColumn("sure", F.col("score") >= covered)
+    found = _found(hits, phrases, passages).withColumn("sure", F.col("score") >= covered)
     told = found.groupBy("row").agg(
         F.count_if("phrase").alias("n_base"),
         F.min(F.when(F.col("phrase"), F.col("first"))).cast("long").alias("first_word"),
@@ -179,8 +195,7 @@ def scan(
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("sure"), F.col("label")))), ",").alias("labels"),
         F.max("score").alias("score"),
     )
-    spread = own.join(told, "row", "left")
-    return spread.select(
+    return _texts(hits).join(told, "row", "left").select(
         "doc_id",
         "n_words",
         F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),

@@ -45,5 +45,11 @@ def test_labels_add_to_base(spark):
     assert (got["base_labels"], got["labels"], got["n_base"], got["first_word"]) == ("apache", "apache,apache-2", 1, 3)
 
 
+def test_spans(spark):
+    text = "some words, Licensed under the Apache License, Version 2.0. The CC BY and MIT license"
+    got = sorted(tuple(r) for r in L.spans(fixtures.docs(spark, [(1, text, "", "", 0)])).collect())
+    assert got == [(1, "apache", 5, 6, 1.0), (1, "apache-2", 2, 9, 1.0), (1, "cc-by", 11, 12, 1.0), (1, "mit", 14, 15, 1.0)]
+
+
 def test_empty_table(spark):
     assert L.scan(fixtures.docs(spark, [])).collect() == []
