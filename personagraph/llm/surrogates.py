@@ -262,7 +262,8 @@ def replace(docs: DataFrame, key: str = KEY, draws: int = DRAWS) -> DataFrame:
     news, count = free_name(docs, "news"), free_name(docs, "n_replaced")
     per_text = cut(per_text.withColumnRenamed("news", news))
     same = docs["doc_id"].cast("long").eqNullSafe(per_text["doc_id"]) & F.xxhash64(docs["text"]).eqNullSafe(per_text["text_hash"])
-    joined = docs.join(per_text, same, "left").select(*[docs[c] for c in docs.columns], per_text[news])
+    # One plan at every size: texts are dealt by their keys, as they must be where entities are many.
+    joined = docs.join(per_text.hint("merge"), same, "left").select(*[docs[c] for c in docs.columns], per_text[news])
     gaps = F.split(F.col("text"), ANY, -1)
     whole = F.array_join(F.zip_with(gaps, F.col(news), lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
     return joined.select(
