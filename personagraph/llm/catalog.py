@@ -128,7 +128,7 @@ voted AS (SELECT *, [{votes}] AS votes FROM shared),
 patterns AS (SELECT votes, count(*) AS times, row_number() OVER (ORDER BY votes) AS p FROM voted WHERE NOT base_failed GROUP BY votes),
 cells AS (SELECT p, times, r, votes[r] AS v FROM patterns, unnest(range(1, {len(rules) + 1})) AS u(r)),
 em(it, p, good) AS (
-  SELECT 0, p, greatest(0.05, least(0.95, 0.5 + 0.45 * list_sum(votes) / greatest(1, len(list_filter(votes, lambda x: x <> 0))))) FROM patterns
+  SELECT 0, p, greatest(0.05, least(0.95, 0.5 + 0.45 * list_sum(list_transform(votes, lambda x: CASE WHEN x < 0 THEN {quality_votes.OBJECTION} * x ELSE x END)) / greatest(1, len(list_filter(votes, lambda x: x <> 0))))) FROM patterns
   UNION ALL
   SELECT it + 1, p, 1 / (1 + exp(-greatest(-500, least(500, any_value(prior) + sum(odds))))) FROM (
     SELECT it, p, ln((yes + 1) / (no + 1)) AS prior, CASE v WHEN 0 THEN 0 WHEN 1 THEN greatest(0, o) ELSE least(0, o) END AS odds FROM (

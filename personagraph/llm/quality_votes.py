@@ -23,6 +23,7 @@ LEAST_WORDS = 50
 MOST_REPEATED = 0.5
 THRESHOLD = 0.5
 ROUNDS = 100
+OBJECTION = 3
 
 WHITE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -116,7 +117,7 @@ def estimate(patterns: np.ndarray, weights: np.ndarray, rounds: int = ROUNDS) ->
     """Posterior of good for each row of ``patterns`` (votes), and what was estimated.
 
     Each rule has, for good and for bad documents, its own chances of voting good, bad and abstaining. The start is the
-    mean vote; chances are smoothed as if one document of each kind had been seen, and a rule is never believed to vote
+    mean vote, in which a bad vote weighs OBJECTION good ones, as rules abstain where they doubt; chances are smoothed as if one document of each kind had been seen, and a rule is never believed to vote
     against its meaning: its good votes speak for good, its bad votes for bad, or not at all.
     """
     if not len(patterns):
@@ -124,7 +125,7 @@ def estimate(patterns: np.ndarray, weights: np.ndarray, rounds: int = ROUNDS) ->
     n_rules = patterns.shape[1]
     shown = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)  # pattern, rule, vote
     voted = np.maximum(1, (patterns != 0).sum(1))
-    good = np.clip(0.5 + 0.45 * patterns.sum(1) / voted, 0.05, 0.95)
+    good = np.clip(0.5 + 0.45 * np.where(patterns < 0, OBJECTION * patterns, patterns).sum(1) / voted, 0.05, 0.95)
     prior, log_odds = 0.5, np.zeros((n_rules, 3))
     chances = np.zeros((n_rules, 2, 3))
     for _ in range(rounds):

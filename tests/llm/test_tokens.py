@@ -63,7 +63,7 @@ def test_layout(spark):
     some = T.read(spark, path).filter("doc_id between 5 and 7")
     assert sorted(r["doc_id"] for r in some.collect()) == [5, 6, 7]
     assert "GreaterThanOrEqual(doc_id,5)" in some._jdf.queryExecution().toString()
-    assert "tokens" not in T.read(spark, path, ())._jdf.queryExecution().executedPlan().toString()
+    assert "tokens:array" not in T.read(spark, path, ())._jdf.queryExecution().executedPlan().toString()
 
 
 def test_empty_table(spark):
