@@ -50,7 +50,8 @@ COMMISSIONS = [
     (IC + r"skeb\s*(?:募集中|受付中)", "open", 0.7),
 ]
 
-COMMISSION_SIGNS = IC + "com|skeb|依頼|コミッション|仕事"
+#: Every commission pattern needs one of these, in lower case.
+COMMISSION_SIGNS = ["com", "keb", "依頼", "コミッション", "仕事"]
 
 # --- person and project evidence ---
 ARTIST_HINTS = (

@@ -128,8 +128,11 @@ def commission_status(text: Column, multiplier: float = 1.0) -> Column:
             strip_space(r["matched"]).alias("detail"),
         ),
     )
-    # Every pattern needs one of these, so prose is read once.
-    return F.when(text.rlike(P.COMMISSION_SIGNS), F.get(best, F.lit(0)))
+    low = F.lower(text)
+    maybe = F.contains(low, F.lit(P.COMMISSION_SIGNS[0]))
+    for sign in P.COMMISSION_SIGNS[1:]:
+        maybe = maybe | F.contains(low, F.lit(sign))
+    return F.when(maybe, F.get(best, F.lit(0)))
 
 
 def _best_first(a: Column, b: Column) -> Column:
