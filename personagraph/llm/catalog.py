@@ -224,7 +224,7 @@ FROM f
 
 @_query
 def op9_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_edit_join.repeated(table(spark, sf_dir, "documents"))
+    return line_edit_join.members(table(spark, sf_dir, "documents"))
 
 
 @_query

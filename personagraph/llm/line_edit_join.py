@@ -34,6 +34,11 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "line_no", F.btrim("raw", F.lit(_WHITE)).alias("line")).filter("line <> ''")
 
 
+def _names(line: Column) -> list[Column]:
+    """128 bits that tell a line, in place of its text."""
+    return [F.xxhash64(line).alias("name"), F.xxhash64(F.lit(1), line).alias("name2")]
+
+
 def distinct_lines(docs: DataFrame) -> DataFrame:
     """id, line, n_copies, first (struct of none, doc_id, line_no): one row per distinct line; none sorts null ids last."""
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
@@ -205,6 +210,14 @@ def _grouped(docs: DataFrame, edits: int, least_chars: int) -> DataFrame:
     )
 
 
+def _told(docs: DataFrame, edits: int, least_chars: int) -> DataFrame:
+    """Distinct lines that have copies or near copies, by name, with their first place and that of their group."""
+    found = _grouped(docs, edits, least_chars).filter("n_copies > 1 or n_links > 0")
+    rows = cut(found.select(*_names(F.col("line")), F.length("line").cast("long").alias("n_chars"), "n_copies", "n_links", "first", "group"))
+    heads = rows.groupBy("group").agg(F.min("first").alias("head"))
+    return rows.join(heads, "group").withColumns({"group_doc": F.col("head.doc_id"), "group_line": F.col("head.line_no").cast("long")})
+
+
 def repeated(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """One row per distinct line that has copies or near copies: doc_id, line_no, n_chars, n_copies, n_links, group_doc,
     group_line.
@@ -215,17 +228,17 @@ def repeated(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS
     texts have no lines; rows without id come after all others and tell a null doc_id; repeated rows count as copies;
     an empty table gives no rows; columns other than doc_id and text are not read.
     """
-    rows = cut(_grouped(docs, edits, least_chars).filter("n_copies > 1 or n_links > 0").withColumn("n_chars", F.length("line")).drop("line"))
-    heads = rows.groupBy("group").agg(F.min("first").alias("head"))
-    return rows.join(heads, "group").select(
-        F.col("first.doc_id").alias("doc_id"),
-        F.col("first.line_no").cast("long").alias("line_no"),
-        F.col("n_chars").cast("long").alias("n_chars"),
-        "n_copies",
-        "n_links",
-        F.col("head.doc_id").alias("group_doc"),
-        F.col("head.line_no").cast("long").alias("group_line"),
-    )
+    place = [F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").cast("long").alias("line_no")]
+    return _told(docs, edits, least_chars).select(*place, "n_chars", "n_copies", "n_links", "group_doc", "group_line")
+
+
+def members(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """The columns of ``repeated``, one row for each place (doc_id, line_no) where such a line stands: the places of a
+    group but its first, (group_doc, group_line), are those that ``clean`` takes out. Repeated rows of ``docs`` repeat
+    their places."""
+    places = occurrences(docs).select("doc_id", F.col("line_no").cast("long").alias("line_no"), *_names(F.col("line")))
+    told = cut(_told(docs, edits, least_chars).drop("first", "group", "head"))
+    return places.join(told, ["name", "name2"]).select("doc_id", "line_no", "n_chars", "n_copies", "n_links", "group_doc", "group_line")
 
 
 def clean(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import re
 
 from personagraph.llm import line_edit_join as L
+from personagraph.llm.catalog import QUERIES
 
 from . import fixtures
 
@@ -78,6 +79,22 @@ def test_repeated(spark):
     }
 
 
+def test_members_name_every_place(spark):
+    data = [*DATA, (6, f"x\n{LINE}", "", "", 0), (6, f"x\n{LINE}", "", "", 0)]
+    got = sorted(map(str, (tuple(r) for r in L.members(fixtures.docs(spark, data)).collect())))
+    line, short = (len(LINE),), (5, 3, 0, 1, 0)
+    want = [(1, 0, *short), (2, 1, *short), (None, 0, *short), (1, 1, *line, 1, 2, 1, 1), (3, 1, *line, 1, 2, 1, 1)]
+    want += [(2, k, *line, 4, 2, 1, 1) for k in (0, 3)] + [(6, 1, *line, 4, 2, 1, 1)] * 2 + [(6, 0, 1, 2, 0, 6, 0)] * 2
+    assert got == sorted(map(str, want))
+    assert L.members(fixtures.docs(spark, [])).collect() == []
+
+
+def test_query_names_every_place(spark, tmp_path):
+    fixtures.docs(spark, DATA).write.parquet(f"{tmp_path}/documents.parquet")
+    places = {(r["doc_id"], r["line_no"]) for r in QUERIES["op9_line_edit_join"](spark, str(tmp_path)).collect()}
+    assert places == {(1, 0), (1, 1), (2, 0), (2, 1), (2, 3), (3, 1), (None, 0)}
+
+
 def test_clean(spark):
     df = fixtures.docs(spark, DATA)
     got = L.clean(df)
