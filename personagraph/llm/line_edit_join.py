@@ -12,6 +12,8 @@ characters allows so few edits; the rest of them is compared there and goes no f
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +22,9 @@ from .common import cut, free_name, text_of
 
 #: Edits (characters added, lost or changed) up to which lines are one.
 EDITS = 2
-#: Lines of fewer characters are one only when equal: a few edits make another line of them.
-LEAST_CHARS = 40
+#: Two lines may differ by one edit for so many characters of the longer one, and by EDITS at most: more edits make
+#: another line of a short one.
+CHARS_PER_EDIT = 6
 #: So many ids of lines are sent to all tasks at most; beyond, texts are shuffled to them.
 SENT_IDS = 1_000_000
 
@@ -179,13 +182,14 @@ def _distance(long: Column, short: Column, edits: int) -> Column:
     return end["low"] - sum(ups[1:], ups[0]) if ups else end["low"]
 
 
-def links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(low, high) ids of different ``lines`` (id, line) whose edit distance is at most ``edits``."""
+def links(lines: DataFrame, edits: int = EDITS, longer: int = 0) -> DataFrame:
+    """(low, high) ids of different ``lines`` (id, line) whose edit distance is at most ``edits``, and of which one has
+    ``longer`` characters or more."""
     pairs, texts = _near(lines, edits)
     met = pairs.join(texts.select(F.col("id").alias("low"), F.col("line").alias("a")), "low").join(
         texts.select(F.col("id").alias("high"), F.col("line").alias("b")), "high"
     )
-    met = met.filter(F.abs(F.length("a") - F.length("b")) <= edits)
+    met = met.filter((F.abs(F.length("a") - F.length("b")) <= edits) & (F.greatest(F.length("a"), F.length("b")) >= longer))
     rest = met.withColumn("start", _common(F.col("a"), F.col("b"))).select(
         "low", "high", F.expr("reverse(substring(a, start + 1))").alias("a"), F.expr("reverse(substring(b, start + 1))").alias("b")
     )
@@ -199,10 +203,23 @@ def links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     return cut(ordered).withColumn("distance", _distance(F.col("long"), F.col("short"), edits)).filter(F.col("distance") <= edits).select("low", "high")
 
 
-def _grouped(docs: DataFrame, edits: int, least_chars: int) -> DataFrame:
+def near_links(lines: DataFrame, edits: int = EDITS, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
+    """(low, high) ids of different ``lines`` (id, line) that differ by one edit at most for each ``chars_per_edit``
+    characters of the longer one, and by ``edits`` at most."""
+    n = F.length("line")
+    found = []
+    for e in range(1, edits + 1):
+        longer = e * chars_per_edit
+        # A pair belongs to the edits that its longer line allows; the other line is shorter by so many at most.
+        some = lines.filter(n >= longer - e)
+        found.append(links(some if e == edits else some.filter(n < longer + chars_per_edit), e, longer))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _grouped(docs: DataFrame, edits: int, chars_per_edit: int) -> DataFrame:
     """Distinct lines with n_links, and the group's id."""
     lines = cut(distinct_lines(docs))
-    found = cut(links(lines.filter(F.length("line") >= least_chars), edits))
+    found = cut(near_links(lines, edits, chars_per_edit))
     degree = found.select(F.explode(F.array("low", "high")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     named = components(found).withColumnRenamed("node", "id").join(degree, "id")
     return lines.join(named, "id", "left").select(
@@ -210,44 +227,44 @@ def _grouped(docs: DataFrame, edits: int, least_chars: int) -> DataFrame:
     )
 
 
-def _told(docs: DataFrame, edits: int, least_chars: int) -> DataFrame:
+def _told(docs: DataFrame, edits: int, chars_per_edit: int) -> DataFrame:
     """Distinct lines that have copies or near copies, by name, with their first place and that of their group."""
-    found = _grouped(docs, edits, least_chars).filter("n_copies > 1 or n_links > 0")
+    found = _grouped(docs, edits, chars_per_edit).filter("n_copies > 1 or n_links > 0")
     rows = cut(found.select(*_names(F.col("line")), F.length("line").cast("long").alias("n_chars"), "n_copies", "n_links", "first", "group"))
     heads = rows.groupBy("group").agg(F.min("first").alias("head"))
     return rows.join(heads, "group").withColumns({"group_doc": F.col("head.doc_id"), "group_line": F.col("head.line_no").cast("long")})
 
 
-def repeated(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
+def repeated(docs: DataFrame, edits: int = EDITS, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """One row per distinct line that has copies or near copies: doc_id, line_no, n_chars, n_copies, n_links, group_doc,
     group_line.
 
     doc_id and line_no tell where the line stands first, group_doc and group_line where the first line of its group
-    does; n_copies counts equal lines, n_links the other distinct lines within ``edits``. Lines are trimmed of ASCII
-    white space, blank ones are none; those of fewer than ``least_chars`` characters have copies only. Null and empty
-    texts have no lines; rows without id come after all others and tell a null doc_id; repeated rows count as copies;
+    does; n_copies counts equal lines, n_links the other distinct lines within ``edits``, and within one edit for each
+    ``chars_per_edit`` characters. Lines are trimmed of ASCII white space, blank ones are none. Null and empty texts have
+    no lines; rows without id come after all others and tell a null doc_id; repeated rows count as copies;
     an empty table gives no rows; columns other than doc_id and text are not read.
     """
     place = [F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").cast("long").alias("line_no")]
-    return _told(docs, edits, least_chars).select(*place, "n_chars", "n_copies", "n_links", "group_doc", "group_line")
+    return _told(docs, edits, chars_per_edit).select(*place, "n_chars", "n_copies", "n_links", "group_doc", "group_line")
 
 
-def members(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
+def members(docs: DataFrame, edits: int = EDITS, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """The columns of ``repeated``, one row for each place (doc_id, line_no) where such a line stands: the places of a
     group but its first, (group_doc, group_line), are those that ``clean`` takes out. Repeated rows of ``docs`` repeat
     their places."""
     places = occurrences(docs).select("doc_id", F.col("line_no").cast("long").alias("line_no"), *_names(F.col("line")))
-    told = cut(_told(docs, edits, least_chars).drop("first", "group", "head"))
+    told = cut(_told(docs, edits, chars_per_edit).drop("first", "group", "head"))
     return places.join(told, ["name", "name2"]).select("doc_id", "line_no", "n_chars", "n_copies", "n_links", "group_doc", "group_line")
 
 
-def clean(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
+def clean(docs: DataFrame, edits: int = EDITS, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """``docs`` with only the first line of every group left in the texts; blank lines and all rows stay.
 
     Rows that share a doc_id share its lines' places, so all of them keep what the first occurrence keeps. Null texts
     stay null.
     """
-    grouped = _grouped(docs, edits, least_chars)
+    grouped = _grouped(docs, edits, chars_per_edit)
     heads = cut(grouped.groupBy("group").agg(F.min("first").alias("head")).select("head.doc_id", "head.line_no"))
     line_no, raw, row = (free_name(docs, x) for x in ("line_no", "raw", "row"))
     numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))

@@ -58,6 +58,23 @@ def test_crowded_lines_make_few_pairs(spark, monkeypatch):
     assert {tuple(r) for r in L.links(df).collect()} == want
 
 
+def test_short_lines_are_joined(spark):
+    rng = random.Random(5)
+    lines = {"Are, is anwh reenen.", "Are. Is anwh reenen.", "Thwhesnd, esator whshing and hewh.", "Thwhesnd. Esator whshing and hewh."}
+    for n in range(3, 16):
+        base = "".join(rng.choice("abcdefgh") for _ in range(n))
+        lines |= {edited(rng, base, rng.randint(0, 3)) for _ in range(6)}
+    lines = sorted(lines - {""})
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    allowed = lambda a, b: min(2, max(len(a), len(b)) // 6)
+    want = {(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines)) if distance(lines[a], lines[b]) <= allowed(lines[a], lines[b])}
+    got = [tuple(r) for r in L.near_links(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {min(len(lines[k]) for k in w) for w in want} >= {7, 12, 20, 34}
+    rows = L.repeated(fixtures.docs(spark, [(1, lines[lines.index("Are, is anwh reenen.")], "", "", 0), (2, "Are. Is anwh reenen.", "", "", 0)])).collect()
+    assert [r["n_links"] for r in rows] == [1, 1]
+
+
 LINE = "This is a line that is long enough to be compared with others."
 DATA = [
     (2, f"{LINE}\nshort\n\n{LINE} ", "", "", 0),
