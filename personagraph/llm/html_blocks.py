@@ -59,13 +59,15 @@ CLOSED_BY = {
 SCOPES = frozenset("article aside body div footer form header html main nav ol section table td th ul".split())
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|iframe|svg|math|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|iframe|textarea)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)"
     r"|</[^>]*(?:>|\Z)",
     re.S | re.I,
 )
+#: Text in these is not shown as such; markup that is shown again inside of them ends that, and so do blocks, as in browsers.
+UNSEEN, SEEN = frozenset({"svg", "annotation", "annotation-xml"}), frozenset({"foreignobject"})
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop|hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 NAME_WORD = re.compile(r"[a-z]+")
 
@@ -95,9 +97,15 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
             linked = 0
 
+    def unseen() -> bool:
+        for tag, _ in reversed(stack):
+            if tag in UNSEEN or tag in SEEN:
+                return tag in UNSEEN
+        return False
+
     def take(piece: str) -> None:
         nonlocal linked
-        if piece:
+        if piece and not unseen():
             parts.append(piece)
             if any(tag == "a" for tag, _ in stack):
                 linked += len(piece)
@@ -110,6 +118,12 @@ def blocks(page: str) -> list[Block]:
         if not tag:
             continue
         tag = tag.lower()
+        if tag in BLOCK_TAGS and unseen():
+            if tag == "title":  # of a drawing
+                continue
+            # A block ends a drawing that was left open.
+            while unseen():
+                stack.pop()
         if tag in BLOCK_TAGS:
             flush()
         if closing:

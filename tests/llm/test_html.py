@@ -36,6 +36,18 @@ def test_blocks():
     assert H.blocks("") == [] and H.blocks("<p></p>") == []
 
 
+def test_blocks_behind_drawings_and_custom_elements():
+    texts = lambda page: [b.text for b in H.blocks(page)]
+    for ahead in (
+        "<svg-icon name=x></svg-icon>", "<math-renderer>", "<template-card></template-card>", "<svg class=i/>", "<svg class='i' />", "<math/>",
+        "<svg><path d='M0'/>", "<svg><title>t</title><svg><text>x</text></svg>y</svg>", "<style-guide/>",
+    ):
+        assert texts(f"{ahead}<article><p>body</p></article>") == ["body"], ahead
+    assert texts("<p>a <svg viewBox='0'><title>t</title><style>p{}</style><text>x</text></svg>b</p><p>c") == ["a b", "c"]
+    assert texts("<p>let <math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></semantics></math> hold</p>") == ["let x=1 hold"]
+    assert texts("<svg><foreignObject><p>seen</p></foreignObject><text>x</text></svg><p>d<template><p>x</template><p>e") == ["seen", "d", "e"]
+
+
 def test_held_out_pages(model):
     rng = random.Random(2)
     found = [H.blocks(page(rng, k)) for k in range(150)]
