@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 from .common import cut, free_name, text_of
 
 KEY = "surrogates"
-#: Draws until all forms are distinct; more would mean that a format has hardly any free values.
-DRAWS = 50
+#: Draws in the length of the form itself. Each later one is a character longer, so every form settles however few free
+#: values its format has.
+DRAWS = 12
 
 #: Titles by gender, and frequent given names by gender; titles alone and names before a family name tell a person.
 TITLES = {
@@ -49,6 +51,9 @@ POOLS = {
     ("greek", "family"): "Βλάχος Δέδες Ζέρβας Κάππος Λάμπρου Μάνος Ράπτης Σάββας".split(),
 }
 SYLLABLES = {"latin": "an be co du el fi go ha is ka".split(), "cyrillic": "ан бе ко ду ел фи го ха ис ка".split(), "greek": "αν βε κο δυ ελ φι γο χα ισ κα".split()}
+#: Letters and signs to draw from, one for each hexadecimal digit: letters by script, signs for forms of nothing else.
+LATIN, CYRILLIC, GREEK = "acdeghjkmnprstvw", "абвгдежзиклмнопр", "αβγδεζηθικλμνξοπ"
+SIGNED = "!#$%&()*+-./:=?@"
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
@@ -117,17 +122,30 @@ def _stream(key: str, draw: Column, name: str, n: Column) -> Column:
     return F.array_join(F.transform(blocks, lambda b: F.sha2(F.concat_ws("\x1f", seed, b.cast("string")), 256)), "")
 
 
-def _like(form: Column, stream: Column, hexadecimal: Column) -> Column:
-    """Digits for digits, letters for letters in the same case (a to f in hexadecimal forms), the rest as it is."""
-    digits = F.translate(stream, "abcdef", "246810")
-    letters = F.when(hexadecimal, F.translate(stream, "0123456789", "abcdefbdfa")).otherwise(F.translate(stream, "0123456789abcdef", "acdeghjkmnprstvw"))
+def _letters(stream: Column, known: str) -> Column:
+    return F.translate(stream, "0123456789abcdef", known)
+
+
+def _digits(stream: Column) -> Column:
+    return F.translate(stream, "abcdef", "246810")
+
+
+def _like(form: Column, stream: Column, hexadecimal: Column, signs: Column) -> Column:
+    """Digits for digits, letters for letters of the same script in the same case (a to f in hexadecimal forms), signs for
+    signs where a form has nothing else, the rest as it is."""
+    letters = F.when(hexadecimal, F.translate(stream, "0123456789", "abcdefbdfa")).otherwise(_letters(stream, LATIN))
 
     def one(k: Column) -> Column:
         c = F.substring(form, k, F.lit(1))
+        at = lambda text: F.substring(text, k, F.lit(1))
+        cased = lambda known: F.when(c.rlike(r"\p{Lu}"), F.upper(at(_letters(stream, known)))).otherwise(at(_letters(stream, known)))
         return (
-            F.when(c.rlike("[0-9]"), F.substring(digits, k, F.lit(1)))
-            .when(c.rlike("[a-z]"), F.substring(letters, k, F.lit(1)))
-            .when(c.rlike("[A-Z]"), F.upper(F.substring(letters, k, F.lit(1))))
+            F.when(c.rlike("[0-9]"), at(_digits(stream)))
+            .when(c.rlike("[a-z]"), at(letters))
+            .when(c.rlike("[A-Z]"), F.upper(at(letters)))
+            .when(signs, at(_letters(stream, SIGNED)))
+            .when(c.rlike(r"\p{Nd}"), at(_digits(stream)))
+            .when(c.rlike(r"\p{L}"), F.when(c.rlike(r"\p{IsCyrillic}"), cased(CYRILLIC)).when(c.rlike(r"\p{IsGreek}"), cased(GREEK)).otherwise(cased(LATIN)))
             .otherwise(c)
         )
 
@@ -154,18 +172,28 @@ def _syllable(known: list[str]) -> Callable[[Column], Column]:
     return one
 
 
-def _drawn(forms: DataFrame, key: str) -> DataFrame:
-    """``forms`` (kind, form, draw) with their surrogates. Steps are columns, so each is worked out once."""
+def _drawn(forms: DataFrame, key: str, draws: int) -> DataFrame:
+    """``forms`` (kind, form, draw) with their surrogates, longer by a character for each of the ``draws`` that is beyond.
+    Steps are columns, so each is worked out once."""
     n = F.length("form")
-    wide = forms.withColumns({"_stream": _stream(key, F.col("draw"), "form", n), "_hex": F.col("form").rlike(r"\A(?:[0-9a-f]+|[0-9A-F]+)\z")})
-    wide = wide.withColumn("_like", _like(F.col("form"), F.col("_stream"), F.col("_hex")))
+    grown = F.greatest(F.col("draw") - F.lit(draws - 1), F.lit(0))
+    wide = forms.withColumns(
+        {
+            "_stream": _stream(key, F.col("draw"), "form", n + 16 + 4 * grown),
+            "_hex": F.col("form").rlike(r"\A(?:[0-9a-f]+|[0-9A-F]+)\z"),
+            "_signs": ~F.col("form").rlike(r"[\p{L}\p{Nd}]"),
+        }
+    )
+    wide = wide.withColumn("_more", F.substring(F.col("_stream"), n + 1, grown))
+    wide = wide.withColumn("_like", F.concat(_like(F.col("form"), F.col("_stream"), F.col("_hex"), F.col("_signs")), _digits(F.col("_more"))))
     number = lambda a, size: F.conv(F.substring("_stream", a, size), 16, 10).cast("long")
-    octets = F.concat_ws(".", *[F.pmod(number(4 * k + 1, 4), F.lit(256)).cast("string") for k in range(4)])
+    octet = lambda at: F.pmod(F.conv(F.substring(F.col("_stream"), at, F.lit(4)), 16, 10).cast("long"), F.lit(256)).cast("string")
+    octets = F.array_join(F.transform(F.sequence(F.lit(0), 3 + grown), lambda k: octet(4 * k + 1)), ".")
     # The last digit makes the check sum of a valid number valid again.
     head = F.expr("substring(_like, 1, length(_like) - 1)")
     check = F.pmod(10 - F.pmod(_luhn(F.concat(head, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
     card = F.when(F.pmod(_luhn(F.col("form")), F.lit(10)) == 0, F.concat(head, check)).otherwise(F.col("_like"))
-    local = F.substring_index("_like", "@", 1)
+    local = F.concat(F.substring_index("_like", "@", 1), _letters(F.col("_more"), LATIN))
     domain = F.substring_index("form", "@", -1)
     owner = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), domain), 256)
     email = F.concat(local, F.lit("@"), F.translate(F.substring(owner, 1, 10), "0123456789", "ghjkmnprst"), F.lit(".example"))
@@ -182,19 +210,20 @@ def _drawn(forms: DataFrame, key: str) -> DataFrame:
         names = F.when(own, F.concat(pick, F.when(F.col("draw") > 0, more).otherwise(F.lit("")))).otherwise(names)
     kind = F.col("kind")
     surrogate = F.coalesce(names, F.when(kind == "ip", octets).when(kind == "card", card).when(kind == "email", email).otherwise(F.col("_like")))
-    return wide.withColumn("surrogate", surrogate).drop("_stream", "_hex", "_like")
+    return wide.withColumn("surrogate", surrogate).drop("_stream", "_hex", "_signs", "_more", "_like")
 
 
 def surrogates(forms: DataFrame, key: str = KEY, draws: int = DRAWS) -> DataFrame:
     """kind, form, surrogate of distinct ``forms`` (kind, form): no two of a kind share one, none is a form itself.
 
-    A form that meets another with its surrogate keeps it only if it comes first in order; the rest draw again.
+    A form that meets another with its surrogate keeps it only if it comes first in order; the rest draw again, after
+    ``draws`` with ever longer surrogates.
     """
     forms = cut(forms)
     settled = None
     waiting = forms.withColumn("draw", F.lit(0))
-    for draw in range(draws):
-        drawn = cut(_drawn(waiting, key))
+    for draw in count():
+        drawn = cut(_drawn(waiting, key, draws))
         firsts = drawn.groupBy("kind", "surrogate").agg(F.min("form").alias("form"))
         free = firsts.join(forms.select("kind", F.col("form").alias("surrogate")), ["kind", "surrogate"], "left_anti")
         if settled is not None:
@@ -204,7 +233,6 @@ def surrogates(forms: DataFrame, key: str = KEY, draws: int = DRAWS) -> DataFram
         waiting = cut(drawn.join(free, ["kind", "form"], "left_anti").select("kind", "form", F.lit(draw + 1).alias("draw")))
         if waiting.isEmpty():
             return settled
-    raise ValueError(f"no distinct surrogates after {draws} draws")
 
 
 def _poured(raw: Column, kind: Column, made: Column) -> Column:

@@ -50,6 +50,25 @@ def test_distinct_in_crowded_formats(spark):
     assert not {(r["kind"], r["surrogate"]) for r in rows} & {(r["kind"], r["form"]) for r in rows}
 
 
+def test_forms_with_few_free_values(spark):
+    secrets = ["******", "......", "пароль", "ΚΩΔΙΚΌΣ", "密码密码密码", "😀😀😀😀😀😀", "*****a", "٣٣٣٣٣٣"]
+    mail = [f"{c}@example.com" for c in "abcdefghijklmnopqrstuvwxyz"]
+    forms = spark.createDataFrame([("secret", x) for x in secrets] + [("email", x) for x in mail] + [("ssn", str(k)) for k in range(10)], "kind string, form string")
+    rows = S.surrogates(forms).collect()
+    made = {(r["kind"], r["form"]): r["surrogate"] for r in rows}
+    assert len(rows) == len(made) == 44 and len({(r["kind"], r["surrogate"]) for r in rows}) == 44
+    assert not {(r["kind"], r["surrogate"]) for r in rows} & set(made)
+    assert re.fullmatch("[а-я]{6}", made["secret", "пароль"]) and re.fullmatch("[Α-Ω]{7}", made["secret", "ΚΩΔΙΚΌΣ"])
+    assert re.fullmatch("[a-z]+@[a-z]+[.]example", made["email", "a@example.com"]) and len(made["secret", "******"]) == 6
+    assert all(not set(made["secret", x]) & set(x) for x in ("密码密码密码", "😀😀😀😀😀😀", "٣٣٣٣٣٣"))
+
+
+def test_odd_secrets_in_texts(spark):
+    got = replaced(spark, ['password="******" and password: \'пароль\'', "from 10.2.3.4"], draws=0)
+    m = re.fullmatch('password="([^"]+)" and password: \'([а-я]{6}[0-9])\'', got[0])
+    assert m and m[1] != "******" and "пароль" not in got[0] and re.fullmatch(r"from \d+([.]\d+){4}", got[1])
+
+
 def test_key_decides_and_reruns_agree(spark):
     assert replaced(spark, TEXTS) == replaced(spark, TEXTS)
     assert replaced(spark, TEXTS)[1] != replaced(spark, TEXTS, key="other")[1]
