@@ -53,15 +53,15 @@ class Encoder:
 
     A byte-level vocabulary cuts text before a space or line feed that follows a character other than white space, and
     after line feeds that precede one, whatever stands further away; so pieces cut there can be encoded alone. Texts
-    with other runs of white space go to the library whole.
+    with other runs of white space, or with the string of an added token, go to the library whole.
     """
 
     def __init__(self, path: str, known_words: int = KNOWN_WORDS):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        # Strings of special tokens in a text are ordinary text.
-        self.library.encode_special_tokens = True
+        #: Strings that the library takes for tokens of their own wherever they stand.
+        self.added = [token.content for token in self.library.get_added_tokens_decoder().values()]
         self.known_words = known_words
         self.break_piece = None
         # The cuts above hold for byte-level pieces without normalisation; other vocabularies get whole texts.
@@ -132,7 +132,7 @@ class Encoder:
         return done, np.array(counts, np.int64), np.array(ids, np.int32)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [k for k, text in enumerate(texts) if self.cuts and _cuttable(text)]
+        cut = [k for k, text in enumerate(texts) if self.cuts and _cuttable(text) and not any(x in text for x in self.added)]
         words: list[str] = []
         ends = [0]
         for k in cut:

@@ -27,6 +27,15 @@ def test_encoder_equals_library(own):
     assert [x.tolist() for x in own.encode(texts)] == want
 
 
+def test_added_tokens_as_the_library_has_them(own):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(vocabulary())
+    texts = ["a <|endoftext|> b", "a b", "<|endoftext|>", "x<|endoftext|>\ny <|endoftext|", "a <|endoftext|> b\tc"]
+    assert [x.tolist() for x in own.encode(texts)] == [plain.encode(x, add_special_tokens=False).ids for x in texts]
+    assert own.encode(texts)[0].tolist() == [64, 220, 50256, 275]
+
+
 def test_round_trip(spark, own):
     data = fixtures.rows()
     path = scratch(spark)
