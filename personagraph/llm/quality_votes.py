@@ -93,7 +93,7 @@ def counts(text: str) -> tuple[int, ...]:
         int(with_letter.sum()),
         int(((solid >= 65) & (solid <= 90)).sum()),
         raw.count(b"!!"),
-        sum(x.rstrip(WHITE).endswith((b".", b"!", b"?", b":", b'"', b")")) for x in lines),
+        sum(x.rstrip(WHITE).endswith((b".", b"!", b"?", b":", b'"', b"'")) for x in lines),
     )
 
 

@@ -1,8 +1,10 @@
 import random
+import re
 
 import numpy as np
 
 from personagraph.llm import quality_votes as Q
+from personagraph.llm.catalog import ORACLES
 
 from . import fixtures
 
@@ -37,6 +39,14 @@ def test_counts_against_brute_force(spark):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_closing_characters_are_those_of_the_sql():
+    (closing,) = re.findall(r"\[(\S+?)\]\[\\x20\\x09-\\x0D\]\*\$", ORACLES["op4_quality_votes"])
+    closing = set(closing.replace("''", "'"))
+    assert "'" in closing and ")" not in closing
+    for c in map(chr, range(33, 127)):
+        assert Q.counts(f"a word{c} \nb")[Q.COUNTS.index("n_ended")] == (c in closing), c
+
+
 def junk(rng, kind):
     text = fixtures.prose(rng, 120)
     if kind == 0:
