@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, gzip_members, html_blocks, license_diagonals, line_edit_join, quality_votes, simhash_trie, spaced_seeds, surrogates, token_columns
+from . import curriculum, filter_audit, gzip_members, html_blocks, license_diagonals, line_edit_join, quality_votes, simhash_trie, spaced_seeds, surrogates, token_columns
 from .common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -260,3 +260,41 @@ SELECT doc_id, size, source_size, target, times * size AS taken, source,
 
 
 ORACLES["op10_curriculum"] = _mix_sql()
+
+
+@_query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _audit_sql() -> str:
+    letters = ", ".join(f"('{x}')" for x in filter_audit.FILTERS)
+    tables = ", ".join(f"(VALUES {letters}) AS t{k}(x{k})" for k in range(1, 6))
+    unlike = " AND ".join(f"x{a} <> x{b}" for a in range(1, 6) for b in range(a + 1, 6))
+    return rf"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+failed AS (
+  SELECT doc_id, part, CASE WHEN len(w) < {filter_audit.LEAST_WORDS} THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(w)) < {filter_audit.LEAST_DISTINCT} * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > {filter_audit.MOST_CAPITALS} * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '{filter_audit.SIGNS}') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails FROM texts),
+told AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+cells AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM failed LEFT JOIN told USING (doc_id) GROUP BY part, fails),
+orders AS (SELECT x1 || x2 || x3 || x4 || x5 AS filter_order FROM {tables} WHERE {unlike}),
+steps AS (
+  SELECT part, filter_order, step, letter, n, good, toxic, contains(fails, letter) AS hit, fails = letter AS alone,
+    regexp_matches(left(filter_order, step - 1), '[_' || fails || ']') AS gone
+  FROM cells, (SELECT filter_order, k::INT AS step, substr(filter_order, k, 1) AS letter FROM orders, unnest(range(1, 6)) AS u(k))),
+counted AS (
+  SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (hit AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (hit AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (hit AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (hit AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM steps GROUP BY ALL)
+SELECT * EXCLUDE (letter), (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM counted"""
+
+
+ORACLES["op11_filter_audit"] = _audit_sql()
