@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, filter_audit, gzip_members, html_blocks, license_diagonals, line_edit_join, quality_votes, simhash_trie, spaced_seeds, surrogates, token_columns
+from . import curriculum, filter_audit, gzip_members, html_blocks, license_diagonals, line_edit_join, metric_trees, quality_votes, simhash_trie, spaced_seeds, surrogates, token_columns
 from .common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -298,3 +298,37 @@ SELECT * EXCLUDE (letter), (sum(removed) OVER (PARTITION BY part, letter))::BIGI
 
 
 ORACLES["op11_filter_audit"] = _audit_sql()
+
+
+@_query
+def op12_metric_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_trees.report(table(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql() -> str:
+    """Every round spelled out: parts against all entries of their codebook."""
+    parts, rounds = metric_trees.PARTS, metric_trees.ROUNDS
+    nearest = """
+near{k} AS MATERIALIZED (
+  SELECT row, part, x, min(pair)[2] AS entry, min(pair)[1] AS err FROM (
+    SELECT row, p.part, p.x, [list_sum(list_transform(list_zip(p.x, b.y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, b.entry] AS pair
+    FROM pieces p JOIN book{k} b USING (part)) GROUP BY ALL)"""
+    book = """
+book{j} AS MATERIALIZED (
+  SELECT part, entry, coalesce(z, y) AS y FROM book{k} LEFT JOIN (
+    SELECT part, entry, list(CASE WHEN t % n < 0 THEN (t - t % n - n) // n ELSE (t - t % n) // n END ORDER BY place) AS z FROM (
+      SELECT part, entry, place, sum(v)::BIGINT AS t, count(*)::BIGINT AS n FROM (SELECT part, entry, unnest(x) AS v, unnest(range(len(x))) AS place FROM near{k}) GROUP BY ALL)
+    GROUP BY part, entry) USING (part, entry))"""
+    steps = ",".join(nearest.format(k=k) + "," + book.format(k=k, j=k + 1) for k in range(rounds))
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS row, list_transform(embedding, lambda x: floor({metric_trees.SCALE} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pieces AS MATERIALIZED (SELECT row, part, list_slice(v, part * len(v) // {parts} + 1, (part + 1) * len(v) // {parts}) AS x FROM kept, unnest(range({parts})) AS u(part)),
+book0 AS MATERIALIZED (SELECT part, row - 1 AS entry, x AS y FROM pieces WHERE row <= {metric_trees.ENTRIES}),{steps},{nearest.format(k=rounds)},
+coded AS (SELECT row, array_to_string(list(printf('%02x', entry) ORDER BY part), '') AS code, sum(err)::BIGINT AS error FROM near{rounds} GROUP BY row),
+told AS (SELECT sha256(array_to_string(flatten(list(y ORDER BY part, entry)), ',')) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256, label FROM kept JOIN coded USING (row), told"""
+
+
+ORACLES["op12_metric_trees"] = _codes_sql()
