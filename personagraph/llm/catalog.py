@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, filter_audit, gzip_members, html_blocks, license_diagonals, line_edit_join, metric_trees, quality_votes, simhash_trie, spaced_seeds, surrogates, token_columns
+from . import curriculum, filter_audit, gzip_members, html_blocks, license_diagonals, line_edit_join, metric_trees, quality_votes, simhash_trie, spaced_seeds, subword_bags, surrogates, token_columns
 from .common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -332,3 +332,8 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 
 
 ORACLES["op12_metric_trees"] = _codes_sql()
+
+
+@_query
+def op13_subword_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subword_bags.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
