@@ -48,13 +48,17 @@ def _first(column: str) -> Column:
     return F.min_by(column, "seq").alias(column)
 
 
-def upsert_accounts(accounts: DataFrame, refs: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+def upsert_accounts(
+    accounts: DataFrame, refs: DataFrame, as_of: Column, ids: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Match references to accounts and refresh or create them.
 
     A native id finds its account, else claims the handle-only account of its handle, else creates one.
     References without a native id come second: they reuse any account of the handle (one with a native
-    id first) and change nothing. Returns (accounts, references with account_id).
+    id first) and change nothing. Returns (accounts, references with account_id). ``accounts`` may be a part
+    of the table that holds all that the references name; ``ids`` then has the ids of the whole table.
     """
+    ids = (accounts if ids is None else ids).select("account_id")
     known = refs.filter(F.col("native_id").isNotNull())
     groups = known.groupBy("platform", "native_id").agg(
         F.min("seq").alias("seq"),
@@ -97,7 +101,7 @@ def upsert_accounts(accounts: DataFrame, refs: DataFrame, as_of: Column) -> tupl
         "last_hydrated": F.when(changed & n["hydrated"], as_of).otherwise(F.col("last_hydrated")),
     }
     updated = accounts.join(new, "account_id", "left").withColumns(refreshed).select(*accounts.columns)
-    minted = _mint(fresh, accounts, as_of)
+    minted = _mint(fresh, ids, as_of)
     with_native = append(updated, minted)
 
     loose = refs.filter(F.col("native_id").isNull()).withColumn("_low", F.lower("handle"))
@@ -112,7 +116,8 @@ def upsert_accounts(accounts: DataFrame, refs: DataFrame, as_of: Column) -> tupl
     )
     found = wanted.join(by_handle, ["platform", "_low"], "left")
     missing = found.filter("account_id is null").drop("account_id", "_low")
-    minted_loose = _mint(missing.withColumn("native_id", F.lit(None).cast("string")), with_native, as_of)
+    held = ids.unionByName(minted.select("account_id"))
+    minted_loose = _mint(missing.withColumn("native_id", F.lit(None).cast("string")), held, as_of)
     result = append(with_native, minted_loose)
 
     native_ids = result.filter("native_id is not null").select("platform", "native_id", "account_id")
@@ -141,8 +146,12 @@ def _mint(rows: DataFrame, stored: DataFrame, as_of: Column) -> DataFrame:
 EDGE_KEY = ["source_account_id", "target_account_id", "evidence_type"]
 
 
-def upsert_edges(stored: DataFrame, produced: DataFrame, as_of: Column) -> DataFrame:
-    """Refresh or add edges; a dismissed edge never comes back and nothing points at itself."""
+def upsert_edges(stored: DataFrame, produced: DataFrame, as_of: Column, ids: DataFrame | None = None) -> DataFrame:
+    """Refresh or add edges; a dismissed edge never comes back and nothing points at itself.
+
+    ``stored`` may be a part of the table that holds all edges of the produced keys; ``ids`` then has the ids of
+    the whole table.
+    """
     latest = first_per_key(
         produced.filter("source_account_id <> target_account_id"), EDGE_KEY, [F.col("seq").desc()]
     ).drop("seq")
@@ -157,7 +166,7 @@ def upsert_edges(stored: DataFrame, produced: DataFrame, as_of: Column) -> DataF
     kept = stored.join(new, EDGE_KEY, "left").withColumns(refreshed).select(*stored.columns)
     added = latest.join(stored.select(*EDGE_KEY), EDGE_KEY, "left_anti")
     added = added.withColumns({"status": F.lit("present"), "first_seen": as_of, "last_verified": as_of})
-    return append(kept, next_ids(added, stored, "edge_id", [F.col(c) for c in EDGE_KEY]))
+    return append(kept, next_ids(added, stored if ids is None else ids, "edge_id", [F.col(c) for c in EDGE_KEY]))
 
 
 def upsert_signals(stored: DataFrame, produced: DataFrame, keys: list[str], as_of: Column) -> DataFrame:

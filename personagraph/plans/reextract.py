@@ -18,11 +18,15 @@ from ..session import cut_lineage
 from ..sources import skeb
 
 
-def readable(state: State) -> DataFrame:
+def whole_profiles(snapshots: DataFrame) -> DataFrame:
+    return snapshots.filter(~F.col("fetch_source").isin(policy.PARTIAL_SNAPSHOT_SOURCES))
+
+
+def readable(accounts: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Newest whole-profile snapshot per account; hub pages and partial rows never drive retraction."""
-    kinds = F.broadcast(policy.platforms(state.accounts.sparkSession).select("platform", "kind"))
-    whole = state.snapshots.filter(~F.col("fetch_source").isin(policy.PARTIAL_SNAPSHOT_SOURCES))
-    accounts = state.accounts.select("account_id", "platform", "handle", F.col("display_name").alias("name"))
+    kinds = F.broadcast(policy.platforms(accounts.sparkSession).select("platform", "kind"))
+    whole = whole_profiles(snapshots)
+    accounts = accounts.select("account_id", "platform", "handle", F.col("display_name").alias("name"))
     accounts = accounts.join(kinds, "platform").filter("kind <> 'link_hub'").drop("kind")
     newest = ev.latest_snapshots(whole).select("account_id", "snapshot_id", "captured_at", "bio_text", "raw")
     return newest.join(accounts, "account_id")
@@ -166,13 +170,26 @@ def produced_edges(resolved: DataFrame) -> DataFrame:
     )
 
 
+def all_references(read: DataFrame) -> DataFrame:
+    """References of the texts and of the structured fields that are stored with them."""
+    registered = skeb.stored_links(read.filter("platform = 'skeb'"))
+    return cut_lineage(found_references(read).unionByName(registered.select(FOUND)))
+
+
+def statements_of(read: DataFrame) -> DataFrame:
+    return signal_rows(read, "attestations").withColumnRenamed("snapshot_id", "evidence_snapshot_id")
+
+
+def markers_of(read: DataFrame) -> DataFrame:
+    rows = signal_rows(read, "flags").unionByName(self_labels(read))
+    return rows.withColumnRenamed("snapshot_id", "evidence_snapshot_id").withColumn("flag", F.lit("nsfw"))
+
+
 def reextract(state: State, as_of: datetime, repair: bool = True) -> State:
     """Whole job: newest texts, references to accounts, edges, signals, retractions and their repair."""
     now = F.lit(as_of).cast("timestamp")
-    read = cut_lineage(read_signals(readable(state)))
-    found = found_references(read)
-    registered = skeb.stored_links(read.filter("platform = 'skeb'"))
-    found = cut_lineage(found.unionByName(registered.select(FOUND)))
+    read = cut_lineage(read_signals(readable(state.accounts, state.snapshots)))
+    found = all_references(read)
     accounts, resolved = up.upsert_accounts(state.accounts, as_account_refs(found), now)
     accounts = cut_lineage(accounts)
     made = cut_lineage(produced_edges(resolved))
@@ -183,9 +200,7 @@ def reextract(state: State, as_of: datetime, repair: bool = True) -> State:
     gone = cut_lineage(state.edges.filter("status = 'present'").select("edge_id").join(
         edges.filter("status = 'retracted'").select("edge_id"), "edge_id", "left_semi"))
 
-    statements = signal_rows(read, "attestations").withColumnRenamed("snapshot_id", "evidence_snapshot_id")
-    markers = signal_rows(read, "flags").unionByName(self_labels(read))
-    markers = markers.withColumnRenamed("snapshot_id", "evidence_snapshot_id").withColumn("flag", F.lit("nsfw"))
+    statements, markers = statements_of(read), markers_of(read)
     attestations = up.upsert_attestations(state.attestations, statements, now)
     attestations = up.deactivate_missing(
         attestations, statements, read, policy.REEXTRACTABLE_ATTESTATIONS, ["account_id", "signal"]
