@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, bounded_bytes
 
 #: Labelled texts to learn from, and the longest of them: training is bounded, scoring is not.
-TRAIN_DOCS = 6000
+TRAIN_DOCS = 4000
 TRAIN_CHARS = 8000
 #: Rows whose crc32 of the id leaves this remainder are held out.
 FOLDS, HELD_OUT = 4, 2
@@ -38,7 +38,7 @@ BLANKS = 50
 DIMS = 4
 STEPS = 40
 RATE = 0.03
-DECAY = 1.5
+DECAY = 2.5
 #: One of so many texts of the sample only tells after which step to stop.
 CHECKED = 5
 SEED = 13
@@ -46,6 +46,8 @@ SEED = 13
 #: Characters scored at once, and words remembered by a worker.
 RUN = 1 << 18
 WORDS = 1 << 20
+#: Words whose buckets are worked out together in training.
+WORDS_AT_ONCE = 1 << 14
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _OUTER = string.punctuation
@@ -97,7 +99,7 @@ class Table:
         for a, b, n in ((row, column, rows), (column, row, columns)):
             order = np.argsort(a, kind="stable")
             filled, starts = np.unique(a[order], return_index=True)
-            self.ways.append((filled, starts, b[order], weight[order].astype(np.float32), n))
+            self.ways.append((filled, starts, b[order].astype(np.int32), weight[order].astype(np.float32), n))
 
     def times(self, dense: np.ndarray, back: bool = False) -> np.ndarray:
         filled, starts, other, weight, n = self.ways[back]
@@ -155,25 +157,35 @@ def fit_texts(texts: list[str], toxic: list[int], steps: int = STEPS) -> Model:
     """
     y = np.array(toxic, float)
     bias = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
-    bags = [Counter(words(t)) for t in texts]
-    names = {w: k for k, w in enumerate(dict.fromkeys(w for bag in bags for w in bag))}
+    names: dict[str, int] = {}
+    column, weight, row = [], [], []
+    for k, text in enumerate(texts):
+        bag = Counter(words(text))
+        column.append(np.fromiter((names.setdefault(w, len(names)) for w in bag), np.int32, len(bag)))
+        weight.append(np.fromiter(bag.values(), np.float32, len(bag)) / (bag.total() + BLANKS))
+        row.append(np.full(len(bag), k, np.int32))
     if len(y) < CHECKED or not names or y.min() == y.max():
         return Model(np.zeros(1 << BUCKET_BITS, np.float32), bias)
-    found, starts = buckets(list(names))
-    size = np.diff(np.r_[starts, len(found)])
-    of_word = np.repeat(np.arange(len(names)), size)
-    row = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    column = np.array([names[w] for bag in bags for w in bag])
-    weight = np.array([n / (bag.total() + BLANKS) for bag in bags for n in bag.values()])
+    row, column, weight = np.concatenate(row), np.concatenate(column), np.concatenate(weight)
+    listed, n_words = list(names), len(names)
+    names.clear()
+    parts = [buckets(listed[k : k + WORDS_AT_ONCE]) for k in range(0, n_words, WORDS_AT_ONCE)]
+    size = np.concatenate([np.diff(np.r_[starts, len(found)]) for found, starts in parts])
+    found = np.concatenate([found.astype(np.int32) for found, _ in parts])
+    del listed, parts
+    of_word = np.repeat(np.arange(n_words, dtype=np.int32), size)
     # A bucket is as common as its words; those of too few texts would only retell the labels of these.
-    often = np.bincount(found, weights=np.bincount(column, minlength=len(names))[of_word], minlength=1 << BUCKET_BITS) >= LEAST_TEXTS
-    place = np.cumsum(often) - 1
+    texts_with = np.bincount(column, minlength=n_words).astype(np.float32)
+    often = np.bincount(found, weights=texts_with[of_word], minlength=1 << BUCKET_BITS) >= LEAST_TEXTS
+    place = (np.cumsum(often) - 1).astype(np.int32)
     live = often[found]
+    of_word, found = of_word[live], found[live]
     n_live = int(often.sum())
-    pieces = Table(of_word[live], place[found[live]], (1 / size)[of_word[live]], len(names), n_live)
-    texts_of = Table(row, column, weight, len(bags), len(names))
+    pieces = Table(of_word, place[found], (1 / size).astype(np.float32)[of_word], n_words, n_live)
+    del of_word, found, live
+    texts_of = Table(row, column, weight, len(texts), n_words)
     # Buckets differ in weight by orders of magnitude; vectors are learnt in units between that weight and none.
-    spread = np.sqrt(pieces.squared().times(texts_of.squared().times(np.ones((1, len(bags))), back=True), back=True) / len(bags))
+    spread = np.sqrt(pieces.squared().times(texts_of.squared().times(np.ones((1, len(texts))), back=True), back=True) / len(texts))
     unit = np.sqrt(spread)
     rng = np.random.default_rng(SEED)
     held = {
