@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import policy
 from ..operators import checks, classify, decisions as dec, directory as dr, evidence as ev, hygiene, ledger, ranking, reports, search, upsert as up, vouching
 from ..operators.spread import first_per_key, running, top_per_key
+from ..operators.store import Store
+from ..session import cut_lineage, shared_folder
 from . import world as w
 from .registry import query, stamp
 from .world import oracle
@@ -464,6 +468,61 @@ def edge_upsert(spark, d):
     return up.upsert_edges(w.edges(spark, d), _reread(spark, d), w.as_of()).select("edge_id", "status", "relation_hint")
 
 
+BUCKETS = 256
+BUCKET_SQL = f"CAST(('0x' || substr(md5(CAST({{key}} AS VARCHAR)), 1, 7)) AS BIGINT) % {BUCKETS}"
+SPANISH = "SELECT doc_id FROM documents WHERE lang = 'es'"
+
+
+def _spanish(spark, d):
+    return w.table(spark, d, "documents").filter("lang = 'es'").select(F.col("doc_id").alias("account_id"))
+
+
+def _with_rewritten(table, change):
+    """The table after a change, and whether each row stands in a file that the change wrote."""
+    files = lambda: table.spark.read.schema(f"{table.schema}, bucket int").parquet(table.folder).withColumn("file", F.col("_metadata.file_path"))
+    before = cut_lineage(files().select("file").distinct())
+    change()
+    known = before.withColumn("rewritten", F.lit(False))
+    return files().join(known, "file", "left").withColumn("rewritten", F.coalesce("rewritten", F.lit(True)))
+
+
+@query("edge_buckets", oracle(REREAD.replace("claim = 'same_person'", f"claim = 'same_person' AND src IN ({SPANISH})") + f"""
+SELECT e.edge_id, CASE WHEN m.seq IS NOT NULL AND e.status <> 'dismissed' THEN 'present' ELSE e.status END AS status,
+  CASE WHEN m.seq IS NOT NULL AND e.status <> 'dismissed' THEN 'reread' ELSE e.relation_hint END AS relation_hint,
+  {BUCKET_SQL.format(key='e.src')} IN (SELECT {BUCKET_SQL.format(key='src')} FROM made) AS rewritten
+FROM edges e LEFT JOIN made m USING (src, tgt, evidence_type)"""))
+def edge_buckets(spark, d):
+    """Edges of the accounts with Spanish texts read again and merged into the stored table."""
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", BUCKETS)
+    table = store.tables["edges"]
+    table.create(w.edges(spark, d))
+    made = _reread(spark, d).join(_spanish(spark, d).withColumnRenamed("account_id", "source_account_id"), "source_account_id", "left_semi")
+    rows = _with_rewritten(table, lambda: store.merge_edges(made, w.as_of()))
+    return rows.select("edge_id", "status", "relation_hint", "rewritten")
+
+
+@query("account_buckets", oracle(f"""
+, said AS (SELECT account_id FROM accounts WHERE account_id IN ({SPANISH}))
+SELECT account_id, CASE WHEN s.account_id IS NOT NULL AND status <> 'hidden' THEN 'active' ELSE status END AS status,
+  coalesce(native_id, CASE WHEN s.account_id IS NOT NULL THEN CAST(account_id + 100000 AS VARCHAR) END) AS native_id, handle,
+  {BUCKET_SQL.format(key='account_id')} IN (SELECT {BUCKET_SQL.format(key='account_id')} FROM said) AS rewritten
+FROM accounts LEFT JOIN said s USING (account_id)"""))
+def account_buckets(spark, d):
+    """Accounts with Spanish texts are named again by native id; the others' files stay."""
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", BUCKETS)
+    table, accounts = store.tables["accounts"], w.accounts(spark, d)
+    table.create(accounts)
+    none = F.lit(None)
+    refs = accounts.join(_spanish(spark, d), "account_id", "left_semi").select(
+        F.col("account_id").alias("seq"), "platform", (F.col("account_id") + 100000).cast("string").alias("native_id"), "handle",
+        none.cast("string").alias("display_name"), none.cast("string").alias("profile_url"), F.lit("active").alias("status"),
+        none.cast("bigint").alias("followers_count"), none.cast("timestamp").alias("last_post_at"), F.lit("bio_link").alias("discovered_via"),
+        none.cast("map<string,string>").alias("discovery_details"), F.lit(False).alias("hydrated"),
+    )
+    rows = _with_rewritten(table, lambda: store.merge_accounts(refs, w.as_of()))
+    return rows.select("account_id", "status", "native_id", "handle", "rewritten")
+
+
 @query("retract_missing", oracle(REREAD + """
 SELECT edge_id FROM edges e WHERE status = 'present' AND evidence_type = 'bio_link' AND src IN (SELECT doc_id FROM documents) AND NOT EXISTS (SELECT 1 FROM made m WHERE m.src = e.src AND m.tgt = e.tgt AND m.evidence_type = e.evidence_type)"""))
 def retract_missing(spark, d):

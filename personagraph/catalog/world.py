@@ -336,11 +336,13 @@ def reviews(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def usage(spark: SparkSession, d: str) -> DataFrame:
+def bookings(spark: SparkSession, d: str) -> DataFrame:
+    """Usage with the id of each booking."""
     events = table(spark, d, "events")
     kind = F.col("event_type")
     return _shape(
         events.select(
+            F.col("event_id").alias("booking_id"),
             F.when(kind.isin("purchase", "view"), "x_api").otherwise("graphtreon").alias("service"),
             kind.alias("endpoint"),
             F.floor("value").alias("units"),
@@ -348,10 +350,14 @@ def usage(spark: SparkSession, d: str) -> DataFrame:
             F.date_trunc("hour", "ts").alias("occurred_at"),
             F.when(kind == "purchase", "tag flush").alias("note"),
         ),
-        API_USAGE,
+        f"booking_id bigint, {API_USAGE}",
     )
 
 
+def usage(spark: SparkSession, d: str) -> DataFrame:
+    return bookings(spark, d).drop("booking_id")
+
+
 def state(spark: SparkSession, d: str) -> State:
     return State(
         accounts=accounts(spark, d),

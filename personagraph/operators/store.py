@@ -62,8 +62,10 @@ class Buckets:
         """Store ``rows``: all rows of the buckets ``among``, and new rows of any others. No bucket gets empty."""
         placed = cut_lineage(up.align(rows, self.empty()).withColumn(BUCKET, bucket_of(self.key, self.buckets)))
         mine = F.col(BUCKET).isin(among)
-        self._write(placed.filter(mine), "overwrite")
-        self._write(placed.filter(~mine), "append")
+        if among:
+            self._write(placed.filter(mine), "overwrite")
+        if not placed.filter(~mine).isEmpty():
+            self._write(placed.filter(~mine), "append")
 
 
 class Store:
@@ -110,19 +112,17 @@ class Store:
         among = table.touched(changes.select("account_id"))
         table.put(change(table.read(among)), among)
 
-    def merge_edges(self, produced: DataFrame, as_of: Column) -> None:
+    def merge_edges(self, produced: DataFrame, as_of: Column, scanned: DataFrame | None = None) -> None:
+        """Refresh or add the produced edges; with ``scanned`` also retract present links and mentions of these accounts
+        that were not produced again (U07)."""
         table = self.tables["edges"]
-        among = table.touched(produced.select("source_account_id"))
-        table.put(up.upsert_edges(table.read(among), produced, as_of, ids=table.read().select("edge_id")), among)
-
-    def retract_edges(self, produced: DataFrame, scanned: DataFrame, kinds: list[str], keep: Column | None = None) -> DataFrame:
-        """Retract present edges of re-read sources that were not produced again; returns their ids."""
-        table = self.tables["edges"]
-        among = table.touched(scanned.select("account_id"))
-        edges, gone = up.retract_missing(table.read(among), produced, scanned, kinds, keep)
-        gone = cut_lineage(gone)
+        sources = produced.select(F.col("source_account_id").alias("account_id"))
+        among = table.touched(sources if scanned is None else sources.unionByName(scanned.select("account_id")))
+        edges = up.upsert_edges(table.read(among), produced, as_of, ids=table.read().select("edge_id"))
+        if scanned is not None:
+            edges, _ = up.retract_missing(edges, produced, scanned, ["bio_link"], keep=up.short_link_evidence())
+            edges, _ = up.retract_missing(edges, produced, scanned, ["bio_mention"])
         table.put(edges, among)
-        return gone
 
     def merge_signals(self, name: str, produced: DataFrame, scanned: DataFrame, signals: list[str], as_of: Column) -> None:
         """Signals that a re-read text yields are active (U03); those of ``signals`` that it does not yield are not (U05)."""

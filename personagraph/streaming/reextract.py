@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import policy
-from ..operators import upsert as up
 from ..operators.evidence import latest_snapshots
 from ..operators.store import Store
 from ..plans import reextract as re
@@ -57,9 +56,7 @@ def _change(store: Store, snapshots: DataFrame, now: Column) -> None:
     read = cut_lineage(re.read_signals(re.readable(store.accounts, snapshots)))
     resolved = store.merge_accounts(re.as_account_refs(re.all_references(read)), now)
     made = cut_lineage(re.produced_edges(resolved))
-    store.merge_edges(made, now)
-    store.retract_edges(made, read, ["bio_link"], keep=up.short_link_evidence())
-    store.retract_edges(made, read, ["bio_mention"])
+    store.merge_edges(made, now, scanned=read)
     store.merge_signals("attestations", re.statements_of(read), read, policy.REEXTRACTABLE_ATTESTATIONS, now)
     store.merge_signals("flags", re.markers_of(read), read, policy.REEXTRACTABLE_FLAGS, now)
     store.change_accounts(read, lambda accounts: re.with_contact(accounts, read))

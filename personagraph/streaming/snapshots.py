@@ -1,16 +1,12 @@
-"""Snapshots as a stream: the re-read job for what newly arrives."""
+"""Snapshots as a stream, and how a stream is run over what is there."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import text as T
-from ..functions.links import explode_links, with_links
-from ..operators import evidence as ev
 from ..schemas import SNAPSHOTS
 
 
@@ -22,31 +18,6 @@ def snapshot_stream(spark: SparkSession, folder: str, files_per_trigger: int | N
     return reader.parquet(folder)
 
 
-def without_repeats(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Drop observations that were delivered twice within the delay."""
-    return stream.withWatermark("captured_at", delay).dropDuplicatesWithinWatermark(["snapshot_id"])
-
-
-def extracted(snapshots: DataFrame) -> DataFrame:
-    """All signals of a snapshot in one row; the same expressions as the batch job."""
-    bio = F.coalesce("bio_text", F.lit(""))
-    read = snapshots.select(
-        "account_id",
-        "snapshot_id",
-        "captured_at",
-        bio.alias("bio"),
-        T.email(bio).alias("email"),
-        T.commission_status(bio).alias("commission"),
-        T.attestations(bio).alias("attestations"),
-        T.adult_markers(bio).alias("flags"),
-    )
-    return with_links(read, "bio").drop("bio")
-
-
-def extracted_links(snapshots: DataFrame) -> DataFrame:
-    return explode_links(extracted(snapshots).select("account_id", "snapshot_id", "links"))
-
-
 def run_available(
     stream: DataFrame, checkpoint: str, apply: Callable[[DataFrame, int], None]
 ) -> StreamingQuery:
@@ -59,25 +30,3 @@ def run_available(
     )
     query.awaitTermination()
     return query
-
-
-def keep_latest(folder: str) -> Callable[[DataFrame, int], None]:
-    """A batch step that keeps the newest snapshot per account, whatever the order of arrival.
-
-    Every batch writes a new version folder from the one before, so a batch that is run again after a
-    failure writes the same version again.
-    """
-
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        newest = ev.latest_snapshots(batch)
-        if number > 0:
-            before = spark.read.schema(SNAPSHOTS).parquet(f"{folder}/v{number - 1}")
-            newest = ev.latest_snapshots(before.unionByName(newest))
-        newest.write.mode("overwrite").parquet(f"{folder}/v{number}")
-
-    return apply
-
-
-def latest_version(spark: SparkSession, folder: str, query: StreamingQuery) -> DataFrame:
-    return spark.read.schema(SNAPSHOTS).parquet(f"{folder}/v{query.lastProgress['batchId']}")

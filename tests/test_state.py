@@ -1,17 +1,16 @@
 """State changes: identity, upserts, decisions, the re-read job, streams."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from personagraph.operators import checks, decisions, ledger, reports, upsert as up
 from personagraph.plans.reextract import reextract
-from personagraph.schemas import API_USAGE, SNAPSHOTS
+from personagraph.schemas import SNAPSHOTS
 from personagraph.sources import common as c
 from personagraph.sources import hubs
-from personagraph.streaming import snapshots as st
-from personagraph.streaming import spend
+from personagraph.streaming import dormancy, snapshots as st, spend
 
 from .test_graph import NOW, account, artist, as_of, build, edge, homes, member, rows
 
@@ -182,32 +181,42 @@ def test_payload_helpers(spark):
     assert [r.key for r in c.gone(landed, "s").collect()] == ["b"]
 
 
-def test_snapshot_stream_equals_batch(spark, tmp_path):
-    data = [
-        (n, n % 5, datetime(2025, 1, 1 + (n * 7) % 28), f"bio {n}", None, None, None, "{}", "x:a") for n in range(40)
-    ]
+def test_newest_snapshots_as_keyed_state(spark, tmp_path):
+    """Out of order, repeated, and an account that falls dormant and wakes up."""
+    data = [(n, n % 5, datetime(2025, 1, 1 + (n * 7) % 10), f"bio {n}", None, None, None, "{}", "x:a") for n in range(40)]
+    data += [(100, 2, datetime(2025, 2, 20), "back", None, None, None, "{}", "x:a"), (101, 9, datetime(2025, 3, 30), "", None, None, None, "{}", "x:a")]
     df = spark.createDataFrame(data, SNAPSHOTS)
-    for part in range(4):
-        df.filter(F.col("snapshot_id") % 4 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    first = F.col("snapshot_id") < 40
+    for part in (first & (F.col("snapshot_id") % 2 == 1), first, F.col("snapshot_id") == 100, F.col("snapshot_id") == 101):
+        df.filter(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = st.snapshot_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
-    run = st.run_available(stream, str(tmp_path / "ckpt"), st.keep_latest(str(tmp_path / "out")))
-    last = max(p["batchId"] for p in run.recentProgress if p["numInputRows"] > 0)
-    got = spark.read.schema(SNAPSHOTS).parquet(str(tmp_path / "out" / f"v{last}"))
+    dormancy.run_available(spark, dormancy.newest_changes(stream, "10 days", timedelta(days=30)), str(tmp_path / "out"))
+    changes = spark.read.schema(dormancy.CHANGES).parquet(str(tmp_path / "out" / "rows"))
+    got = dormancy.standing(changes).collect()
     from personagraph.operators.evidence import latest_snapshots
 
-    assert sorted(r.snapshot_id for r in got.collect()) == sorted(r.snapshot_id for r in latest_snapshots(df).collect())
+    assert sorted((r.account_id, r.snapshot_id) for r in got) == sorted((r.account_id, r.snapshot_id) for r in latest_snapshots(df).collect())
+    assert {r.account_id for r in got if r.dormant} == {0, 1, 3, 4}
+    told = [r for r in changes.collect() if r.account_id == 2]
+    assert [r.dormant for r in sorted(told, key=lambda r: r.version)][-1] is False
 
 
 def test_spend_stream(spark, tmp_path):
-    usage = spark.createDataFrame(
-        [("x_api", "u", 1, 100, datetime(2025, 1, 1, 3, 10), None), ("x_api", "u", 1, 50, datetime(2025, 1, 1, 3, 50), None),
-         ("x_api", "u", 1, 7, datetime(2025, 1, 3, 3, 50), None)], API_USAGE)
-    usage.coalesce(1).write.parquet(str(tmp_path / "in"))
-    windows = spend.spend_per_window(spend.usage_stream(spark, str(tmp_path / "in")))
-    query = windows.writeStream.format("memory").queryName("spend").outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert sorted(r.cents for r in spark.table("spend").collect()) == [7, 150]
-    assert [r.cents for r in spend.over_cap(spark.table("spend"), 100).collect()] == [150]
+    def land(*rows):
+        spark.createDataFrame(rows, spend.BOOKINGS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def booked(k, cents, *at):
+        return k, "x_api", "u", 1, cents, datetime(2025, 1, *at), None
+
+    land(booked(1, 100, 1, 3, 10), booked(2, 50, 1, 3, 50), booked(2, 50, 1, 3, 50))
+    land(booked(1, 100, 1, 3, 10), booked(3, 9, 1, 3, 20), booked(4, 1, 1, 9, 0))  # one again, one late but in time
+    land(booked(7, 4, 1, 9, 30))
+    land(booked(5, 1000, 1, 3, 30), booked(6, 7, 3, 3, 50))  # too late by the watermark of the batch before
+    windows = spend.spend_per_window(spend.usage_stream(spark, str(tmp_path / "in"), 1))
+    spend.run_available(windows, str(tmp_path / "out"))
+    told = spark.read.parquet(str(tmp_path / "out" / "rows"))
+    assert sorted(r.cents for r in told.collect()) == [5, 159]  # the last window is still open
+    assert [r.cents for r in spend.over_cap(told, 100).collect()] == [159]
 
 
 @pytest.mark.parametrize(

@@ -103,13 +103,14 @@ def test_stream_with_replayed_and_broken_batches_equals_the_batch_job(spark, tmp
     rows = snapshots(spark)
     for part in range(3):
         rows.filter(F.col("snapshot_id") % 3 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    store = s.Store(spark, str(tmp_path / "store"), buckets=8).create(build(spark, accounts=accounts))
+    store = s.Store(spark, str(tmp_path / "store"), buckets=4).create(build(spark, accounts=accounts))
     fold = stream_re.fold_batch(store, "profiles")
 
     def twice(batch, number):
-        with monkeypatch.context() as m:  # everything is done but not booked, as if the driver had gone
-            m.setattr(stream_re, "book", lambda *a: None)
-            fold(batch, number)
+        if number == 1:
+            with monkeypatch.context() as m:  # everything is done but not booked, as if the driver had gone
+                m.setattr(stream_re, "book", lambda *a: None)
+                fold(batch, number)
         fold(batch, number)
         files_now = files(tmp_path / "store")
         fold(batch, number)  # booked: nothing is written
