@@ -180,9 +180,9 @@ hits AS (
   SELECT doc_id, text, item, word, item_word, d.w AS dw, i.w AS iw
   FROM (SELECT DISTINCT * FROM ({seeds})) JOIN docs d USING (row) JOIN items i USING (item)),
 windows AS (
-  SELECT doc_id, text, item, word, item_word, s, len(list_filter(range({size}), lambda j: word + s + j >= 0
-    AND coalesce(dw[word + s + j + 1] = iw[item_word + s + j + 1], FALSE))) AS equal
-  FROM hits, unnest(range(-{flank}, 1)) AS u(s) WHERE item_word + s >= 0 AND item_word + s + {size} <= len(iw)),
+  SELECT doc_id, text, item, word, item_word, s, len(list_filter(range({size}), lambda j:
+    coalesce(dw[word + s + j + 1] = iw[item_word + s + j + 1], FALSE))) AS equal
+  FROM hits, unnest(range(-{flank}, 1)) AS u(s) WHERE item_word + s >= 0 AND item_word + s + {size} <= len(iw) AND word + s >= 0 AND word + s + {size} <= len(dw)),
 best AS (
   SELECT doc_id, text, item, word, item_word, max(struct_pack(equal := equal, s := s)) AS b FROM windows GROUP BY ALL),
 found AS (

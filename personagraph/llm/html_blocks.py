@@ -55,14 +55,15 @@ CLOSED_BY = {
     "th": frozenset({"td", "th", "tr"}),
     "head": frozenset({"body"}),
 }
+#: The same the other way round: what the opening of a tag ends.
+CLOSES = {tag: tuple(k for k, ends in CLOSED_BY.items() if tag in ends) for tag in set().union(*CLOSED_BY.values())}
 #: An implied end does not reach beyond these.
 SCOPES = frozenset("article aside body div footer form header html main nav ol section table td th ul".split())
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
     r"|<(script|style|noscript|template|iframe|textarea)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?)*+)(?:>|\Z)"  # a quote opens a value after = alone
     r"|</[^>]*(?:>|\Z)",
     re.S | re.I,
 )
@@ -72,17 +73,96 @@ NAMES = re.compile(r"""\b(?:class|id|role|itemprop|hidden)\s*=\s*(?:"([^"]*)"|'(
 NAME_WORD = re.compile(r"[a-z]+")
 
 
+class Level:
+    """An open tag: what holds below it is worked out once from the level above, however deep the page is nested."""
+
+    __slots__ = ("above", "items", "length", "linked", "tag", "unseen", "_vector")
+
+    def __init__(self, above: "Level | None", tag: str, names: tuple[str, ...]):
+        self.above, self.tag = above, tag
+        self.items = () if tag == "a" else (tag, *names)
+        self.length = len(self.items) + (above.length if above else 0)
+        self.linked = tag == "a" or (above is not None and above.linked)
+        self.unseen = tag in UNSEEN or (tag not in SEEN and above is not None and above.unseen)
+        self._vector: np.ndarray | None = None
+
+    def vector(self) -> np.ndarray:
+        """The hashed path, from that of the nearest level above that has one."""
+        todo, level = [], self
+        while level is not None and level._vector is None:
+            todo.append(level)
+            level = level.above
+        held = np.zeros(PATH_DIMS, np.float32) if level is None else level._vector
+        for level in reversed(todo):
+            if level.items:
+                held = held.copy()
+                for x in level.items:
+                    h = crc32(x.encode())
+                    held[h % PATH_DIMS] += 1.0 if h & 0x10000 else -1.0
+            level._vector = held
+        return held
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    level: Level | None
     text: str
     link_share: float
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        out, level = [], self.level
+        while level is not None:
+            out.append(level.items)
+            level = level.above
+        return tuple(x for items in reversed(out) for x in items)
+
+
+def level_of(path: tuple[str, ...]) -> Level | None:
+    """A level whose path is ``path``."""
+    return Level(None, path[0], path[1:]) if path else None
+
+
+class Open:
+    """The open tags of a page. Every question about them costs the same at any depth."""
+
+    def __init__(self):
+        self.levels: list[Level] = []
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+
+    @property
+    def last(self) -> Level | None:
+        return self.levels[-1] if self.levels else None
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        self.places.setdefault(tag, []).append(len(self.levels))
+        if tag in SCOPES:
+            self.scopes.append(len(self.levels))
+        self.levels.append(Level(self.last, tag, names))
+
+    def cut(self, place: int) -> None:
+        """End the tag at ``place`` and all within it."""
+        while len(self.levels) > place:
+            tag = self.levels.pop().tag
+            self.places[tag].pop()
+            if tag in SCOPES:
+                self.scopes.pop()
+
+    def end(self, tags: tuple[str, ...], beyond_scopes: bool) -> None:
+        """End the innermost tag of ``tags``, unless it stands outside of the innermost scope."""
+        place = max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+        if place >= 0 and (beyond_scopes or not self.scopes or place >= self.scopes[-1]):
+            self.cut(place)
+
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order: text between block-level tags, decoded, white space folded, never empty."""
+    """Leaf blocks in page order: text between block-level tags, decoded, white space folded, never empty.
+
+    Pages nested to any depth, and tags that are never closed, cost their length.
+    """
     found: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = Open()
     parts: list[str] = []
     linked = 0
 
@@ -92,29 +172,25 @@ def blocks(page: str) -> list[Block]:
             raw = "".join(parts)
             text = " ".join(html.unescape(raw).split())
             if text:
-                path = tuple(x for tag, names in stack for x in (tag, *names) if tag != "a")
-                found.append(Block(path, text, min(1.0, linked / max(1, len(raw)))))
+                found.append(Block(stack.last, text, min(1.0, linked / max(1, len(raw)))))
             parts.clear()
             linked = 0
 
     def unseen() -> bool:
-        for tag, _ in reversed(stack):
-            if tag in UNSEEN or tag in SEEN:
-                return tag in UNSEEN
-        return False
+        return stack.last is not None and stack.last.unseen
 
     def take(piece: str) -> None:
         nonlocal linked
         if piece and not unseen():
             parts.append(piece)
-            if any(tag == "a" for tag, _ in stack):
+            if stack.last is not None and stack.last.linked:
                 linked += len(piece)
 
     at = 0
     for m in MARKUP.finditer(page):
         take(page[at : m.start()])
         at = m.end()
-        closing, tag, rest = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
+        closing, tag, rest = m[2], m[3], m[4]
         if not tag:
             continue
         tag = tag.lower()
@@ -123,27 +199,17 @@ def blocks(page: str) -> list[Block]:
                 continue
             # A block ends a drawing that was left open.
             while unseen():
-                stack.pop()
+                stack.cut(len(stack.levels) - 1)
         if tag in BLOCK_TAGS:
             flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if stack[k][0] in SCOPES and tag not in SCOPES:
-                    break
+            stack.end((tag,), beyond_scopes=tag in SCOPES)
             continue
-        if tag in BLOCK_TAGS:
-            for k in range(len(stack) - 1, -1, -1):
-                if tag in CLOSED_BY.get(stack[k][0], ()):
-                    del stack[k:]
-                    break
-                if stack[k][0] in SCOPES:
-                    break
+        if tag in CLOSES:
+            stack.end(CLOSES[tag], beyond_scopes=False)
         if tag not in VOID_TAGS and not rest.endswith("/"):
             names = tuple(w for g in NAMES.findall(rest) for w in NAME_WORD.findall("".join(g).lower())) if "=" in rest else ()
-            stack.append((tag, names))
+            stack.push(tag, names)
     take(page[at:])
     flush()
     return found
@@ -153,13 +219,7 @@ def vectors(found: list[Block]) -> np.ndarray:
     """One row per block: tag path, words, ratios. ``found`` may be several pages; the place in the page is left at 0."""
     if not found:
         return np.zeros((0, DIMS), np.float32)
-    paths: dict[tuple[str, ...], np.ndarray] = {}
-    for b in found:
-        if b.path not in paths:
-            path = paths[b.path] = np.zeros(PATH_DIMS, np.float32)
-            for x in b.path:
-                h = crc32(x.encode())
-                path[h % PATH_DIMS] += 1.0 if h & 0x10000 else -1.0
+    nowhere = np.zeros(PATH_DIMS, np.float32)
     tokens = [b.text.encode().split() for b in found]
     counts = np.array([len(t) for t in tokens])
     hashes = np.fromiter(map(crc32, chain.from_iterable(tokens)), np.uint32, counts.sum())
@@ -175,11 +235,11 @@ def vectors(found: list[Block]) -> np.ndarray:
         ends / np.maximum(counts, 1),
         marks / np.maximum(counts, 1),
         [float(b.text[-1] in ".!?:") for b in found],
-        [len(b.path) / 8 for b in found],
+        [(b.level.length if b.level else 0) / 8 for b in found],
     ]
     return np.concatenate(
         [
-            np.array([paths[b.path] for b in found]),
+            np.array([b.level.vector() if b.level else nowhere for b in found]),
             sums.reshape(len(found), WORD_DIMS) / np.sqrt(np.maximum(counts, 1))[:, None],
             np.array(ratios).T,
             np.zeros((len(found), 1)),
@@ -351,7 +411,7 @@ def rewritten(found: list[Block], labels: list[int], others: list[Block], rng: R
                 out.append(x)
         return tuple(out)
 
-    page = [(Block(path(b), b.text, b.link_share), y) for b, y in zip(found, labels)]
+    page = [(Block(level_of(path(b)), b.text, b.link_share), y) for b, y in zip(found, labels)]
     first = next((k for k, (_, y) in enumerate(page) if y), 0)
     last = max((k for k, (_, y) in enumerate(page) if y), default=-1) + 1
     before: list[tuple[Block, int]] = []
@@ -367,7 +427,7 @@ def rewritten(found: list[Block], labels: list[int], others: list[Block], rng: R
                 size = rng.randint(8, 60) if kind == "comments" else rng.randint(1, 14)
                 text = " ".join(tokens[start : start + size])
                 leaf = rng.choice([("p",), ("div",), ("li",), ()])
-                extra.append((Block((*base, *leaf), text, float(rng.random() < 0.4 and kind != "comments")), 0))
+                extra.append((Block(level_of((*base, *leaf)), text, float(rng.random() < 0.4 and kind != "comments")), 0))
             (before if side == "before" or side == "either" and rng.random() < 0.5 else after).extend(extra)
     middle = page[first:last]
     if middle and rng.random() < 0.4:
@@ -376,7 +436,7 @@ def rewritten(found: list[Block], labels: list[int], others: list[Block], rng: R
             tokens = rng.choice(others).text.split()
             start = rng.randrange(len(tokens))
             base = (*holder[: max(1, len(holder) - 1)], rng.choice(["div", "aside", "section"]), *rng.choice(INSIDE_ALIASES).split())
-            extra = Block((*base, *rng.choice([("p",), ()])), " ".join(tokens[start : start + rng.randint(2, 20)]), float(rng.random() < 0.3))
+            extra = Block(level_of((*base, *rng.choice([("p",), ()]))), " ".join(tokens[start : start + rng.randint(2, 20)]), float(rng.random() < 0.3))
             middle.insert(rng.randint(1, len(middle)), (extra, 0))
     page = page[:first] + before + middle + after + page[last:]
     return [b for b, _ in page], [y for _, y in page]

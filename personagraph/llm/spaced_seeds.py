@@ -70,11 +70,12 @@ def _hits(texts: DataFrame, items: DataFrame, masks: tuple[tuple[int, ...], ...]
         .select("doc_id", "text_hash", "words", "word", F.explode(F.concat(*[F.coalesce(F.col(f"{n}_at"), none) for n in names])).alias("p"))
     )
     same = {k: F.coalesce((F.get("words", F.when(F.col("word") + k >= 0, F.col("word") + k)) == F.get("p.around", F.lit(k + flank))).cast("int"), F.lit(0)) for k in range(-flank, size)}
-    # Equal words in each window that holds the hit; a window must lie in the item.
+    # Equal words in each window that holds the hit; a window must lie in the item and in the text.
     windows = F.array(
         *[
             F.when(
-                (F.col("p.word") + s >= 0) & (F.col("p.word") + s + size <= F.col("p.size")),
+                (F.col("p.word") + s >= 0) & (F.col("p.word") + s + size <= F.col("p.size"))
+                & (F.col("word") + s >= 0) & (F.col("word") + s + size <= F.size("words")),
                 F.struct(sum((same[k] for k in range(s, s + size)), F.lit(0)).alias("equal"), F.lit(s).alias("shift")),
             )
             for s in range(-flank, 1)

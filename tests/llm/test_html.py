@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -98,3 +99,35 @@ def test_extract(spark, model):
     assert sorted(str(tuple(r)[:3]) for r in got) == sorted(map(str, want))
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert H.extract(df.limit(0)).collect() == []
+
+
+def test_comments_and_quotes_end_as_in_browsers():
+    texts = lambda page: [b.text for b in H.blocks(page)]
+    assert texts("<!--><article>body</article>") == ["body"]
+    assert texts("<!---><p>body</p>") == ["body"]
+    assert texts("<!-- a > b --><p>body</p><!-- x --!><p>more</p><!-- open <p>none") == ["body", "more"]
+    assert texts('<p>a</p><a title="5" tall">text A</a><p>mid</p><a title="6" tall">text B</a>') == ["a", "text A", "mid", "text B"]
+    assert texts("<p title=don't>hello</p><p title=can't>world</p>") == ["hello", "world"]
+    assert texts("<p title = 'a > b' x=\"c > d\">in</p><p data-x=>out</p><p a='never closed>lost") == ["in", "out", "lost"]
+
+
+@pytest.mark.parametrize(
+    "piece", ["<div>x", "<b>x</i>", "<p><b>", "<i><div><b></i>", "<hr><b>x", '<a title="', "<svg><div>x", "<li><b>x", "<!--", "<p a=\"'"]
+)
+def test_deep_and_open_pages_cost_their_length(piece):
+    def seconds(n):
+        started = time.process_time()
+        H.vectors(H.blocks(piece * n))
+        return time.process_time() - started
+
+    seconds(2000)
+    few, many = (min(seconds(n) for _ in range(3)) for n in (4000, 32000))
+    assert many < 40 * few + 0.2
+
+
+def test_paths_of_deep_levels():
+    found = H.blocks("<main class='story x1'><b><div id=a><a href=z><p>one</p></a></div><p>two")
+    assert [b.path for b in found] == [("main", "story", "x", "b", "div", "a", "p"), ("main", "story", "x", "b", "p")]
+    assert [b.link_share for b in found] == [1.0, 0.0]
+    again = [H.Block(H.level_of(b.path), b.text, b.link_share) for b in found]
+    assert (H.vectors(found) == H.vectors(again)).all()

@@ -71,3 +71,12 @@ def test_empty_tables(spark):
 def test_native_plan(spark):
     plan = S.leaks(fixtures.docs(spark), items(spark, ["some words of an item"]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_windows_lie_in_the_text(spark):
+    item = " ".join("abcdefghijklmnop")
+    texts = [item[10:], item[:22], item[4:], f"x y {item[6:]}", "q " + item[2:26] + " z", item]
+    data = [(k, t, "", "", 0) for k, t in enumerate(texts)]
+    got = {r["doc_id"]: (r["first_word"], r["last_word"]) for r in S.leaks(fixtures.docs(spark, data), items(spark, [item])).collect()}
+    assert set(got) == {k for k, t in enumerate(texts) if overlap(t.split(), item.split())} == {2, 3, 4, 5}
+    assert all(0 <= a and b < len(texts[k].split()) and b - a >= 12 for k, (a, b) in got.items())
