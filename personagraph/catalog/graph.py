@@ -10,7 +10,7 @@ from ..operators import anomalies, checks, clustering, evidence as ev, reports,
 from ..operators.components import components, mutual_pairs, resolve_chains
 from ..session import cut_lineage
 from . import world as w
-from .registry import query, stamp
+from .registry import NORMAL_SQL, query, similarity_sql, stamp
 from .world import oracle
 
 
@@ -458,7 +458,15 @@ def connections(spark, d):
     return rows.select("artist_id", "other_id", "edge_id", "claim", "relation_hint", "other_artist")
 
 
-@query("tiered_connections")
+@query("tiered_connections", oracle(CONNECTED + f"""
+, names AS (SELECT DISTINCT account_id, n AS name FROM (SELECT account_id, unnest([{NORMAL_SQL.format("handle")}, {NORMAL_SQL.format("display_name")}]) AS n FROM accounts) WHERE n <> ''),
+met AS (
+  SELECT DISTINCT c.artist_id, c.other_id, o.name AS a, m.name AS b FROM conn c JOIN names o ON o.account_id = c.other_id
+  JOIN memberships h ON h.artist_id = c.artist_id JOIN names m ON m.account_id = h.account_id),{similarity_sql("met")},
+best AS (SELECT artist_id, other_id, max(score) AS score FROM met JOIN scored USING (a, b) GROUP BY ALL)
+SELECT c.artist_id, c.other_id, round(coalesce(score, 0), 4) AS name_score, CASE WHEN coalesce(score, 0) >= {policy.NAME_MATCH_MIN} THEN 0 WHEN c.claim = 'same_person' THEN 1
+  WHEN coalesce(c.relation_hint, '') NOT IN ('same_platform_mention', 'hub_credits', 'website') THEN 2 ELSE 3 END AS tier
+FROM conn c LEFT JOIN best USING (artist_id, other_id)"""))
 def tiered_connections(spark, d):
     rows = reports.tiered_connections(w.state(spark, d))
     return rows.select("artist_id", "other_id", F.round("name_score", 4).alias("name_score"), "tier")

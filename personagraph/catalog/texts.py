@@ -10,7 +10,7 @@ from ..functions import html as H, links as L, patterns as P, scalars as S, simi
 from ..operators import classify, upsert as up
 from ..sources import hubs
 from . import world as w
-from .registry import query
+from .registry import NORMAL_SQL, query, similarity_sql
 from .world import oracle
 
 
@@ -216,7 +216,11 @@ def name_norm(spark, d):
     return w.table(spark, d, "part").select("p_partkey", S.normal_name(name).alias("name"))
 
 
-@query("name_similarity")
+@query("name_similarity", f"""
+WITH RECURSIVE named AS (SELECT p_partkey, {NORMAL_SQL.format("p_name")} AS a, {NORMAL_SQL.format("p_type || p_name")} AS b, {NORMAL_SQL.format("p_brand")} AS c FROM part),
+both_pairs AS (SELECT a, b FROM named UNION SELECT a, c FROM named),{similarity_sql("both_pairs")}
+SELECT p_partkey, coalesce(x.score, 0) AS own, round(coalesce(y.score, 0), 4) AS brand
+FROM named n LEFT JOIN scored x ON x.a = n.a AND x.b = n.b LEFT JOIN scored y ON y.a = n.a AND y.b = n.c""")
 def name_similarity(spark, d):
     """Part name against its brand and type, every part."""
     pairs = w.table(spark, d, "part").select(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .text import all_matches, explode_rows, tokens_with
+from .text import all_matches, explode_rows, tokens_with, words_with
 
 LINK = "struct<platform:string,handle:string,native_id:string,url:string>"
 LINKS = f"array<{LINK}>"
@@ -30,22 +30,32 @@ def _sql_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _matches_of(text: str, low: str, platform: str, field: str, literal: str, pattern: str) -> str:
-    """SQL for all links of one pattern; the literal test spares texts that cannot match from the regex.
+def _platform_specs() -> str:
+    """SQL for the platforms' patterns as one constant array, in the order of their priority."""
+    rows = [
+        f"named_struct('platform', '{platform}', 'field', '{field}', 'literal', {_sql_text(literal)}, 'pattern', "
+        + _sql_text(f"{pattern}((?:{P.ELLIPSIS})?)") + ")"
+        for platform, field, literal, pattern in P.PLATFORM_LINKS
+    ]
+    return f"array({', '.join(rows)})"
+
+
+def _dispatched(words: str, low: str) -> str:
+    """SQL for all platform links of a text's words: the hosts in them choose the patterns, and a pattern is tried on
+    the words with its host alone.
 
     A match that runs into an ellipsis was cut off by the platform and is dropped.
     """
-    cut = _sql_text(f"{pattern}((?:{P.ELLIPSIS})?)")
-    groups = [f"regexp_extract_all({text}, {cut}, {n})" for n in range(3)]
-    value = {"handle": "null", "native_id": "null", field: "m.value"}
-    return f"""
-      CASE WHEN contains({low}, {_sql_text(literal)}) THEN transform(
-        filter(zip_with({groups[0]}, arrays_zip({groups[1]}, {groups[2]}),
-          (url, g) -> named_struct('url', url, 'value', g['0'], 'cut', g['1'])), m -> m.cut = ''),
-        m -> named_struct('platform', '{platform}', 'handle', cast({value['handle']} AS string),
-          'native_id', cast({value['native_id']} AS string),
-          'url', if(startswith(m.url, 'http'), m.url, concat('https://', ltrim('/', m.url)))))
-      ELSE cast(array() AS {LINKS}) END"""
+    return f"""flatten(transform(
+      filter({_platform_specs()}, s -> contains({low}, s.literal)),
+      s -> flatten(transform(
+        filter({words}, w -> contains(lower(w), s.literal)),
+        w -> transform(
+          filter(zip_with(regexp_extract_all(w, s.pattern, 0), arrays_zip(regexp_extract_all(w, s.pattern, 1), regexp_extract_all(w, s.pattern, 2)),
+            (url, g) -> named_struct('url', url, 'value', g['0'], 'cut', g['1'])), m -> m.cut = ''),
+          m -> named_struct('platform', s.platform, 'handle', if(s.field = 'handle', m.value, null),
+            'native_id', if(s.field = 'native_id', m.value, null),
+            'url', if(startswith(m.url, 'http'), m.url, concat('https://', ltrim('/', m.url)))))))))"""
 
 
 def is_account_handle(platform: Column, handle: Column) -> Column:
@@ -87,15 +97,14 @@ def first_links(df: DataFrame, column: str) -> DataFrame:
 
 def with_platform_links(df: DataFrame, text: str, out: str = "platform_links") -> DataFrame:
     """Add the platform links of a text column as an array of structs."""
-    low = f"_{out}_low"
-    source = tokens_with(F.coalesce(F.col(text), F.lit("")), r"\.\p{L}")
-    parts = ", ".join(_matches_of(f"_{out}_text", low, *spec) for spec in P.PLATFORM_LINKS)
-    found = F.filter(F.expr(f"concat({parts})"), lambda l: is_account_handle(l["platform"], l["handle"]))
+    low, words = f"_{out}_low", f"_{out}_words"
+    source = words_with(F.coalesce(F.col(text), F.lit("")), r"\.\p{L}")
+    found = F.filter(F.expr(_dispatched(words, low)), lambda l: is_account_handle(l["platform"], l["handle"]))
     # Texts without any of the literals skip all patterns at once.
     literals = sorted({spec[2] for spec in P.PLATFORM_LINKS})
     maybe = F.col(low).rlike(_alternatives(literals))
-    tagged = df.withColumn(f"_{out}_text", source).withColumn(low, F.lower(f"_{out}_text"))
-    tagged = tagged.withColumn(out, F.when(maybe, found).otherwise(F.array().cast(LINKS))).drop(low, f"_{out}_text")
+    tagged = df.withColumn(words, source).withColumn(low, F.lower(F.array_join(words, " ")))
+    tagged = tagged.withColumn(out, F.when(maybe, found).otherwise(F.array().cast(LINKS))).drop(low, words)
     return first_links(tagged, out)
 
 

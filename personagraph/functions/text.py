@@ -26,14 +26,18 @@ def first_match(text: Column, pattern: str, group: int = 0) -> Column:
     return non_empty(F.regexp_extract(text, pattern, group))
 
 
-def tokens_with(text: Column, pattern: str) -> Column:
-    """The words of a text that hold ``pattern``, in order, one space between them.
+def words_with(text: Column, pattern: str) -> Column:
+    """The words of a text that hold ``pattern``, in order.
 
     Links and addresses never span white space, and their patterns look no further than the next
     character, so what these words hold is what the text holds; prose never reaches the patterns.
     """
-    words = F.filter(F.split(text, r"\s+", -1), lambda word: word.rlike(pattern))
-    return F.array_join(words, " ")
+    return F.filter(F.split(text, r"\s+", -1), lambda word: word.rlike(pattern))
+
+
+def tokens_with(text: Column, pattern: str) -> Column:
+    """The words of a text that hold ``pattern``, one space between them."""
+    return F.array_join(words_with(text, pattern), " ")
 
 
 def explode_rows(df: DataFrame, items: Column | str, out: str, position: str = "_pos") -> DataFrame:
