@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schemas import empty_state
+from ..operators import upsert as up
+from ..operators.counters import Counters
+from ..plans import hydrate
+from ..schemas import API_USAGE, STATE_SCHEMAS, empty_state
 from ..sources import artstation, bluesky, common as c, deviantart, misskey, patreon, pixiv, skeb, tumblr, twitter, vgen
 from . import world as w
 from .registry import query
@@ -73,6 +76,18 @@ def x_ingest(spark, d):
     )
 
 
+@query("ingest_counters", PEOPLE + """
+SELECT step, counter, value FROM (SELECT count(*) AS n FROM p), LATERAL (VALUES
+  ('profiles', 'rows', n), ('profiles', 'emails', n), ('profiles', 'commissions', n), ('profiles', 'statements', 0), ('profiles', 'markers', 0),
+  ('snapshots', 'rows', n), ('accounts', 'rows', 3 * n), ('accounts', 'hydrated', n), ('edges', 'rows', 2 * n), ('edges', 'present', 2 * n)) t(step, counter, value)""")
+def ingest_counters(spark, d):
+    """What a run that stored all profiles counted on the way."""
+    rows, links = twitter.normalize(x_users(spark, d))
+    counters = Counters("x_ingest")
+    c.ingest(empty_state(spark), rows, links, w.as_of(), counters)
+    return counters.table(spark).select("step", "counter", "value")
+
+
 @query("x_search_authors", """
 SELECT CAST(o_custkey AS VARCHAR) AS key, min(o_orderkey) AS first_order FROM orders GROUP BY 1""")
 def x_search_authors(spark, d):
@@ -266,6 +281,10 @@ def ranking_merge(spark, d):
 SELECT h AS key, CASE WHEN p_size > 25 THEN 'adult-drawing-painting' ELSE 'comics' END AS category, CAST(c_custkey + 1000 AS INT) AS rank, CAST(p_size * 1000 AS INT) AS paid_members, true AS tracked FROM p WHERE p_size <= 45
 UNION ALL SELECT h, NULL, NULL, NULL, false FROM p WHERE p_size > 45""")
 def creator_statistics(spark, d):
+    return patreon.page_stats(statistics_pages(spark, d))
+
+
+def statistics_pages(spark, d) -> DataFrame:
     rows = members(spark, d)
     name = F.when(F.col("p_size") > 25, "Adult Drawing &amp; Painting").otherwise("Comics")
     body = F.concat(
@@ -275,7 +294,70 @@ def creator_statistics(spark, d):
     # Ordinals directly follow the number.
     body = F.regexp_replace(body, "<i>([0-9,]+)th</i>", "$1th")
     code = F.when(F.col("p_size") > 45, 404).otherwise(200)
-    return patreon.page_stats(payload(rows, "graphtreon:creator", F.col("h"), body, code))
+    return payload(rows, "graphtreon:creator", F.col("h"), body, code)
+
+
+def handle_rows(spark, d, platform: str, prefix: str = "", **more: Column) -> DataFrame:
+    """Handle-only accounts of a platform, one per customer."""
+    rows = members(spark, d).select(
+        F.col("c_custkey").alias("account_id"), F.lit(platform).alias("platform"), (F.concat(F.lit(prefix), "key") if prefix else F.col("h")).alias("handle"),
+        F.lit("unknown").alias("status"), F.lit(7).cast("bigint").alias("followers_count"), *[v.alias(n) for n, v in more.items()],
+    )
+    return up.align(rows, spark.createDataFrame([], STATE_SCHEMAS["accounts"]))
+
+
+@query("creator_enriched", PEOPLE + """
+SELECT h AS handle, CASE WHEN p_size <= 45 AND c_mktsegment = 'BUILDING' THEN p_size * 1000 ELSE 7 END AS followers_count,
+  CASE WHEN c_mktsegment = 'BUILDING' THEN CASE WHEN p_size > 45 THEN 'false' ELSE 'true' END END AS tracked,
+  CASE WHEN p_size <= 45 AND c_mktsegment = 'BUILDING' THEN CAST(c_custkey + 1000 AS VARCHAR) END AS rank,
+  p_size > 25 AND p_size <= 45 AND c_mktsegment = 'BUILDING' AS adult FROM p""")
+def creator_enriched(spark, d):
+    """Statistics pages of the builders, written to the accounts, snapshots and flags of all."""
+    builders = w.table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey")
+    keys = members(spark, d).join(builders, "c_custkey", "left_semi").select(F.col("h").alias("key"))
+    state = empty_state(spark, accounts=handle_rows(spark, d, "patreon"))
+    done = patreon.enrich(state, statistics_pages(spark, d).join(keys, "key", "left_semi"), w.as_of())
+    proof = done.snapshots.filter("fetch_source = 'graphtreon:creator'").select(F.col("snapshot_id").alias("evidence_snapshot_id"), "account_id")
+    adult = done.flags.filter("active and matched_text = 'patreon:adult_category'").join(proof, ["account_id", "evidence_snapshot_id"])
+    rows = done.accounts.join(adult.select("account_id", F.lit(True).alias("adult")), "account_id", "left")
+    stat = lambda name: F.try_element_at("platform_stats", F.lit(name))
+    checked = stat("graphtreon_checked") == "true"
+    return rows.select(
+        "handle", "followers_count", F.when(checked, F.coalesce(stat("graphtreon_tracked"), F.lit("true"))).alias("tracked"),
+        stat("graphtreon_rank").alias("rank"), F.coalesce("adult", F.lit(False)).alias("adult"),
+    )
+
+
+@query("x_flush", PEOPLE + """
+SELECT h AS handle, CASE WHEN p_size > 40 THEN 'deleted' ELSE 'active' END AS status, CASE WHEN p_size <= 40 THEN CAST(c_custkey AS VARCHAR) END AS native_id, 2 AS edges FROM p WHERE p_size <= 40
+UNION ALL SELECT h, 'deleted', NULL, 0 FROM p WHERE p_size > 40""")
+def x_flush(spark, d):
+    """All customers stand in the queue; those with small parts are found, the others are no users any more."""
+    done, _ = flushed(spark, d)
+    per = done.edges.groupBy(F.col("source_account_id").alias("account_id")).agg(F.count("*").alias("edges"))
+    mine = done.accounts.filter("platform = 'twitter' and last_hydrated is not null").join(per, "account_id", "left")
+    return mine.select("handle", "status", "native_id", F.coalesce("edges", F.lit(0)).alias("edges"))
+
+
+@query("x_flush_bill", """
+WITH n AS (SELECT count(*) AS n FROM customer JOIN part ON p_partkey = c_custkey)
+SELECT k AS request, least(100, n - 100 * k)::INT AS units, least(100, n - 100 * k)::INT AS est_cost_cents FROM n, unnest(range(CAST(ceil(n / 100) AS BIGINT))) AS u(k)""")
+def x_flush_bill(spark, d):
+    _, usage = flushed(spark, d)
+    order = Window.orderBy(F.col("units").desc())  # one row for each hundred handles
+    return usage.select((F.row_number().over(order) - 1).cast("bigint").alias("request"), "units", "est_cost_cents")
+
+
+def flushed(spark, d):
+    rows = members(spark, d)
+    user = F.from_json("body", twitter.USER)
+    found = x_users(spark, d).join(rows.select("key", "p_size", "h"), "key")
+    ok = F.col("p_size") <= 40
+    errors = F.when(~ok, F.array(F.struct(F.lit("usernames").alias("parameter"), F.upper("h").alias("value"))))
+    body = F.to_json(F.struct(F.when(ok, F.array(user)).alias("data"), errors.alias("errors")))
+    state = empty_state(spark, accounts=handle_rows(spark, d, "twitter", discovered_via=F.lit("manual_tag")))
+    usage = spark.createDataFrame([], API_USAGE)
+    return hydrate.flush(state, usage, rows.select(F.col("h").alias("handle")), payload(found, "x:lookup", F.col("key"), body), w.as_of(), cap=10**9)
 
 
 @query("creator_pages", PEOPLE + """
@@ -393,6 +475,16 @@ def trending_known(spark, d):
     return artstation.refresh_known(artstation.trending(feed(spark, d)), known).select("username", "page")
 
 
+@query("trending_enriched", TREND + """
+SELECT c_custkey AS account_id, CASE WHEN rn = 1 THEN 'a' || c_custkey ELSE 'A' || c_custkey END AS handle, CASE WHEN rn = 1 THEN CAST(c_custkey AS VARCHAR) END AS native_id,
+  CASE WHEN rn = 1 THEN CAST((o_orderkey - 1) * 100 + 1 AS VARCHAR) END AS position FROM customer JOIN part ON p_partkey = c_custkey LEFT JOIN (SELECT * FROM t WHERE rn = 1) t ON o_custkey = c_custkey""")
+def trending_enriched(spark, d):
+    """Known accounts take id, handle and place of their first entry in the feed; nobody else is created."""
+    state = empty_state(spark, accounts=handle_rows(spark, d, "artstation", "A"))
+    done = artstation.enrich_known(state, artstation.trending(feed(spark, d)), w.as_of())
+    return done.accounts.select("account_id", "handle", "native_id", F.try_element_at("platform_stats", F.lit("artstation_position")).alias("position"))
+
+
 @query("archived_profiles", PEOPLE + """
 SELECT h AS own_handle, platform, CASE WHEN platform = 'website' THEN lower(h) || '.example.org' ELSE h END AS handle, CASE WHEN platform = 'website' THEN 'related' ELSE 'same_person' END AS claim FROM p, (SELECT unnest(['twitter', 'kofi', 'website']) AS platform)""")
 def archived_profiles(spark, d):

@@ -260,9 +260,10 @@ def combined_fullest(pairs: DataFrame, counts: DataFrame, extra: DataFrame | Non
 def pick_merges(pairs: DataFrame) -> DataFrame:
     """A set of pairs in which no artist appears twice: pairs that are each other's first choice.
 
-    The smaller pair (low, then high) is preferred; the smallest of all is always taken, and the rest wait a round.
+    Which pair an artist prefers is decided by a hash of the pair, so along a path of n artists the choices do not wait
+    for each other and about log n rounds are enough; the pair with the smallest hash of all is always taken.
     """
-    pair = F.struct("low", "high")
+    pair = F.struct(F.xxhash64("low", "high").alias("turn"), "low", "high")
     sides = pairs.select(F.explode(F.array("low", "high")).alias("a"), pair.alias("p"))
     choice = sides.groupBy("a").agg(F.min("p").alias("p"))
     twice = choice.groupBy("p").count().filter("count = 2")

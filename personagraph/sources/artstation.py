@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import upsert as up
 from ..operators.ledger import cap_new
 from ..operators.spread import running
+from ..schemas import State
+from ..session import cut_lineage
 from . import common as c
 
 # Address fields of a profile, and the feed dimensions in order of priority.
@@ -40,6 +43,8 @@ def trending(payloads: DataFrame, source: str = "artstation:trending") -> DataFr
 
 
 PLACE = ["priority", "page", "pos"]
+#: Entries of a full page of the feed.
+PAGE_ENTRIES = 100
 
 
 def trending_creators(entries: DataFrame) -> DataFrame:
@@ -65,6 +70,32 @@ def refresh_known(entries: DataFrame, accounts: DataFrame) -> DataFrame:
     return c.first_per_key(known.withColumn("_low", F.lower("username")), ["_low"], [F.col(p) for p in PLACE]).drop("_low")
 
 
+def enrich_known(state: State, entries: DataFrame, as_of: Column) -> State:
+    """Refresh accounts that chart with the id, names, picture and place of their first entry; creates nothing."""
+    known = cut_lineage(refresh_known(entries, state.accounts))
+    none = F.lit(None)
+    refs = known.select(
+        F.col("id").alias("seq"), F.lit("artstation").alias("platform"), F.col("id").alias("native_id"), F.col("username").alias("handle"),
+        F.col("full_name").alias("display_name"), F.concat(F.lit("https://www.artstation.com/"), "username").alias("profile_url"),
+        F.lit("active").alias("status"), none.cast("bigint").alias("followers_count"), none.cast("timestamp").alias("last_post_at"),
+        F.lit("bio_link").alias("discovered_via"), none.cast("map<string,string>").alias("discovery_details"), F.lit(True).alias("hydrated"),
+    )
+    accounts, resolved = up.upsert_accounts(state.accounts, refs, as_of)
+    stats = c.stats_map(
+        artstation_dimension=F.col("dimension"), artstation_position=(F.col("page") - 1) * PAGE_ENTRIES + F.col("pos") + 1,
+        pro_member=F.coalesce("pro_member", F.lit(False)),
+    )
+    said = known.select(F.col("id").alias("native_id"), F.col("medium_avatar_url").alias("_avatar"), stats.alias("_stats"))
+    said = resolved.select("account_id", "native_id").join(said, "native_id").drop("native_id")
+    joined = accounts.join(said, "account_id", "left").withColumns(
+        {
+            "avatar_url": F.coalesce("_avatar", "avatar_url"),
+            "platform_stats": F.when(F.col("_stats").isNotNull(), up.merge_stats(F.col("platform_stats"), F.col("_stats"))).otherwise(F.col("platform_stats")),
+        }
+    )
+    return state.with_(accounts=cut_lineage(joined.select(*state.accounts.columns)))
+
+
 def normalize(payloads: DataFrame, source: str = "artstation:wayback") -> tuple[DataFrame, DataFrame]:
     """Archived profiles: address fields and the social list, minus mail entries and masked addresses."""
     parsed = c.bodies(payloads, source).select("key", "fetched_at", "body", F.from_json("body", PROFILE).alias("p"))

@@ -14,6 +14,7 @@ from ..functions.links import explode_links, with_links, with_platform_links, wi
 from ..functions.text import COMMISSION, SIGNALS
 from ..operators import evidence as ev
 from ..operators import upsert as up
+from ..operators.counters import Counters, watched
 from ..operators.spread import first_per_key
 from ..schemas import State
 from ..session import cut_lineage
@@ -173,12 +174,17 @@ def account_refs(rows: DataFrame) -> DataFrame:
     )
 
 
-def ingest(state: State, rows: DataFrame, links: DataFrame, as_of: Column) -> State:
+def ingest(state: State, rows: DataFrame, links: DataFrame, as_of: Column, counters: Counters | None = None) -> State:
     """Store profiles and links: accounts, snapshots, signals, referenced accounts and edges.
 
     Suppressed accounts keep their account row fresh but get no snapshot, signal or edge.
     """
-    rows = cut_lineage(with_signals(rows))
+    rows = cut_lineage(
+        watched(
+            counters, with_signals(rows), "profiles", emails=F.count("email"), commissions=F.count("commission"),
+            statements=F.sum(F.size("attestations")), markers=F.sum(F.size("flags")),
+        )
+    )
     accounts, resolved = up.upsert_accounts(state.accounts, account_refs(rows), as_of)
     accounts = cut_lineage(accounts)
     barred = ev.suppressed_accounts(state.suppressions, state.memberships)
@@ -191,7 +197,7 @@ def ingest(state: State, rows: DataFrame, links: DataFrame, as_of: Column) -> St
         "account_id", F.col("fetched_at").alias("captured_at"), "bio_text", "display_name", "followers_count",
         "following_count", "raw", "fetch_source",
     )
-    snaps = cut_lineage(up.next_ids(snaps, state.snapshots, "snapshot_id", [F.col("account_id"), F.col("captured_at")]))
+    snaps = cut_lineage(watched(counters, up.next_ids(snaps, state.snapshots, "snapshot_id", [F.col("account_id"), F.col("captured_at")]), "snapshots"))
     snapshots = up.append(state.snapshots, snaps)
     newest = snaps.groupBy("account_id").agg(F.max("snapshot_id").alias("evidence_snapshot_id"))
     known = known.join(newest, "account_id")
@@ -212,10 +218,10 @@ def ingest(state: State, rows: DataFrame, links: DataFrame, as_of: Column) -> St
         F.col("platform").alias("own_platform"), F.col("native_id").alias("own_native_id"),
         F.col("handle").alias("own_handle"), F.col("account_id").alias("source_account_id"), "evidence_snapshot_id",
     )
-    return store_links(state, links, sources, as_of)
+    return store_links(state, links, sources, as_of, counters)
 
 
-def store_links(state: State, links: DataFrame, sources: DataFrame, as_of: Column) -> State:
+def store_links(state: State, links: DataFrame, sources: DataFrame, as_of: Column, counters: Counters | None = None) -> State:
     """Referenced accounts and edges of link rows whose source account is known."""
     own = ("own_platform", "own_native_id", "own_handle")
     match = None
@@ -245,9 +251,10 @@ def store_links(state: State, links: DataFrame, sources: DataFrame, as_of: Colum
         "seq", "source_account_id", F.col("account_id").alias("target_account_id"), "evidence_type",
         "evidence_snapshot_id", "evidence_url", "matched_text", "claim", "relation_hint",
     )
-    return state.with_(
-        accounts=cut_lineage(accounts), edges=cut_lineage(up.upsert_edges(state.edges, made, as_of))
-    )
+    accounts = watched(counters, accounts, "accounts", hydrated=F.count("last_hydrated"))
+    edges = up.upsert_edges(state.edges, made, as_of)
+    edges = watched(counters, edges, "edges", present=F.count_if(F.col("status") == "present"))
+    return state.with_(accounts=cut_lineage(accounts), edges=cut_lineage(edges))
 
 
 def refresh_details(accounts: DataFrame, known: DataFrame, as_of: Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import policy
@@ -11,6 +11,9 @@ from ..functions.html import strip_tags, unescape
 from ..functions.jsontree import linked_data
 from ..functions.scalars import category_slug, grouped_int
 from ..functions.text import first_match, strip_space
+from ..operators import upsert as up
+from ..schemas import State
+from ..session import cut_lineage
 from . import common as c
 
 # Markup of the ranking lists and of the statistics pages.
@@ -137,6 +140,41 @@ def page_stats(payloads: DataFrame, source: str = "graphtreon:creator") -> DataF
     return read.unionByName(none, allowMissingColumns=True)
 
 
+def enrich(state: State, payloads: DataFrame, as_of: Column) -> State:
+    """Write what statistics pages say to the accounts they are about: stats, paid members as followers, adult flag.
+
+    A page that is not there is remembered as checked and not tracked. A page without members leaves the followers as
+    they are; only creators of an adult category get a snapshot, which their flag names as evidence.
+    """
+    mine = state.accounts.filter("platform = 'patreon'").select("account_id", F.lower("handle").alias("_low"))
+    pages = c.first_per_key(page_stats(payloads).withColumn("_low", F.lower("key")), ["_low"], [F.col("tracked").desc(), F.col("key")])
+    told = cut_lineage(pages.join(mine, "_low"))
+    stats = c.stats_map(
+        graphtreon_checked=F.lit(True), graphtreon_tracked=F.when(~F.col("tracked"), F.lit(False)), graphtreon_category=F.col("category"),
+        graphtreon_rank=F.col("rank"), paid_members=F.col("paid_members"),
+    )
+    new = told.select("account_id", stats.alias("_stats"), F.nullif("paid_members", F.lit(0)).alias("_members"))
+    joined = state.accounts.join(new, "account_id", "left")
+    accounts = joined.withColumns(
+        {
+            "platform_stats": F.when(F.col("_stats").isNotNull(), up.merge_stats(F.col("platform_stats"), F.col("_stats"))).otherwise(F.col("platform_stats")),
+            "followers_count": F.coalesce("_members", "followers_count"),
+        }
+    ).select(*state.accounts.columns)
+    adult = told.filter("tracked and startswith(category, 'adult-')").select(
+        "account_id", as_of.alias("captured_at"), F.nullif("paid_members", F.lit(0)).alias("followers_count"),
+        F.to_json(F.struct("category", "rank", "paid_members")).alias("raw"), F.lit("graphtreon:creator").alias("fetch_source"),
+    )
+    adult = cut_lineage(up.next_ids(adult, state.snapshots, "snapshot_id", [F.col("account_id")]))
+    marks = adult.select(
+        "account_id", F.lit("nsfw").alias("flag"), F.lit("platform_flag").alias("signal"), F.lit("patreon:adult_category").alias("matched_text"),
+        F.col("snapshot_id").alias("evidence_snapshot_id"),
+    )
+    return state.with_(
+        accounts=cut_lineage(accounts), snapshots=up.append(state.snapshots, adult), flags=cut_lineage(up.upsert_flags(state.flags, marks, as_of))
+    )
+
+
 def normalize(payloads: DataFrame, source: str = "patreon:creator") -> tuple[DataFrame, DataFrame]:
     """Creator pages: what a page states about itself as linked data."""
     pages = c.bodies(payloads, source).select("key", "fetched_at", linked_data(F.col("body")).alias("p"))

@@ -238,3 +238,18 @@ def test_directory_on_the_smoke_fixture(spark):
     assert left == ["twitter", "pixiv"]
     nested = directory.nest_accounts(directory.directory_accounts(state), per_part=2).orderBy("part").collect()
     assert [len(r.accounts) for r in nested] == [2, 1]
+
+
+def test_a_path_of_artists_merges_in_few_rounds(spark):
+    """Each round merges the picked pairs; pairs of merged artists are renamed to the keeper."""
+    left = [(k, k + 1) for k in range(1, 100)]
+    for taken in range(1, 20):
+        picked = {tuple(r) for r in clustering.pick_merges(spark.createDataFrame(left, "low long, high long")).collect()}
+        used = [x for pair in picked for x in pair]
+        assert picked <= set(left) and len(used) == len(set(used)) and picked
+        keeper = {high: low for low, high in picked}
+        renamed = {tuple(sorted((keeper.get(a, a), keeper.get(b, b)))) for a, b in left}
+        left = sorted((a, b) for a, b in renamed if a != b)
+        if not left:
+            break
+    assert taken <= 10 and not left

@@ -1,13 +1,17 @@
 """State changes: identity, upserts, decisions, the re-read job, streams."""
 
+import json
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from personagraph.operators import checks, decisions, ledger, reports, upsert as up
+from personagraph.operators.counters import Counters
+from personagraph.plans import hydrate
 from personagraph.plans.reextract import reextract
-from personagraph.schemas import SNAPSHOTS
+from personagraph.schemas import API_USAGE, SNAPSHOTS
+from personagraph.session import cut_lineage
 from personagraph.sources import common as c
 from personagraph.sources import hubs
 from personagraph.streaming import dormancy, snapshots as st, spend
@@ -219,6 +223,46 @@ def test_spend_stream(spark, tmp_path):
     assert [r.cents for r in spend.over_cap(told, 100).collect()] == [159]
 
 
+def x_page(spark, found, missing):
+    body = json.dumps({"data": [{"id": i, "username": u, "name": u} for i, u in found], "errors": [{"parameter": "usernames", "value": h} for h in missing]})
+    return spark.createDataFrame([("x:lookup", "1", NOW, 200, body)], "source string, key string, fetched_at timestamp, status_code int, body string")
+
+
+def test_flush_outcome(spark):
+    state = build(
+        spark,
+        accounts=[account(1, handle="Ann", native_id=None, status="unknown", last_hydrated=None), account(2, handle="gone", native_id=None, status="unknown"),
+                  account(3, handle="kept", native_id="n3"), account(4, "pixiv", handle="gone", native_id=None)],
+    )
+    queue = spark.createDataFrame([("Ann",), ("ann",), ("GONE",), ("kept",), (None,)], "handle string")
+    pages = x_page(spark, [("77", "ann")], ["gone", "kept", "stranger"])
+    usage = spark.createDataFrame([], API_USAGE)
+    with pytest.raises(ledger.BudgetExceeded):
+        hydrate.flush(state, usage, queue, pages, as_of, cap=2)
+    done, booked = hydrate.flush(state, usage, queue, pages, as_of, cap=3)
+    got = {r.account_id: r for r in done.accounts.collect()}
+    assert got[1].native_id == "77" and got[1].status == "active" and got[1].last_hydrated is not None
+    assert got[2].status == "deleted" and got[3].status == "active" and got[4].status == "active" and len(got) == 4
+    assert [(r.units, r.est_cost_cents) for r in booked.collect()] == [(3, 3)]
+    same, none = hydrate.flush(state, usage, queue.filter("false"), pages, as_of, cap=0)
+    assert same is state and none is usage
+
+
+def test_counters_need_no_job_of_their_own(spark):
+    rows = spark.range(100).select("id", (F.col("id") % 7).alias("n"))
+
+    def jobs(counted):
+        spark.sparkContext.setJobGroup(f"counted-{counted}", "")
+        frame = counters.watch(rows, "rows", even=F.count_if(F.col("n") % 2 == 0), none=F.sum(F.lit(None).cast("int"))) if counted else rows
+        cut_lineage(frame)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"counted-{counted}"))
+
+    counters = Counters("r")
+    assert jobs(True) == jobs(False) > 0
+    assert sorted(tuple(r) for r in counters.table(spark).collect()) == [("r", "rows", "even", 57), ("r", "rows", "none", 0), ("r", "rows", "rows", 100)]
+
+
 @pytest.mark.parametrize(
     "said", [[(1, 2), (2, 3), (3, 1)], [(1, 3), (2, 3)], [(2, 1), (3, 2)], [(1, 2), (2, 1)]], ids=["ring", "competing", "chain", "crossed"]
 )

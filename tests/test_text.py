@@ -1,5 +1,8 @@
 """Small texts with known readings."""
 
+import difflib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,3 +250,12 @@ def test_find_key_looks_past_null_and_any_depth(spark):
     deep = '{"a":' * 40 + '{"k":7}' + "}" * 40
     assert one(spark, deep, jsontree.find_key("k")(t)) == "7"
     assert one(spark, "[" * 5000 + "]" * 5000, jsontree.find_key("k")(t)) is None
+
+
+def test_matching_ratio_against_the_textbook(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdeé日") for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    pairs = list(zip(words, words[1:])) + [("abcdefghij", "xxabcyydefzzghijk"), ("ab", "ba"), ("aab", "ab"), ("a", "a")]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", similarity.matching_ratio(F.col("a"), F.col("b"))).collect()
+    for a, b, ratio in got:
+        assert abs(ratio - (difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0)) < 1e-12, (a, b)
