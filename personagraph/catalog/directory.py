@@ -108,6 +108,25 @@ def directory_page(spark, d):
     return search.page(_searched(spark, d, search.Filters()), "followers", number=2).select("artist_id", "public_slug", "followers")
 
 
+@query("directory_last_page", oracle(DIRECTORY + """
+SELECT artist_id, public_slug FROM de WHERE NOT nsfw ORDER BY followers NULLS LAST, public_slug LIMIT 50
+OFFSET (SELECT 50 * (greatest(1, CAST(ceil(count(*) / 50) AS BIGINT)) - 1) FROM de WHERE NOT nsfw)"""))
+def directory_last_page(spark, d):
+    """A page number beyond the last one."""
+    return search.page(_searched(spark, d, search.Filters()), "followers", True, number=10**9).select("artist_id", "public_slug")
+
+
+@query("directory_keyset", oracle(DIRECTORY + """
+SELECT artist_id, public_slug, followers FROM de WHERE NOT nsfw ORDER BY followers DESC NULLS LAST, public_slug LIMIT 7 OFFSET 21"""))
+def directory_keyset(spark, d):
+    """The fourth page of seven rows, each page found from the last row of the one before."""
+    rows = cut_lineage(_searched(spark, d, search.Filters()))
+    cursor = None
+    for _ in range(3):
+        cursor = search.page_after(rows, cursor, size=7).tail(1)[0]
+    return search.page_after(rows, cursor, size=7).select("artist_id", "public_slug", "followers")
+
+
 @query("page_count", oracle(DIRECTORY + " SELECT count(*) AS total, CAST(greatest(1, ceil(count(*) / 50)) AS BIGINT) AS pages FROM de WHERE NOT nsfw"))
 def page_count(spark, d):
     return search.page_count(_searched(spark, d, search.Filters()))

@@ -23,7 +23,7 @@ def _old_bytes() -> dict[int, str]:
 
 
 def _numbered(reference: Column) -> Column:
-    digits = F.regexp_extract(reference, "([0-9a-fA-F]+);?$", 1)
+    digits = F.regexp_replace(F.regexp_extract(reference, "([0-9a-fA-F]+);?$", 1), "^0+(?=.)", "")
     number = F.when(reference.rlike("^#[xX]"), F.try_to_number(F.conv(F.right(digits, F.lit(12)), 16, 10), F.lit("9" * 20))).otherwise(
         F.try_to_number(F.right(digits, F.lit(15)), F.lit("9" * 15))
     )

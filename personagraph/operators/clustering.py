@@ -257,12 +257,28 @@ def combined_fullest(pairs: DataFrame, counts: DataFrame, extra: DataFrame | Non
     return per_platform.groupBy("low", "high").agg(F.max("members").alias("fullest"))
 
 
+#: How often a round of merges looks again for pairs among the artists that it left over.
+PICKS = 3
+
+
 def pick_merges(pairs: DataFrame) -> DataFrame:
     """A set of pairs in which no artist appears twice: pairs that are each other's first choice.
 
     Which pair an artist prefers is decided by a hash of the pair, so along a path of n artists the choices do not wait
     for each other and about log n rounds are enough; the pair with the smallest hash of all is always taken.
     """
+    left = cut_lineage(pairs.select("low", "high"))
+    picked = _first_choices(left)
+    for _ in range(PICKS - 1):
+        picked = cut_lineage(picked)
+        used = picked.select(F.explode(F.array("low", "high")).alias("_a"))
+        for side in ("low", "high"):
+            left = left.join(used.withColumnRenamed("_a", side), side, "left_anti")
+        picked = picked.unionByName(_first_choices(left))
+    return picked
+
+
+def _first_choices(pairs: DataFrame) -> DataFrame:
     pair = F.struct(F.xxhash64("low", "high").alias("turn"), "low", "high")
     sides = pairs.select(F.explode(F.array("low", "high")).alias("a"), pair.alias("p"))
     choice = sides.groupBy("a").agg(F.min("p").alias("p"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .. import policy
@@ -74,12 +74,9 @@ def search(directory: DataFrame, accounts: DataFrame, state: State, filters: Fil
     return out
 
 
-def page(rows: DataFrame, sort: str = "followers", ascending: bool = False, number: int = 1,
-         size: int = policy.DIRECTORY_PAGE_SIZE) -> DataFrame:
-    """One page in a whitelisted order, unknown values last, ties by slug."""
+def _order(sort: str, ascending: bool) -> list[Column]:
     column = F.col(SORTS.get(sort, SORTS["followers"]))
-    order = column.asc_nulls_last() if ascending else column.desc_nulls_last()
-    return rows.orderBy(order, F.col("public_slug").asc()).offset((max(1, number) - 1) * size).limit(size)
+    return [column.asc_nulls_last() if ascending else column.desc_nulls_last(), F.col("public_slug").asc()]
 
 
 def page_count(rows: DataFrame, size: int = policy.DIRECTORY_PAGE_SIZE) -> DataFrame:
@@ -87,6 +84,35 @@ def page_count(rows: DataFrame, size: int = policy.DIRECTORY_PAGE_SIZE) -> DataF
     return rows.agg(total.alias("total"), F.greatest(F.lit(1), F.ceil(total / size)).alias("pages"))
 
 
+def last_page(rows: DataFrame, number: int, size: int = policy.DIRECTORY_PAGE_SIZE) -> int:
+    """The page number, or that of the last page where it lies beyond."""
+    return max(1, min(number, page_count(rows, size).first()["pages"]))
+
+
+def page(rows: DataFrame, sort: str = "followers", ascending: bool = False, number: int = 1,
+         size: int = policy.DIRECTORY_PAGE_SIZE) -> DataFrame:
+    """One page in a whitelisted order, unknown values last, ties by slug; a number beyond the last page gives that."""
+    return rows.orderBy(*_order(sort, ascending)).offset((last_page(rows, number, size) - 1) * size).limit(size)
+
+
+def page_after(rows: DataFrame, cursor: Row | None = None, sort: str = "followers", ascending: bool = False,
+               size: int = policy.DIRECTORY_PAGE_SIZE) -> DataFrame:
+    """The page behind ``cursor``, the last row of the page before (none: the first page).
+
+    However deep, a page is a bounded selection over the rows behind the cursor; earlier rows are never gathered.
+    """
+    if cursor is not None:
+        name = SORTS.get(sort, SORTS["followers"])
+        value, slug = F.col(name), F.col("public_slug") > cursor["public_slug"]
+        if cursor[name] is None:
+            rows = rows.filter(value.isNull() & slug)
+        else:
+            held = F.lit(cursor[name])
+            further = value > held if ascending else value < held
+            rows = rows.filter(value.isNull() | further | ((value == held) & slug))
+    return rows.orderBy(*_order(sort, ascending)).limit(size)
+
+
 def platform_facets(accounts: DataFrame) -> DataFrame:
     """Accounts per platform, ordered by rank, then count, then name; websites are no facet."""
     ranks = F.broadcast(policy.platforms(accounts.sparkSession).select("platform", "display_rank"))

@@ -11,9 +11,20 @@ HOT_ROWS = 100_000
 SALTS = 64
 
 
+#: Hot keys at most, however many rows there are: their list is broadcast.
+MOST_HOT = 4096
+
+
 def hot_keys(facts: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with at least ``hot_rows`` rows: at most total / hot_rows of them, so they broadcast."""
-    return facts.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= hot_rows).select(*keys)
+    """Keys with at least ``hot_rows`` rows, and with at least one of MOST_HOT parts of all rows."""
+    return hot_of(facts.groupBy(*keys).agg(F.count("*").alias("_n")), keys, hot_rows)
+
+
+def hot_of(counts: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The same of counts (``_n``) of keys."""
+    total = counts.agg(F.sum("_n").alias("_all"))
+    least = F.greatest(F.lit(hot_rows), F.col("_all") / MOST_HOT)
+    return counts.join(F.broadcast(total)).filter(F.col("_n") >= least).select(*keys)
 
 
 def lookup(

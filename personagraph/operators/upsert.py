@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import policy
-from .spread import HOT_ROWS, first_per_key, lookup, running
+from .spread import first_per_key, hot_of, lookup, running
 
 # ``seq`` may be of any orderable type; it says which reference came first.
 ACCOUNT_REFS = (
@@ -374,7 +374,7 @@ def hub_claims(links: DataFrame, hub: list[str]) -> DataFrame:
     """Claims of a hub page: three or more links to one platform are credits, not identity."""
     per_platform = links.groupBy(*hub, "platform").agg(F.count("*").alias("_n"))
     keys = [*hub, "platform"]
-    counted = lookup(links, per_platform, keys, hot=per_platform.filter(F.col("_n") >= HOT_ROWS).select(*keys))
+    counted = lookup(links, per_platform, keys, hot=hot_of(per_platform, keys))
     site = F.col("platform") == "website"
     credits = F.col("_n") >= policy.HUB_CREDITS_MIN
     return counted.withColumns(

@@ -253,3 +253,27 @@ def test_a_path_of_artists_merges_in_few_rounds(spark):
         if not left:
             break
     assert taken <= 10 and not left
+
+
+def test_pages_by_cursor_are_those_by_number(spark):
+    from personagraph.operators import search
+
+    rng = random.Random(4)
+    data = [(k, f"slug-{k:03}", rng.choice([None, 1, 2, 3, 50, 50, 50])) for k in range(43)]
+    rows = spark.createDataFrame(data, "artist_id long, public_slug string, followers long").coalesce(2)
+    for up in (True, False):
+        value = lambda r: (r[2] is None, (r[2] or 0) if up else -(r[2] or 0), r[1])
+        cursor, seen = None, []
+        while got := search.page_after(rows, cursor, "followers", up, 10).collect():
+            seen += [r.artist_id for r in got]
+            cursor = got[-1]
+        assert seen == [r[0] for r in sorted(data, key=value)]
+        assert [r.artist_id for r in search.page(rows, "followers", up, 99, 10).collect()] == seen[40:]
+    assert search.page(rows.filter("false"), number=5).collect() == []
+
+
+def test_hot_keys_are_few_however_many_rows(spark, monkeypatch):
+    facts = spark.range(1000).selectExpr("id % 50 AS k").unionByName(spark.range(900).selectExpr("cast(7 as long) AS k"))
+    assert sorted(r.k for r in spread.hot_keys(facts, ["k"], 20).collect()) == list(range(50))
+    monkeypatch.setattr(spread, "MOST_HOT", 4)
+    assert [r.k for r in spread.hot_keys(facts, ["k"], 20).collect()] == [7]

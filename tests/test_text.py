@@ -259,3 +259,8 @@ def test_matching_ratio_against_the_textbook(spark):
     got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", similarity.matching_ratio(F.col("a"), F.col("b"))).collect()
     for a, b, ratio in got:
         assert abs(ratio - (difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0)) < 1e-12, (a, b)
+
+
+def test_references_with_leading_zeros(spark):
+    t = F.col("t")
+    assert one(spark, "&#000000000065;&#x00000000000042;&#0;&#00;&#99999999999;", H.unescape(t)) == "AB\ufffd\ufffd\ufffd"
