@@ -7,8 +7,9 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
+from ..operators import upsert as up
 from ..operators.store import Store
-from ..schemas import empty_state
+from ..schemas import SNAPSHOTS, empty_state
 from ..session import shared_folder
 from ..streaming import dormancy, snapshots as st, spend
 from ..streaming.reextract import fold_batch
@@ -17,12 +18,13 @@ from .registry import query, stamp
 from .world import oracle
 
 DAY = 86400
+FIRST_ORDER = "1995-01-01"
 
 
-def _landed_slices(frames, moment, disorder, folder, slices=4, span=10 * DAY):
+def _landed_slices(frames, moment, disorder, folder, slices=4, span=10 * DAY, first="2024-01-01"):
     """Rows as files by time, each row up to ``disorder`` seconds late, a frame after the other within a slice; the last
     slice holds all that follows."""
-    start = F.unix_seconds(F.lit("2024-01-01").cast("timestamp"))
+    start = F.unix_seconds(F.lit(first).cast("timestamp"))
     for k in range(slices):
         for salt, rows in enumerate(frames):
             arrival = F.unix_seconds(moment) + F.pmod(F.xxhash64(*rows.columns, F.lit(salt)), F.lit(disorder))
@@ -49,12 +51,22 @@ def snapshot_stream(spark, d):
     return snapshots_told(spark, d).select("account_id", "snapshot_id")
 
 
-@query("dormant_by_timer", oracle(f"""
-SELECT account_id, snapshot_id, strftime(captured_at, '%Y-%m-%d %H:%M:%S') AS last_seen FROM ({NEWEST})
-WHERE rn = 1 AND captured_at + INTERVAL 7 DAY <= (SELECT max(captured_at) - INTERVAL 2 DAY FROM snapshots)"""))
+@query("dormant_by_timer", """
+WITH seen AS (SELECT o_custkey AS account_id, max(o_orderdate)::TIMESTAMP AS last_seen FROM orders GROUP BY 1)
+SELECT account_id, strftime(last_seen, '%Y-%m-%d %H:%M:%S') AS last_seen FROM seen
+WHERE last_seen + INTERVAL 180 DAY <= (SELECT max(o_orderdate)::TIMESTAMP - INTERVAL 30 DAY FROM orders)""")
 def dormant_by_timer(spark, d):
-    """Accounts that the timer told to be dormant, as nothing of them came for seven days."""
-    return snapshots_told(spark, d).filter("dormant").select("account_id", "snapshot_id", stamp("captured_at").alias("last_seen"))
+    """Every order is a sighting of its customer, up to a month out of order; who the timer told to be dormant and nothing woke."""
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    seen = w.table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("snapshot_id"), F.col("o_custkey").alias("account_id"), F.col("o_orderdate").cast("timestamp").alias("captured_at")
+    )
+    seen = up.align(seen, spark.createDataFrame([], SNAPSHOTS))
+    _landed_slices([seen], F.col("captured_at"), 30 * DAY, f"{base}/in", slices=5, span=500 * DAY, first=FIRST_ORDER)
+    changes = dormancy.newest_changes(st.snapshot_stream(spark, f"{base}/in", 1), "30 days", timedelta(days=180))
+    dormancy.run_available(spark, changes, base)
+    told = dormancy.standing(spark.read.schema(dormancy.CHANGES).parquet(f"{base}/rows"))
+    return told.filter("dormant").select("account_id", stamp("captured_at").alias("last_seen"))
 
 
 @query("stream_signals", oracle("""
@@ -115,6 +127,6 @@ def spend_stream(spark, d):
 
 
 @query("spend_alerts", oracle(SPENT + """
-SELECT service, strftime(hour, '%Y-%m-%d %H:%M:%S') AS window_start, cents FROM shut WHERE cents > 1500"""))
+SELECT service, strftime(hour, '%Y-%m-%d %H:%M:%S') AS window_start, cents FROM shut WHERE cents > 300"""))
 def spend_alerts(spark, d):
-    return spend.over_cap(spend_told(spark, d), 1500).select("service", stamp("window_start").alias("window_start"), "cents")
+    return spend.over_cap(spend_told(spark, d), 300).select("service", stamp("window_start").alias("window_start"), "cents")
