@@ -11,7 +11,7 @@ from ..plans import hydrate
 from ..schemas import API_USAGE, STATE_SCHEMAS, empty_state
 from ..sources import artstation, bluesky, common as c, deviantart, misskey, patreon, pixiv, skeb, tumblr, twitter, vgen
 from . import world as w
-from .registry import query
+from .registry import query, utc_text
 
 
 def payload(rows: DataFrame, source: str, key: Column, body: Column, code: Column | None = None) -> DataFrame:
@@ -515,8 +515,8 @@ def blogs(spark, d):
     body = F.replace(F.replace(body, F.lit("&amp;nbsp;"), F.lit("")), F.lit('">see</a>'), F.lit('"></a>'))
     body = F.replace(body, F.lit('stuff <a'), F.lit('stuff see <a'))
     found, links = tumblr.normalize(payload(rows, "tumblr:blog", F.concat(F.lit("b"), "key"), body))
-    utc = F.expr("timestampadd(SECOND, cast(unix_seconds(last_post_at) as int), timestamp_ntz'1970-01-01 00:00:00')")
-    signed = c.with_signals(found).select("handle", "display_name", "bio_text", "avatar_url", (F.size("flags") > 0).alias("adult"), F.date_format(utc, "yyyy-MM-dd").alias("last_day"))
+    day = F.substring_index(utc_text(F.unix_seconds("last_post_at")), " ", 1)
+    signed = c.with_signals(found).select("handle", "display_name", "bio_text", "avatar_url", (F.size("flags") > 0).alias("adult"), day.alias("last_day"))
     return signed.join(links.select(F.col("own_handle").alias("handle"), F.col("native_id").alias("linked")), "handle")
 
 

@@ -31,6 +31,12 @@ def stamp(moment: Column | str) -> Column:
     return F.date_format(moment, "yyyy-MM-dd HH:mm:ss")
 
 
+def utc_text(seconds: Column) -> Column:
+    """Seconds since 1970 as text in UTC, whatever the session's zone and beyond 2038 as well."""
+    since = F.make_dt_interval(secs=F.floor(seconds).cast("decimal(18,6)"))
+    return (F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + since).cast("string")
+
+
 #: A name as similarity compares it.
 NORMAL_SQL = r"regexp_replace(regexp_replace(lower(coalesce({}, '')), '\.(?:bsky\.social|carrd\.co|tumblr\.com|fanbox\.cc|booth\.pm)$', ''), '[^a-z0-9]', '', 'g')"
 #: Place and size of the longest common substring of a and b, the first of several in a, as size * 1000 + 999 - place.
