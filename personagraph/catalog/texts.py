@@ -11,7 +11,7 @@ from ..functions import html as H, links as L, patterns as P, scalars as S, simi
 from ..operators import classify, upsert as up
 from ..sources import hubs
 from . import world as w
-from .registry import NORMAL_SQL, query, similarity_sql
+from .registry import NORMAL_SQL, query, similarity_sql, utc_text
 from .world import oracle
 
 
@@ -289,12 +289,10 @@ def slugs(spark, d):
 @query("snowflake_times", """
 SELECT o_orderkey, strftime(make_timestamp(((o_orderkey * 1000000000000) // 4194304 + 1288834974657) * 1000), '%Y-%m-%d %H:%M:%S') AS moment FROM orders""")
 def snowflake_times(spark, d):
-    post = (F.col("o_orderkey") * 1_000_000_000_000).cast("string")
-    millis = F.unix_millis(S.snowflake_time(post))
-    # UTC text, whatever the session's zone.
-    utc = F.expr("timestampadd(SECOND, cast(floor(ms / 1000) as int), timestamp_ntz'1970-01-01 00:00:00')")
-    rows = w.table(spark, d, "orders").select("o_orderkey", millis.alias("ms"))
-    return rows.select("o_orderkey", stamp(utc).alias("moment"))
+    # A number of more than 64 bits is no post id: its time is null.
+    post = (F.col("o_orderkey").cast("decimal(20,0)") * F.lit(1_000_000_000_000).cast("decimal(13,0)")).cast("string")
+    moment = utc_text(F.unix_seconds(S.snowflake_time(post)))
+    return w.table(spark, d, "orders").select("o_orderkey", moment.alias("moment"))
 
 
 @query("age_labels", """

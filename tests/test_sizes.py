@@ -24,3 +24,10 @@ def test_blogs_updated_after_2038(spark, tmp_path):
     )
     days = {r["handle"]: r["last_day"] for r in catalog.QUERIES["blogs"](spark, d).collect()}
     assert days == {"b7": "2001-09-16", "b90000": "2248-02-07", "b900000": "4465-10-21"}
+
+
+def test_snowflake_times_of_any_order(spark, tmp_path):
+    rows = [(k, 1, "O", 1.0, None, "5-LOW") for k in (5, 8_999_999, 9_300_000)]
+    times = catalog.QUERIES["snowflake_times"](spark, landed(spark, tmp_path, orders=(rows, ORDERS)))
+    # The last id does not fit into 64 bits, so it is none.
+    assert dict(times.collect()) == {5: "2010-11-04 02:02:46", 8_999_999: "2078-11-02 08:05:48", 9_300_000: None}
