@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
+from functools import partial
+from types import FunctionType
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,7 +72,10 @@ PAYLOADS = "source string, key string, fetched_at timestamp, status_code int, bo
 
 @dataclass(frozen=True)
 class State:
-    """One version of the state tables; operators return a new version."""
+    """One version of the state tables; operators return a new version.
+
+    A table may be given as a function, which is called when the table is first looked at.
+    """
 
     accounts: DataFrame
     snapshots: DataFrame
@@ -83,8 +88,15 @@ class State:
     reviews: DataFrame
     suppressions: DataFrame
 
+    def __getattribute__(self, name: str):
+        held = object.__getattribute__(self, name)
+        if isinstance(held, FunctionType | partial):
+            held = held()
+            object.__setattr__(self, name, held)
+        return held
+
     def with_(self, **frames: DataFrame) -> "State":
-        return replace(self, **frames)
+        return State(**(vars(self) | frames))
 
 
 STATE_SCHEMAS = {

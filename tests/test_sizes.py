@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+
 from personagraph import catalog
+from personagraph.catalog import world
 
 CUSTOMER = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
 PART = "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
@@ -31,3 +34,12 @@ def test_snowflake_times_of_any_order(spark, tmp_path):
     times = catalog.QUERIES["snowflake_times"](spark, landed(spark, tmp_path, orders=(rows, ORDERS)))
     # The last id does not fit into 64 bits, so it is none.
     assert dict(times.collect()) == {5: "2010-11-04 02:02:46", 8_999_999: "2078-11-02 08:05:48", 9_300_000: None}
+
+
+def test_only_the_tables_a_query_asks_for_are_derived(spark, tmp_path):
+    d = str(tmp_path / "samples")
+    shutil.copytree("/root/testdata/sf0.001", d)
+    catalog.QUERIES["facet_counts"](spark, d).collect()
+    assert {name for _, folder, name in world._STORED if folder == d} == {"accounts", "memberships"}
+    catalog.QUERIES["review_queue"](spark, d).collect()
+    assert {name for _, folder, name in world._STORED if folder == d} == {"accounts", "memberships", "edges"}
