@@ -21,6 +21,15 @@ DAY = 86400
 FIRST_ORDER = "1995-01-01"
 
 
+#: Files of a slice of a stream: one batch reads as many, each in tasks of its own.
+SLICE_FILES = 16
+
+
+def _land(rows, folder):
+    """Append rows as SLICE_FILES files, none of them empty unless the rows are few."""
+    rows.repartition(SLICE_FILES).write.mode("append").parquet(folder)
+
+
 def _landed_slices(frames, moment, disorder, folder, slices=4, span=10 * DAY, first="2024-01-01"):
     """Rows as files by time, each row up to ``disorder`` seconds late, a frame after the other within a slice; the last
     slice holds all that follows."""
@@ -29,7 +38,7 @@ def _landed_slices(frames, moment, disorder, folder, slices=4, span=10 * DAY, fi
         for salt, rows in enumerate(frames):
             arrival = F.unix_seconds(moment) + F.pmod(F.xxhash64(*rows.columns, F.lit(salt)), F.lit(disorder))
             number = F.least(F.floor((arrival - start) / span), F.lit(slices - 1))
-            rows.filter(number == k).coalesce(1).write.mode("append").parquet(folder)
+            _land(rows.filter(number == k), folder)
 
 
 @w.stored
@@ -37,7 +46,7 @@ def snapshots_told(spark, d):
     """All snapshots arrive as files, up to two days out of order; what the keyed state tells of every account."""
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     _landed_slices([w.snapshots(spark, d)], F.col("captured_at"), 2 * DAY, f"{base}/in")
-    changes = dormancy.newest_changes(st.snapshot_stream(spark, f"{base}/in", 1), "2 days", timedelta(days=7))
+    changes = dormancy.newest_changes(st.snapshot_stream(spark, f"{base}/in", SLICE_FILES), "2 days", timedelta(days=7))
     dormancy.run_available(spark, changes, base)
     return dormancy.standing(spark.read.schema(dormancy.CHANGES).parquet(f"{base}/rows"))
 
@@ -63,7 +72,7 @@ def dormant_by_timer(spark, d):
     )
     seen = up.align(seen, spark.createDataFrame([], SNAPSHOTS))
     _landed_slices([seen], F.col("captured_at"), 30 * DAY, f"{base}/in", slices=5, span=500 * DAY, first=FIRST_ORDER)
-    changes = dormancy.newest_changes(st.snapshot_stream(spark, f"{base}/in", 1), "30 days", timedelta(days=180))
+    changes = dormancy.newest_changes(st.snapshot_stream(spark, f"{base}/in", SLICE_FILES), "30 days", timedelta(days=180))
     dormancy.run_available(spark, changes, base)
     told = dormancy.standing(spark.read.schema(dormancy.CHANGES).parquet(f"{base}/rows"))
     return told.filter("dormant").select("account_id", stamp("captured_at").alias("last_seen"))
@@ -79,7 +88,7 @@ def stream_signals(spark, d):
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     events = w.snapshots(spark, d).filter("fetch_source <> 'x:hydration'")
     for k in range(3):
-        events.filter(F.col("snapshot_id") % 3 == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        _land(events.filter(F.col("snapshot_id") % 3 == k), f"{base}/in")
     store = Store(spark, f"{base}/state", buckets=8).create(empty_state(spark, accounts=w.accounts(spark, d)))
     fold = fold_batch(store, "profiles")
 
@@ -88,7 +97,7 @@ def stream_signals(spark, d):
         if number == 1:
             fold(batch, number)
 
-    st.run_available(st.snapshot_stream(spark, f"{base}/in", 1), f"{base}/checkpoint", step)
+    st.run_available(st.snapshot_stream(spark, f"{base}/in", SLICE_FILES), f"{base}/checkpoint", step)
     live = [getattr(store, name).filter("active").select(F.lit(name).alias("told"), "account_id", "signal", "matched_text", "evidence_snapshot_id") for name in ("attestations", "flags")]
     return live[0].unionByName(live[1])
 
@@ -108,8 +117,8 @@ def spend_told(spark, d):
     again = numbered.filter(F.col("booking_id") % 3 == 0)
     _landed_slices([numbered, again], F.col("occurred_at"), 3600, f"{base}/in", slices=3)
     late = numbered.filter("occurred_at < timestamp '2024-01-03'").withColumn("booking_id", -F.col("booking_id") - 1)
-    late.coalesce(1).write.mode("append").parquet(f"{base}/in")
-    windows = spend.spend_per_window(spend.usage_stream(spark, f"{base}/in", 1))
+    _land(late, f"{base}/in")
+    windows = spend.spend_per_window(spend.usage_stream(spark, f"{base}/in", SLICE_FILES))
     spend.run_available(windows, base)
     return spark.read.schema("service string, window_start timestamp, cents bigint, units bigint").parquet(f"{base}/rows")
 

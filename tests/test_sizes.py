@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import shutil
 
+from pyspark.sql import functions as F
+
 from personagraph import catalog
-from personagraph.catalog import world
+from personagraph.catalog import streams, world
 
 CUSTOMER = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
 PART = "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
@@ -43,3 +45,11 @@ def test_only_the_tables_a_query_asks_for_are_derived(spark, tmp_path):
     assert {name for _, folder, name in world._STORED if folder == d} == {"accounts", "memberships"}
     catalog.QUERIES["review_queue"](spark, d).collect()
     assert {name for _, folder, name in world._STORED if folder == d} == {"accounts", "memberships", "edges"}
+
+
+def test_no_task_holds_a_whole_slice_of_a_stream(spark, tmp_path):
+    rows = spark.range(4000).select("id", (F.lit(1_704_067_200) + F.col("id") * 864).cast("timestamp").alias("at"))
+    streams._landed_slices([rows], F.col("at"), 3600, str(tmp_path / "in"))
+    per_file = spark.read.parquet(str(tmp_path / "in")).groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in per_file) == 4000
+    assert max(r["count"] for r in per_file) <= 4000 / 4 / streams.SLICE_FILES + streams.SLICE_FILES
