@@ -1,83 +1,42 @@
-"""The newest snapshot of every account as keyed state, with a timer for accounts that fall silent.
+"""The newest snapshot of every account from a stream, and the accounts that fall silent.
 
-A micro batch reads and writes the state of the accounts it names and of those whose timer is due, nothing else.
+An account's snapshots form a session that ends when nothing was seen of it for a while. Open sessions are the state, kept
+by the JVM's own operators; the watermark is the timer that closes them. Nothing is called per account.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from datetime import timedelta
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from . import spend
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: What the stream tells: ``version`` counts what was said of an account; ``dormant`` rows come from the timer.
+#: What the stream tells: ``version`` orders by time what was said of an account; ``dormant`` rows come from closed sessions.
 CHANGES = "account_id bigint, version bigint, snapshot_id bigint, captured_at timestamp, dormant boolean"
 
 
-class NewestSnapshot(StatefulProcessor):
-    """Keeps (captured_at, snapshot_id) of an account's newest snapshot, whatever the order of arrival.
+def newest_changes(snapshots: DataFrame, delay: str, silence: timedelta) -> DataFrame:
+    """The stream of CHANGES of a stream of snapshots, which may come out of order and repeatedly.
 
-    A newer snapshot is told, moves the timer and ends dormancy; an older or repeated one changes nothing. When the
-    watermark passes the newest snapshot by ``silence`` the account is told to be dormant.
+    Every snapshot is told as it comes. When the watermark (``delay`` behind the newest of all) passes the newest snapshot
+    of a session by ``silence``, that snapshot is told again as dormant. A later one ends dormancy. A snapshot that comes
+    when its silence is over already opens no session; ``standing`` knows it by what was closed.
     """
+    rows = snapshots.filter("account_id is not null and captured_at is not null").select("account_id", "snapshot_id", "captured_at")
+    gap = f"{int(silence.total_seconds() * 1000)} milliseconds"
+    newest = F.max(F.struct("captured_at", "snapshot_id")).alias("n")
+    silent = rows.withWatermark("captured_at", delay).groupBy("account_id", F.session_window("captured_at", gap)).agg(newest)
+    return _told(rows, False).unionByName(_told(silent.select("account_id", "n.*"), True))
 
-    def __init__(self, silence: timedelta):
-        self.silence = silence
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.newest = handle.getValueState("newest", "version bigint, snapshot_id bigint, captured_us bigint")
-
-    def _told(self, key: tuple, version: int, snapshot: int, moment: int, dormant: bool) -> pd.DataFrame:
-        return pd.DataFrame(
-            {"account_id": [key[0]], "version": [version], "snapshot_id": [snapshot], "captured_at": [pd.Timestamp(moment, unit="us")], "dormant": [dormant]}
-        )
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best = None
-        for part in rows:
-            moment, snapshot = max(zip(part["captured_at"].astype("datetime64[us]").astype("int64"), part["snapshot_id"]))
-            if best is None or (moment, snapshot) > best:
-                best = (int(moment), int(snapshot))
-        held = self.newest.get()
-        if best is None or (held is not None and best <= (held[2], held[1])):
-            return
-        if held is not None:
-            self.handle.deleteTimer(self._due(held[2]))
-        version = 1 if held is None else held[0] + 1
-        self.newest.update((version, best[1], best[0]))
-        self.handle.registerTimer(self._due(best[0]))
-        yield self._told(key, version, best[1], best[0], False)
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self.newest.get()
-        if held is None or self._due(held[2]) != expiredTimerInfo.getExpiryTimeInMs():
-            return
-        self.newest.update((held[0] + 1, held[1], held[2]))
-        yield self._told(key, held[0] + 1, held[1], held[2], True)
-
-    def _due(self, moment: int) -> int:
-        """Milliseconds at which an account last seen at ``moment`` (microseconds) is dormant."""
-        return moment // 1000 + int(self.silence.total_seconds() * 1000)
-
-    def close(self) -> None:
-        pass
 
-
-def newest_changes(snapshots: DataFrame, delay: str, silence: timedelta) -> DataFrame:
-    """The stream of CHANGES of a stream of snapshots; snapshots later than ``delay`` are not looked at."""
-    rows = snapshots.filter("account_id is not null and captured_at is not null").select("account_id", "snapshot_id", "captured_at")
-    rows = rows.withWatermark("captured_at", delay)
-    return rows.groupBy("account_id").transformWithStateInPandas(
-        statefulProcessor=NewestSnapshot(silence), outputStructType=CHANGES, outputMode="Append", timeMode="EventTime"
-    )
+def _told(rows: DataFrame, dormant: bool) -> DataFrame:
+    version = F.unix_micros("captured_at") * 2 + int(dormant)
+    return rows.select("account_id", version.alias("version"), "snapshot_id", "captured_at", F.lit(dormant).alias("dormant"))
 
 
 def run_available(spark: SparkSession, changes: DataFrame, folder: str) -> StreamingQuery:
@@ -91,6 +50,12 @@ def run_available(spark: SparkSession, changes: DataFrame, folder: str) -> Strea
 
 
 def standing(changes: DataFrame) -> DataFrame:
-    """What was last told of every account."""
-    last = F.max_by(F.struct("snapshot_id", "captured_at", "dormant"), "version").alias("s")
-    return changes.groupBy("account_id").agg(last).select("account_id", "s.*")
+    """What was last told of every account; of snapshots of one time the larger id is the newest.
+
+    All sessions up to the last closed one are closed, so who was seen no later than that is dormant as well.
+    """
+    last = F.max(F.struct("captured_at", "snapshot_id", "dormant")).alias("s")
+    shut = changes.filter("dormant").agg(F.max("captured_at").alias("_shut"))
+    newest = changes.groupBy("account_id").agg(last).join(F.broadcast(shut))
+    dormant = F.col("s.dormant") | F.coalesce(F.col("s.captured_at") <= F.col("_shut"), F.lit(False))
+    return newest.select("account_id", "s.snapshot_id", "s.captured_at", dormant.alias("dormant"))

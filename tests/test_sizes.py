@@ -53,3 +53,24 @@ def test_no_task_holds_a_whole_slice_of_a_stream(spark, tmp_path):
     per_file = spark.read.parquet(str(tmp_path / "in")).groupBy(F.input_file_name()).count().collect()
     assert sum(r["count"] for r in per_file) == 4000
     assert max(r["count"] for r in per_file) <= 4000 / 4 / streams.SLICE_FILES + streams.SLICE_FILES
+
+
+def test_dormancy_calls_no_python_per_account(spark, tmp_path):
+    """Also: an account that comes when its silence is over is dormant, and a snapshot that comes twice changes nothing."""
+    from datetime import datetime, timedelta
+
+    from personagraph.schemas import SNAPSHOTS
+    from personagraph.streaming import dormancy, snapshots as st
+
+    def land(*seen):
+        rows = [(n, a, at, None, None, None, None, "{}", "x:a") for n, a, at in seen]
+        spark.createDataFrame(rows, SNAPSHOTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    land((1, 1, datetime(2025, 1, 1)), (2, 2, datetime(2025, 1, 1)))
+    land((3, 2, datetime(2025, 3, 1)), (2, 2, datetime(2025, 1, 1)))
+    land((4, 3, datetime(2025, 1, 1)), (5, 4, datetime(2025, 3, 2)))
+    changes = dormancy.newest_changes(st.snapshot_stream(spark, str(tmp_path / "in"), 1), "10 days", timedelta(days=30))
+    assert "Python" not in changes._jdf.queryExecution().analyzed().toString() and "InPandas" not in changes._jdf.queryExecution().analyzed().toString()
+    dormancy.run_available(spark, changes, str(tmp_path / "out"))
+    told = dormancy.standing(spark.read.schema(dormancy.CHANGES).parquet(str(tmp_path / "out" / "rows"))).collect()
+    assert sorted((r.account_id, r.snapshot_id, r.dormant) for r in told) == [(1, 1, True), (2, 3, False), (3, 4, True), (4, 5, False)]
