@@ -290,7 +290,9 @@ SELECT account_id, CASE WHEN account_id IN (SELECT account_id FROM doubt) THEN '
 WHERE account_id NOT IN (SELECT account_id FROM doubt) OR CAST(account_id AS VARCHAR) NOT IN (SELECT review_key FROM reviews WHERE kind = 'singleton_gate')"""))
 def singleton_artists(spark, d):
     s = w.state(spark, d)
-    done = clustering.singletons(s, _facts(s), ev.strong_edges(s.edges, s.accounts), w.as_of())
+    # Asked several times, and without the texts.
+    facts = cut_lineage(_facts(s))
+    done = clustering.singletons(s, facts, ev.strong_edges(s.edges, s.accounts), w.as_of())
     made = done.events.filter("event = 'created'").select("account_id", F.lit("created").alias("outcome"))
     known = s.reviews.select("item_id")
     asked = done.reviews.join(known, "item_id", "left_anti").select("account_id", F.lit("asked").alias("outcome"))

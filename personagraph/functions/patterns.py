@@ -59,6 +59,8 @@ ARTIST_HINTS = (
     r"|oc\b|vtuber|design|animat|pixiv|skeb|vgen|絵|イラスト|絵描き|絵師|落書き|らくがき"
     r"|お絵描き|依頼|創作|同人"
 )
+#: Every hint starts with one of these.
+ARTIST_STARTS = "iadpsfcovg絵イ落らお依創同"
 PROJECT_HINTS = (
     IC + r"\b(?:fan)?zines?\b|\bbig\s?bangs?\b|antholog|合同誌|アンソロ"
     r"|\bcharity\s+(?:project|event|zine)\b|\bfan\s?events?\b"

@@ -149,7 +149,9 @@ def _best_first(a: Column, b: Column) -> Column:
 
 
 def looks_like_artist(text: Column) -> Column:
-    return F.coalesce(text.rlike(P.ARTIST_HINTS), F.lit(False))
+    # Most places of a text fall to one test of the next character, not to one for each hint.
+    hints = P.ARTIST_HINTS.removeprefix(P.IC)
+    return F.coalesce(text.rlike(f"{P.IC}(?=[{P.ARTIST_STARTS}])(?:{hints})"), F.lit(False))
 
 
 def looks_like_project(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import policy
 from ..functions.text import looks_like_artist, looks_like_project
-from .spread import first_per_key
+from .spread import dealt, first_per_key
 
 
 def latest_snapshots(snapshots: DataFrame) -> DataFrame:
@@ -97,14 +97,16 @@ def flipped_edges(edges: DataFrame, accounts: DataFrame) -> DataFrame:
 def account_facts(accounts: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Per account: what the clustering rules ask about it."""
     kinds = F.broadcast(policy.platforms(accounts.sparkSession).select("platform", "kind"))
-    texts = accounts.join(latest_bios(snapshots), "account_id", "left").join(kinds, "platform", "left")
+    texts = dealt(accounts.join(latest_bios(snapshots), "account_id", "left"), "account_id").join(kinds, "platform", "left")
     words = F.concat_ws("\n", "bio", "display_name", "handle")
+    # No hint of an artist holds white space, so a text has one if a line of it has; the long lines are searched once.
+    texts = texts.withColumn("artist_text", looks_like_artist(F.concat_ws("\n", "bio", "display_name")))
     return texts.select(
         "account_id", "platform", "handle", "display_name", "status", "discovered_via", "project", "last_hydrated",
         "kind",
         F.coalesce("followers_count", F.lit(0)).alias("followers"),
-        looks_like_artist(words).alias("artist_like"),
-        looks_like_artist(F.concat_ws("\n", "bio", "display_name")).alias("artist_text"),
+        (F.col("artist_text") | looks_like_artist(F.col("handle"))).alias("artist_like"),
+        "artist_text",
         looks_like_project(words).alias("project_like"),
         (F.col("discovered_via").isin(policy.ROSTER_SOURCES) | (F.col("discovered_via") == "manual")).alias("vouched"),
     )

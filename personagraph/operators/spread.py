@@ -51,6 +51,14 @@ def lookup(
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows ahead of costly text patterns, dealt by key over all shuffle partitions.
+
+    A fixed count: adaptive execution joins partitions by their bytes, and a few megabytes of text keep a task busy for long.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key, the first by ``order``; the limit is applied before the shuffle as well."""
     by = Window.partitionBy(*keys).orderBy(*order)

@@ -74,3 +74,24 @@ def test_dormancy_calls_no_python_per_account(spark, tmp_path):
     dormancy.run_available(spark, changes, str(tmp_path / "out"))
     told = dormancy.standing(spark.read.schema(dormancy.CHANGES).parquet(str(tmp_path / "out" / "rows"))).collect()
     assert sorted((r.account_id, r.snapshot_id, r.dormant) for r in told) == [(1, 1, True), (2, 3, False), (3, 4, True), (4, 5, False)]
+
+
+def test_text_facts_are_dealt_over_all_partitions(spark):
+    from datetime import datetime
+
+    from personagraph.functions import patterns as P
+    from personagraph.functions.text import looks_like_artist
+    from personagraph.operators.evidence import account_facts
+    from personagraph.schemas import SNAPSHOTS, empty_state
+
+    accounts = spark.range(400).select(F.col("id").alias("account_id"), F.lit("twitter").alias("platform"), F.concat(F.lit("h"), "id").alias("handle"))
+    state = empty_state(spark)
+    accounts = state.accounts.unionByName(accounts, allowMissingColumns=True)
+    snaps = spark.createDataFrame([(n, n, datetime(2025, 1, 1), "plain text", None, None, None, "{}", "x:a") for n in range(400)], SNAPSHOTS)
+    facts = account_facts(accounts, snaps).select("artist_like", F.spark_partition_id().alias("p"))
+    assert facts.select("p").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    odd = ["Art", "arts", "start", "ſkeb", "SKetch", "İllustrator", "ıllustrat", "oc", "ocean", "落書き", "", None, "x\nDRAW", "comms", "command"]
+    rows = spark.createDataFrame([(t,) for t in odd], "t string")
+    plain = F.coalesce(F.col("t").rlike(P.ARTIST_HINTS), F.lit(False))
+    assert [r for r in rows.select("t", looks_like_artist(F.col("t")).alias("a"), plain.alias("b")).collect() if r.a != r.b] == []
