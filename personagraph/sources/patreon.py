@@ -65,9 +65,10 @@ def list_stats(pages: DataFrame) -> DataFrame:
         first_match(F.col("token"), STAT, 1).alias("cell"),
         grouped_int(F.regexp_extract("token", STAT, 2)).alias("value"),
     )
-    onward = Window.partitionBy("page").orderBy("pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # Backwards, as a frame that grows costs each token once; one that shrinks would be folded anew at every token.
+    onward = Window.partitionBy("page").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     link = F.struct("pos", "vanity")
-    carried = read.withColumn("owner", F.first(F.when(F.col("vanity").isNotNull(), link), ignorenulls=True).over(onward))
+    carried = read.withColumn("owner", F.last(F.when(F.col("vanity").isNotNull(), link), ignorenulls=True).over(onward))
     cells = carried.filter("cell is not null and value >= 0 and owner is not null")
     per_link = cells.groupBy("page", F.col("owner.vanity").alias("vanity"), "cell", F.col("owner.pos").alias("at")).agg(
         F.min_by("value", "pos").alias("value")

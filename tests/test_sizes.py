@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from personagraph import catalog
 from personagraph.catalog import streams, world
+from personagraph.sources import patreon
 
 CUSTOMER = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
 PART = "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
@@ -95,3 +96,21 @@ def test_text_facts_are_dealt_over_all_partitions(spark):
     rows = spark.createDataFrame([(t,) for t in odd], "t string")
     plain = F.coalesce(F.col("t").rlike(P.ARTIST_HINTS), F.lit(False))
     assert [r for r in rows.select("t", looks_like_artist(F.col("t")).alias("a"), plain.alias("b")).collect() if r.a != r.b] == []
+
+
+def _ranked(name, earnings=None, members=None):
+    cells = "" if earnings is None else f'<td class="earnings-value"> ${earnings:,}</td>'
+    cells += "" if members is None else f'<td class="paid-members-value">{members}</td>'
+    return f'<tr>{cells}<td class="creator-column"><a href="/creator/{name}">x</a></td></tr>'
+
+
+def test_long_ranking_lists_cost_each_token_once(spark):
+    """Cells belong to the next creator; a cell that no creator follows to nobody; the later link of a creator counts."""
+    rows = [_ranked(f"c{k}", k * 1000, k) for k in range(1, 301)] + [_ranked("bare"), _ranked("c7", 5000)]
+    body = "\n".join(rows) + '<td class="paid-members-value">99</td>'
+    stats = patreon.list_stats(spark.createDataFrame([(1, body), (2, _ranked("c1", 3))], "page bigint, body string"))
+    expected = {(1, f"c{k}", "monthly_earnings_usd", k * 1000) for k in range(1, 301) if k != 7}
+    expected |= {(1, f"c{k}", "paid_members", k) for k in range(1, 301)}
+    expected |= {(1, "c7", "monthly_earnings_usd", 5000), (2, "c1", "monthly_earnings_usd", 3)}
+    assert sorted(map(tuple, stats.collect())) == sorted(expected)
+    assert "unboundedfollowing" not in stats._jdf.queryExecution().optimizedPlan().toString().lower()
