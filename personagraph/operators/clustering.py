@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import policy
 from ..functions.scalars import slugify
 from ..schemas import State
-from ..session import cut_lineage, is_cut
+from ..session import cut_added, cut_lineage, each_apart, is_cut
 from . import evidence as ev
 from .components import components, mutual_pairs, resolve_chains
 from .spread import first_per_key, hot_keys, lookup, running, top_per_key
@@ -159,9 +159,13 @@ def create_artists(state: State, anchors: DataFrame, actor: str, as_of: Column)
     )
 
 
-def merge_artists(state: State, mapping: DataFrame, actor: str, as_of: Column) -> State:
-    """Fold losers into keepers (loser, keeper): members move, pointers collapse, open anomalies end."""
-    mapping = resolve_chains(mapping, "loser", "keeper")
+def merge_artists(state: State, mapping: DataFrame, actor: str, as_of: Column, chains: bool = True) -> State:
+    """Fold losers into keepers (loser, keeper): members move, pointers collapse, open anomalies end.
+
+    Without ``chains`` no keeper of the mapping is a loser as well, as among the pairs of ``pick_merges``.
+    """
+    if chains:
+        mapping = resolve_chains(mapping, "loser", "keeper")
     moving = ev.live(state.memberships).select("artist_id", "account_id", "confidence")
     # One artist may hold a large share of all members, so its rows are salted.
     moving = moving.withColumnRenamed("artist_id", "loser")
@@ -324,7 +328,7 @@ def build_components(state: State, facts: DataFrame, edges: DataFrame, as_of: Co
         if merging.isEmpty():
             break
         mapping = merging.select(F.col("high").alias("loser"), F.col("low").alias("keeper"))
-        state = merge_artists(state, mapping, PIPELINE, as_of)
+        state = merge_artists(state, mapping, PIPELINE, as_of, chains=False)
         state = state.with_(reviews=answer_merges(state.reviews, merging, "pipeline:reciprocal_component", as_of))
         state = settle(state)
         about = cut_lineage(component_facts(parts, facts, state.memberships))
@@ -679,7 +683,7 @@ def merge_reciprocal_artists(state: State, facts: DataFrame, shared: DataFrame,
         )
         edges = set_edges(state.edges, restored, only_claim="related")
         mapping = merging.select(F.col("high").alias("loser"), F.col("low").alias("keeper"))
-        state = merge_artists(state.with_(edges=edges), mapping, PIPELINE, as_of)
+        state = merge_artists(state.with_(edges=edges), mapping, PIPELINE, as_of, chains=False)
         state = state.with_(reviews=answer_merges(state.reviews, merging, "pipeline:artist_reciprocity", as_of))
         state = settle(state)
 
@@ -740,7 +744,7 @@ def restore_flipped(state: State, facts: DataFrame, edges: DataFrame, shared: Da
 
 
 def settle(state: State) -> State:
-    """Cut the lineage of the tables a stage rewrote; the others already stand on their own."""
+    """Cut the lineage of the tables a stage rewrote, or of the rows it added; the others already stand on their own."""
     names = ("accounts", "edges", "artists", "memberships", "events", "reviews", "suppressions")
     rewritten = {n: getattr(state, n) for n in names if not is_cut(getattr(state, n))}
-    return state.with_(**{n: cut_lineage(df) for n, df in rewritten.items()})
+    return state.with_(**each_apart(cut_added, rewritten))

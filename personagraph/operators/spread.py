@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, is_cut
 
 HOT_ROWS = 100_000
 SALTS = 64
@@ -71,18 +71,28 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, ran
     return df.withColumn(rank, F.row_number().over(by)).filter(F.col(rank) <= n)
 
 
+#: Rows that ``running`` numbers as one slice.
+SLICE_ROWS = 50_000
+
+
 def running(
     df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column], position: str = "position"
 ) -> DataFrame:
     """Exact running position and sums per key, without one task per key.
 
     Rows are range-partitioned on key and order, every slice is numbered on its own, and the totals of
-    the slices before it are added. A key that holds most rows spans many slices.
+    the slices before it are added. A key that holds most rows spans many slices. The rows are written out and
+    counted first: few rows are one slice, which no range partitioning is run for.
     """
-    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    measured = df.select("*", *[c.alias(f"_m_{n}") for n, c in sums.items()])
-    bounds = [F.col(k) for k in keys] + order
-    ranged = cut_lineage(measured.repartitionByRange(slices, *bounds).withColumn("_slice", F.spark_partition_id()))
+    measured = df
+    if sums or not is_cut(df):
+        measured = cut_lineage(df.select("*", *[c.alias(f"_m_{n}") for n, c in sums.items()]))
+    few = measured.count() <= SLICE_ROWS
+    ranged = measured.withColumn("_slice", F.lit(0))
+    if not few:
+        slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        bounds = [F.col(k) for k in keys] + order
+        ranged = cut_lineage(measured.repartitionByRange(slices, *bounds).withColumn("_slice", F.spark_partition_id()))
     totals = ranged.groupBy(*keys, "_slice").agg(
         F.count("*").alias("_t_rows"), *[F.sum(f"_m_{n}").alias(f"_t_{n}") for n in sums]
     )
@@ -99,6 +109,13 @@ def running(
         F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order)).alias("_l_rows"),
         *[F.sum(f"_m_{n}").over(inside).alias(f"_l_{n}") for n in sums],
     )
+    if few:
+        kinds = {f.name: f.dataType for f in offsets.schema.fields}
+        return local.select(
+            *df.columns,
+            (F.col("_l_rows") + F.lit(0).cast(kinds["_o_rows"])).alias(position),
+            *[(F.col(f"_l_{n}") + F.lit(0).cast(kinds[f"_o_{n}"])).alias(n) for n in sums],
+        )
     same = F.col("_slice") == F.col("_o_slice")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import policy
+from ..session import extended
 from .spread import first_per_key, hot_of, lookup, running
 
 # ``seq`` may be of any orderable type; it says which reference came first.
@@ -28,7 +29,7 @@ def align(df: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def append(stored: DataFrame, rows: DataFrame) -> DataFrame:
-    return stored.unionByName(align(rows, stored))
+    return extended(stored, align(rows, stored))
 
 
 def next_ids(rows: DataFrame, stored: DataFrame, id_column: str, order: list[Column]) -> DataFrame:

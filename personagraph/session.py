@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -54,5 +57,33 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return stored
 
 
+def cut_added(df: DataFrame) -> DataFrame:
+    """Cut a frame that ``extended`` made: only the rows added to the written ones are written."""
+    base, added = getattr(df, "_parts", (None, df))
+    if base is None:
+        return cut_lineage(df)
+    return extended(base, cut_lineage(added), cut=True)
+
+
+def extended(stored: DataFrame, rows: DataFrame, cut: bool = False) -> DataFrame:
+    """Rows put to a frame; if that stands on files, it is remembered which rows do not."""
+    base, added = getattr(stored, "_parts", (stored if is_cut(stored) else None, None))
+    out = stored.unionByName(rows)
+    if base is not None:
+        out._parts = base, rows if added is None else added.unionByName(rows)
+    out.is_cut = cut
+    return out
+
+
+def each_apart(work: Callable[[DataFrame], DataFrame], frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Do independent small jobs side by side: their waits overlap, and the cluster is not left idle between them."""
+    if len(frames) < 2:
+        return {name: work(df) for name, df in frames.items()}
+    spark = next(iter(frames.values())).sparkSession
+    with ThreadPoolExecutor(len(frames)) as pool:
+        runs = {name: pool.submit(inheritable_thread_target(spark)(work), df) for name, df in frames.items()}
+        return {name: run.result() for name, run in runs.items()}
+
+
 def is_cut(df: DataFrame) -> bool:
     return getattr(df, "is_cut", False) is True

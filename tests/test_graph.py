@@ -89,6 +89,39 @@ def test_running_agrees_with_a_plain_loop(spark):
     assert {r.i: (r.position, r.total) for r in got} == expected
 
 
+def test_running_is_the_same_in_one_slice_and_in_many(spark, monkeypatch):
+    df = spark.createDataFrame([("ab"[i % 2] if i % 5 else None, i, i % 9) for i in range(300)], "k string, i long, v int").repartition(7)
+    cuts = []
+    monkeypatch.setattr(spread, "cut_lineage", lambda df, cut=spread.cut_lineage: cuts.append(1) or cut(df))
+
+    def dealt():
+        cuts.clear()
+        return spread.running(df, ["k"], [F.col("i")], {"total": F.col("v"), "exact": F.col("v").cast("decimal(9,2)")})
+
+    few = dealt()
+    assert len(cuts) == 1
+    monkeypatch.setattr(spread, "SLICE_ROWS", 10)
+    many = dealt()
+    assert len(cuts) == 2
+    assert [(f.name, f.dataType) for f in few.schema] == [(f.name, f.dataType) for f in many.schema]
+    assert sorted(few.collect(), key=str) == sorted(many.collect(), key=str)
+    assert spread.running(df.filter("i < 0"), [], [F.col("i")], {}).count() == 0
+
+
+def test_settling_writes_only_the_events_that_were_added(spark):
+    log = [dict(artist_id=i, event="created", actor="pipeline", created_at=NOW) for i in range(3)]
+    state = clustering.settle(build(spark, events=log))
+    written = set(state.events.inputFiles())
+    for i in (7, 8):
+        added = spark.createDataFrame([(i, 2 * i)], "artist_id long, account_id long")
+        events = clustering.log_events(state.events, added, "account_added", "pipeline", as_of)
+        state = clustering.settle(state.with_(events=events))
+        assert written < set(state.events.inputFiles())
+    assert len(state.events.inputFiles()) - len(written) <= 2
+    assert sorted(r.artist_id for r in state.events.collect()) == [0, 1, 2, 7, 8]
+    assert {(r.account_id, r.event) for r in state.events.filter("artist_id > 2").collect()} == {(14, "account_added"), (16, "account_added")}
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_salted_lookup_equals_a_join(spark, how):
     facts = spark.createDataFrame([(i, i % 7 if i % 3 else 1) for i in range(300)] + [(999, None)], "id long, k long")
