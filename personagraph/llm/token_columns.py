@@ -12,6 +12,7 @@ the offset of the file in the whole stream. A document's start is the sum of bot
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 import zlib
@@ -31,23 +32,13 @@ PAGE_ROWS = 2_000
 DICTIONARY_BYTES = 512 * 1024
 #: Words that a worker remembers the ids of.
 KNOWN_WORDS = 400_000
+#: New words that are encoded as one text.
+BLOCK_WORDS = 1_000
 END_ID = 0
 
 ENCODED = "doc_id long, file int, at long, n_tokens long, tokens array<int>"
 
 
-def _byte_letters() -> dict[int, str]:
-    """Byte-level vocabularies write visible Latin-1 bytes as they are, and the others as letters from 256 on."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-
-
-_BYTES = _byte_letters()
-#: Marks that can follow a word; an apostrophe can begin a piece of its own.
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-
-
 class Encoder:
     """Ids of whole texts by the tokenizers library; words seen before are not encoded again.
 
@@ -59,77 +50,49 @@ class Encoder:
     def __init__(self, path: str, known_words: int = KNOWN_WORDS):
         from tokenizers import Tokenizer
 
+        # Spark gives each core a task; threads of the library's own would only contend with those of other tasks.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
         #: Strings that the library takes for tokens of their own wherever they stand.
         self.added = [token.content for token in self.library.get_added_tokens_decoder().values()]
         self.known_words = known_words
-        self.break_piece = None
         # The cuts above hold for byte-level pieces without normalisation; other vocabularies get whole texts.
         self.cuts = self.library.normalizer is None and repr(self.library.pre_tokenizer).startswith("ByteLevel(add_prefix_space=False")
-        if self.cuts:
-            ((self.break_piece, _),) = self.library.pre_tokenizer.pre_tokenize_str("\n")
+        line_feed = self._whole(["\n"])[0]
+        self.cuts = self.cuts and len(line_feed) == 1 and not any("\n" in token for token in self.added)
+        self.break_id = int(line_feed[0]) if self.cuts else None
         self.known: dict[str, int] = {}
         self.counts = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        # The fast form leaves out the places of tokens in the text, which nobody reads.
+        return [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _alone(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """The words in some order, their numbers of ids, and all ids; the library's model encodes each distinct piece.
+        """The words in some order, their numbers of ids, and all ids.
 
-        Letters with marks behind them are two pieces; other words are cut by the library, a thousand at a time with
-        line feeds between; words with line feeds of their own are encoded as texts.
+        The library encodes a thousand words at a time with line feeds between, whose id stands for nothing else, as words
+        hold none; words with line feeds of their own are encoded one by one.
         """
-        order, odd, done, counts, ids = [], [], [], [], []
-        cut, model = self.library.pre_tokenizer.pre_tokenize_str, self.library.model.tokenize
-        pieces: dict[str, list[int]] = {}
-        for w in words:
-            letters = w.rstrip(_MARKS)
-            first = letters[1:] if letters[:1] == " " else letters
-            if first.isalpha():
-                text = letters[1:] if letters[0] == " " else f" {letters}"
-                got = pieces.get(text)
-                if got is None:
-                    got = pieces[text] = [t.id for t in model(text.encode().decode("latin-1").translate(_BYTES))]
-                marks = w[len(letters) :]
-                if marks:
-                    more = pieces.get(marks)
-                    if more is None:
-                        more = pieces[marks] = [t.id for t in model(marks)]
-                    got = got + more
-                done.append(w)
-                counts.append(len(got))
-                ids += got
-            elif w[-1] == "\n":
-                odd.append(w)
-            else:
-                order.append(w)
-        pieces = {}
-        for k in range(0, len(order), 1000):
-            some = order[k : k + 1000]
-            parts = [p for p, _ in cut("\n".join([w[1:] if w[0] == " " else f" {w}" for w in some]))]
-            if parts.count(self.break_piece) != len(some) - 1:
-                odd += some
+        plain = [w for w in words if w[-1] != "\n"]
+        odd = [w for w in words if w[-1] == "\n"]
+        blocks = [plain[k : k + BLOCK_WORDS] for k in range(0, len(plain), BLOCK_WORDS)]
+        texts = ["\n".join([w[1:] if w[0] == " " else f" {w}" for w in block]) for block in blocks]
+        done, counts, ids = [], [], []
+        for block, got in zip(blocks, self._whole(texts)):
+            breaks = np.flatnonzero(got == self.break_id)
+            if len(breaks) != len(block) - 1:
+                odd += block
                 continue
-            n = 0
-            for part in parts:
-                if part == self.break_piece:
-                    counts.append(n)
-                    n = 0
-                    continue
-                got = pieces.get(part)
-                if got is None:
-                    got = pieces[part] = [t.id for t in model(part)]
-                ids += got
-                n += len(got)
-            counts.append(n)
-            done += some
+            done += block
+            counts.append(np.diff(breaks, prepend=-1, append=len(got)) - 1)
+            ids.append(np.delete(got, breaks))
         for w, got in zip(odd, self._whole([w[1:] if w[0] == " " else f" {w}" for w in odd])):
             done.append(w)
-            counts.append(len(got))
-            ids += got.tolist()
-        return done, np.array(counts, np.int64), np.array(ids, np.int32)
+            counts.append(np.array([len(got)]))
+            ids.append(got)
+        return done, np.concatenate(counts).astype(np.int64), np.concatenate(ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [k for k, text in enumerate(texts) if self.cuts and _cuttable(text) and not any(x in text for x in self.added)]

@@ -27,6 +27,19 @@ def test_encoder_equals_library(own):
     assert [x.tolist() for x in own.encode(texts)] == want
 
 
+def test_new_words_go_to_the_library_in_blocks(monkeypatch):
+    fresh = T.Encoder(vocabulary())
+    asked = []
+    monkeypatch.setattr(fresh, "_whole", lambda texts, whole=fresh._whole: asked.extend(texts) or whole(texts))
+    rng = random.Random(4)
+    words = ["".join(rng.choice("aé1!'中") for _ in range(rng.randint(1, 6))) + str(k) for k in range(2500)]
+    texts = [" ".join(words[:1200]), "\n".join(words[1200:]), " " + words[0], "\n\n" + words[1] + "\n"]
+    want = [e.ids for e in fresh.library.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in fresh.encode(texts)] == want
+    # Every word was asked for once, a thousand in a text.
+    assert len(asked) < 10 and sum(len(x.split("\n")) for x in asked) >= 2500
+
+
 def test_added_tokens_as_the_library_has_them(own):
     from tokenizers import Tokenizer
 
